@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: operator module, query, name of its SQL in the module or None
 REGISTERED = [
+    ("byte_bpe", "op3_byte_bpe", None),
+    ("language_id", "op9_language_id", None),
     ("simhash", "op1_simhash", None),
     ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
 ]
