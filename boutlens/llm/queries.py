@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: operator module, query, name of its SQL in the module or None
 REGISTERED = [
+    ("imatch", "op5_imatch", None),
+    ("packing", "op7_packing", None),
+    ("chat", "op2_chat_tree", None),
     ("byte_bpe", "op3_byte_bpe", None),
     ("language_id", "op9_language_id", None),
     ("simhash", "op1_simhash", None),
