@@ -123,8 +123,8 @@ def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return top, best_share[np.arange(len(texts)), top]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row of ``docs`` with lang_pred and score; text is read from ``docs.text``."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of every row of ``docs`` with the prediction and its score under ``names``; text is read from ``docs.text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name in keep]
 
@@ -145,11 +145,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                     pred[i], score[i] = languages[t], min(1.0, max(0.0, s))
                 lo = hi
             own = [b.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in fields), *names])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*fields]).add(names[0], StringType()).add(names[1], DoubleType())
     return docs.select(*(f.name for f in fields), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 

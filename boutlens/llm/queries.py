@@ -9,6 +9,9 @@ REGISTERED = [
     ("imatch", "op5_imatch", None),
     ("packing", "op7_packing", None),
     ("chat", "op2_chat_tree", None),
+    ("substring_dedup", "op4_substring_dedup", None),
+    ("rule_quality", "op8_rule_quality", None),
+    ("line_chunks", "op10_line_chunks", None),
     ("byte_bpe", "op3_byte_bpe", None),
     ("language_id", "op9_language_id", None),
     ("simhash", "op1_simhash", None),

@@ -216,6 +216,36 @@ def near_groups(docs: DataFrame, width: int = 3, crowd: int = CROWD) -> DataFram
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def similarity(a: str | None, b: str | None, width: int = 5) -> float:
+    """Jaccard similarity of word shingles; fewer words than ``width`` are one shingle."""
+    def shingles(text):
+        w = (text or "").encode().translate(_LOWER).split()
+        return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
+    """``docs`` without those whose shingles are ``similar`` to their group's first document, which stays.
+
+    Rows of null doc_id stay; rows that share a doc_id share their fate; other columns pass through.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    members = near_groups(docs, width).filter("doc_id <> component_id").select("doc_id", F.col("component_id").alias("first")).distinct()
+    own = members.join(texts, "doc_id")
+    met = own.join(texts.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text")), "first")
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "first_text")))
+            gone = [d for d, x, y in rows if similarity(x, y, width) >= similar]
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["doc_id"])
+
+    gone = met.select("doc_id", "text", "first_text").mapInArrow(run, "doc_id long").distinct()
+    return docs.join(spool(gone).withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
