@@ -33,7 +33,7 @@ MOST_BUCKETS = 4096
 def terms(text: Column) -> Column:
     """Sorted distinct term hashes of a text."""
     words = F.filter(F.split(F.lower(text), _WORD_GAP), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def _class(term: Column) -> Column:
