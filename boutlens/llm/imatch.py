@@ -116,17 +116,18 @@ def _bucket(rows: DataFrame) -> tuple[Column, int]:
     return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))), F.lit(-1)), count
 
 
-def beside_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with ``next_``-columns of the row of the next smaller doc_id (of the largest for the smallest)."""
+def beside_next(docs: DataFrame, add, columns: list[str]) -> DataFrame:
+    """Each row of ``add(docs)`` with ``columns`` of the row of the next smaller doc_id (of the largest for the smallest) as ``__next``."""
     place, _ = _bucket(docs.select("doc_id"))
     placed = docs.withColumn("__place", place)
+    filled = add(placed)
     order = [F.col("doc_id"), F.xxhash64("text")]
     w = Window.partitionBy("__place").orderBy(*order)
-    rows = placed.withColumn("__next", F.lag(F.struct(*columns)).over(w))
+    rows = filled.withColumn("__next", F.lag(F.struct(*columns)).over(w))
     # the first row of a bucket continues with the last row of the bucket before it: one row a bucket
     last = docs.select("doc_id", "text").withColumn("__place", place).groupBy("__place").agg(F.max("doc_id").alias("doc_id"))
     tails = (
-        placed.join(F.broadcast(last.filter("doc_id is not null")), ["__place", "doc_id"])
+        add(placed.join(F.broadcast(last.filter("doc_id is not null")), ["__place", "doc_id"]))
         .groupBy("__place").agg(F.max_by(F.struct(*columns), F.xxhash64("text")).alias("tail"))
     )
     ring = Window.orderBy("__place")
@@ -139,7 +140,7 @@ def beside_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def edits(docs: DataFrame, words: Column) -> DataFrame:
     """Fingerprints of all texts, of their edited texts and their likeness; see op5_imatch for the edit."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = beside_next(with_print(rows, "text", "fp", words), ["text", "fp"])
+    rows = beside_next(rows, lambda df: with_print(df, "text", "fp", words), ["text", "fp"])
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int"))
