@@ -22,6 +22,7 @@ from boutlens.llm.common import spool
 
 MIN_BUCKETS = 64
 DIGESTS_A_BUCKET = 200_000
+MARK_BITS = 1 << 26
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -152,7 +153,7 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
     )
     # Byte check: within a digest, grouping by the text itself; copies fold together before they are shuffled.
     groups = spool(
-        texts.join(twice, "digest", "left_semi").groupBy("digest", "text")
+        _marked(texts, twice).join(twice, "digest", "left_semi").groupBy("digest", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
     clashing = spool(groups.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
@@ -170,6 +171,20 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
     )
 
 
+def _marked(texts: DataFrame, digests: DataFrame) -> DataFrame:
+    """The ``texts`` whose digest's bit is set by any of ``digests``, so that other texts aren't shuffled to be joined.
+
+    The bitmap has MARK_BITS bits, thus at most MARK_BITS / 64 rows to broadcast, whatever the corpus; when it
+    fills up more texts travel, and the join that follows decides alike.
+    """
+    bit = F.pmod(F.xxhash64("digest"), F.lit(MARK_BITS))
+    word, place = F.shiftright(bit, 6).alias("__word"), F.pmod(bit, F.lit(64)).cast("int").alias("__bit")
+    marks = digests.select(word, place).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__marks"))
+    placed = texts.select("*", word, place)
+    met = placed.join(F.broadcast(marks), "__word").filter(F.getbit("__marks", F.col("__bit")) == 1)
+    return met.drop("__word", "__bit", "__marks")
+
+
 def half_is_new() -> Column:
     """For a table that doesn't say which rows came last: about half of them, by a hash of the id, count as the new batch."""
     return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, F.lit(True))
