@@ -152,8 +152,9 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
         .distinct()
     )
     # Byte check: within a digest, grouping by the text itself; copies fold together before they are shuffled.
+    # Texts that are marked by chance are groups of one.
     groups = spool(
-        _marked(texts, twice).join(twice, "digest", "left_semi").groupBy("digest", "text")
+        _marked(texts, twice).groupBy("digest", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
     clashing = spool(groups.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
@@ -172,10 +173,10 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
 
 
 def _marked(texts: DataFrame, digests: DataFrame) -> DataFrame:
-    """The ``texts`` whose digest's bit is set by any of ``digests``, so that other texts aren't shuffled to be joined.
+    """The ``texts`` whose digest's bit is set by any of ``digests``: all texts of those, and few others.
 
     The bitmap has MARK_BITS bits, thus at most MARK_BITS / 64 rows to broadcast, whatever the corpus; when it
-    fills up more texts travel, and the join that follows decides alike.
+    fills up more texts are let through.
     """
     bit = F.pmod(F.xxhash64("digest"), F.lit(MARK_BITS))
     word, place = F.shiftright(bit, 6).alias("__word"), F.pmod(bit, F.lit(64)).cast("int").alias("__bit")
