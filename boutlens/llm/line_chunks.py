@@ -12,32 +12,38 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SPREAD, LEAST_LINES = 2, 4, 2
 
 
-def chunks(text: Column) -> Column:
-    """Arrays of lines, in order; joined by line feeds they give the text."""
-    return F.transform(_bounds(text), lambda b: F.slice(F.split(text, "\n"), b["lo"], b["hi"] - b["lo"] + 1))
+def with_bounds(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the ``lines`` of a text and the ``bounds`` (lo, hi from 1) of its chunks, in order.
 
+    Every step is a column of its own: an expression inside a lambda would be evaluated anew for each element.
+    """
+    df = df.withColumn("lines", F.split(text, "\n")).withColumn("__hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    df = df.withColumn("__before", F.concat(F.array(F.lit(None).cast("long")), F.slice("__hashes", 1, F.size("__hashes") - 1)))
+    df = df.withColumn("__rolled", F.zip_with("__before", "__hashes", lambda a, h: F.xxhash64(a, h)))
+    places = F.transform("__rolled", lambda r, i: F.when(F.pmod(r, F.lit(SPREAD)) == 0, i + 1).otherwise(0))
+    df = df.withColumn("__ends", F.array_union(F.array_remove(places, 0), F.array(F.size("lines"))))
+    df = df.withColumn("__starts", F.concat(F.array(F.lit(0)), F.slice("__ends", 1, F.size("__ends") - 1)))
+    bounds = F.zip_with("__starts", "__ends", lambda lo, hi: F.struct((lo + 1).alias("lo"), hi.alias("hi")))
+    return df.withColumn("bounds", bounds).drop("__hashes", "__before", "__rolled", "__ends", "__starts")
 
-def _bounds(text: Column) -> Column:
-    hashes = F.transform(F.split(text, "\n"), lambda x: F.xxhash64(x))
-    rolled = F.transform(hashes, lambda h, i: F.when(i == 0, F.xxhash64(h)).otherwise(F.xxhash64(F.get(hashes, i - 1), h)))
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when(F.pmod(r, F.lit(SPREAD)) == 0, i + 1)), lambda e: e.isNotNull())
-    n = F.size(hashes)
-    ends = F.array_union(ends, F.array(n))
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-    return F.transform(F.arrays_zip(starts.alias("lo"), ends.alias("hi")), lambda z: F.struct(z["lo"].alias("lo"), z["hi"].alias("hi")))
+
+def with_chunks(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``parts``: arrays of lines, in order; joined by line feeds they give the text."""
+    df = with_bounds(df, text)
+    return df.withColumn("parts", F.transform("bounds", lambda b: F.slice("lines", b["lo"], b["hi"] - b["lo"] + 1))).drop("lines", "bounds")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, removed_lines, removed_chunks): ``text`` without the removed chunks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    split = rows.withColumn("lines", F.split("text", "\n")).withColumn("bounds", _bounds(F.col("text")))
+    split = with_bounds(rows)
     many = (
         split.select("doc_id", "mark", "lines", F.posexplode("bounds").alias("place", "b"))
         .filter(F.col("b.hi") - F.col("b.lo") + 1 >= LEAST_LINES)
@@ -53,7 +59,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
     )
     met = rows.join(gone, (F.col("mark") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    met = met.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("parts", chunks(F.col("text")))
+    met = with_chunks(met.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))))
     left = F.filter("parts", lambda p, i: ~F.array_contains("gone", i))
     total = F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p))
     kept = F.aggregate("left", F.lit(0), lambda a, p: a + F.size(p))
