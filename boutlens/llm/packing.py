@@ -12,8 +12,8 @@ documents span many sequences. An empty table gives no rows; extra columns are i
 
 from __future__ import annotations
 
+import base64
 import functools
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +24,16 @@ from pyspark.sql import functions as F
 from boutlens.llm.common import spool
 
 DIMS, BITS, BINS, LENGTH, END = 4, 12, 512, 1024, 0
-_BATCH_CHARS = 1 << 20
 
 
 @functools.cache
 def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    import public_tokenizers
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.cache
@@ -81,19 +78,16 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, curve, ids) of ``docs``: the Hilbert key and the closed ids as little-endian 32-bit integers."""
+    """(doc_id, curve, ids) of ``docs``: the Hilbert key and the closed ids as little-endian 32-bit integers.
+
+    ``path`` is a rank file. The ranks byte_bpe_50k.tiktoken give the ids that the tokenizers library gives for
+    byte_bpe_50k.json, the same vocabulary.
+    """
 
     def run(batches):
-        t = _tokenizer(path)
+        encode = _tokenizer(path).encode_ordinary
         for b in batches:
-            ids, part, chars = [], [], 0
-            for text in [*b.column("text").to_pylist(), None]:
-                if text is not None:
-                    part.append(text)
-                    chars += len(text)
-                if part and (text is None or chars >= _BATCH_CHARS):
-                    ids += [np.array(e.ids, "<u4") for e in t.encode_batch_fast(part, add_special_tokens=False)]
-                    part, chars = [], 0
+            ids = [np.array(encode(text), "<u4") for text in b.column("text").to_pylist()]
             curve = hilbert((vectors(ids) * (1 << BITS)).astype(np.int64)) if ids else []
             closed = [np.append(x, np.uint32(END)).astype("<u4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(curve, pa.int64()), pa.array(closed, pa.binary())], ["doc_id", "curve", "ids"])
@@ -154,5 +148,5 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pieces = pack(spool(tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))))
+    pieces = pack(spool(tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
