@@ -14,6 +14,11 @@ within 2 flips of it; fingerprints at distance 3 or less always share such a poi
 
 Null text counts as empty; a text without words has fingerprint zero and links like any other; null doc_ids
 are dropped (they can't be members of a result keyed by id); repeated rows share their component.
+
+The near-dedup stage (``drop_near``) looks for shingle similarity, of which 3 bits say little: at 0.8 the
+fingerprints differ by about 4 to 14 bits. Its candidates share a key of ``ROWS`` out of 64 shingle minima (at 0.8
+all 16 keys miss with a chance of 0.0002), differ by at most ``WIDE`` bits, which the pivot coordinates decide for
+most, and agree in at least ``LEAST_EQUAL`` minima; then the shingles themselves are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ RADIUS = 3
 BLOCKS = 6
 PIVOTS = 32
 CROWD = 2048
+#: the near-dedup stage: minima in BANDS keys of ROWS each; a candidate agrees in LEAST_EQUAL minima, within WIDE bits
+BANDS, ROWS, LEAST_EQUAL, WIDE = 16, 4, 36, 24
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 _TRIPLES = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
@@ -226,13 +233,103 @@ def similarity(a: str | None, b: str | None, width: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
+@functools.cache
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(65)
+    return rng.integers(0, 2**64, BANDS * ROWS, np.uint64), rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles of ``text``, ascending; fewer words than ``width`` are one shingle."""
+    w = (text or "").encode().translate(_LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(w[i : i + width])) for i in range(max(1, len(w) - width + 1))), np.uint64))
+
+
+def sketch(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """Fingerprint of the distinct shingle hashes ``h``, and their minima under ``BANDS * ROWS`` orders."""
+    flip, factor = _factors()
+    total, least = np.zeros(64, np.int64), np.full(len(flip), 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        part = h[i : i + (1 << 12)]
+        total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, ((part[:, None] ^ flip) * factor).min(axis=0))
+    return int.from_bytes(np.packbits(total * 2 > len(h)).tobytes(), "big"), least
+
+
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp, minima, keys): 16 bits of each minimum, and the keys of the bands."""
+
+    def run(batches):
+        for b in batches:
+            got = [sketch(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
+            fp = np.array([f for f, _ in got], np.uint64).view(np.int64)
+            minima = [(m >> np.uint64(40)).astype("<u2").tobytes() for _, m in got]
+            keys = [[xxhash.xxh64_intdigest(m[i : i + ROWS].tobytes(), i) for i in range(0, len(m), ROWS)] for _, m in got]
+            keys = pa.array([np.array(k, np.uint64).view(np.int64) for k in keys], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(minima, pa.binary()), keys], ["doc_id", "fp", "minima", "keys"])
+
+    return texts.mapInArrow(run, "doc_id long, fp long, minima binary, keys array<long>")
+
+
+def _alike(doc: np.ndarray, fp: np.ndarray, minima: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the candidate pairs among the members of a key: each is held once against those left."""
+    far, out = coordinates(fp).astype(np.int8), []
+    left, queue = np.arange(len(doc)), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        x = queue.pop()
+        near = np.abs(far[left] - far[x]).max(axis=1, initial=0) <= WIDE
+        near[near] = np.bitwise_count(fp[left[near]] ^ fp[x]) <= WIDE
+        near[near] = (minima[left[near]] == minima[x]).sum(axis=1) >= LEAST_EQUAL
+        met = left[near].tolist()
+        out += [(int(doc[x]), int(doc[y])) for y in met]
+        queue += met
+        left = left[~near]
+    return out
+
+
+def candidates(texts: DataFrame, width: int = 5) -> DataFrame:
+    """Edges (u, v) that connect the doc_ids of all candidate pairs of ``texts`` (doc_id, text)."""
+    own = spool(_sketches(texts, width))
+    keyed = own.select(F.explode("keys").alias("key"), "doc_id")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = spool(keyed.join(shared, "key", "left_semi").distinct())
+    met = members.join(own.select("doc_id", "fp", "minima"), "doc_id").select("key", "doc_id", "fp", "minima")
+
+    def emit(rows):
+        cuts = np.append(np.nonzero(np.diff(rows[0], prepend=rows[0][0] - 1))[0], len(rows[0]))
+        found = [e for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1 for e in _alike(rows[1][lo:hi], rows[2][lo:hi], rows[3][lo:hi])]
+        u, v = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            minima = np.frombuffer(b"".join(b.column("minima").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+            part = [b.column("key").to_numpy(), b.column("doc_id").to_numpy(), b.column("fp").to_numpy().view(np.uint64), minima]
+            rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
+            cut = int(np.searchsorted(rest[0], rest[0][-1]))
+            if cut:
+                yield emit([x[:cut] for x in rest])
+                rest = [x[cut:] for x in rest]
+        if rest is not None:
+            yield emit(rest)
+
+    return met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long")
+
+
 def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """``docs`` without those whose shingles are ``similar`` to their group's first document, which stays.
 
-    Rows of null doc_id stay; rows that share a doc_id share their fate; other columns pass through.
+    Rows of null doc_id stay; rows that share a doc_id share their fate; other columns pass through. The constants
+    of the candidates are meant for a ``similar`` of 0.8 or more.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = near_groups(docs, width).filter("doc_id <> component_id").select("doc_id", F.col("component_id").alias("first")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    members = components(candidates(texts, width)).filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("first"))
     own = members.join(texts, "doc_id")
     met = own.join(texts.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text")), "first")
 
