@@ -24,6 +24,7 @@ most, and agree in at least ``LEAST_EQUAL`` minima; then the shingles themselves
 from __future__ import annotations
 
 import functools
+import math
 from itertools import combinations
 
 import numpy as np
@@ -322,24 +323,64 @@ def candidates(texts: DataFrame, width: int = 5) -> DataFrame:
     return met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long")
 
 
+class Kept:
+    """The documents of a group that stay, found by shared shingles: sets alike by ``similar`` share one of their least."""
+
+    def __init__(self, similar: float):
+        self.similar, self.sets, self.holders = similar, [], {}
+
+    def _least(self, h: np.ndarray) -> list[int]:
+        return h[: len(h) - math.ceil(self.similar * len(h) - 1e-9) + 1].tolist()
+
+    def alike(self, h: np.ndarray) -> bool:
+        for i in sorted({i for x in self._least(h) for i in self.holders.get(x, ())}):
+            if min(len(h), len(self.sets[i])) >= self.similar * max(len(h), len(self.sets[i])) - 1e-9:
+                both = len(np.intersect1d(h, self.sets[i], assume_unique=True))
+                if both / (len(h) + len(self.sets[i]) - both) >= self.similar:
+                    return True
+        return False
+
+    def add(self, h: np.ndarray) -> None:
+        for x in self._least(h):
+            self.holders.setdefault(x, []).append(len(self.sets))
+        self.sets.append(h)
+
+
 def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
-    """``docs`` without those whose shingles are ``similar`` to their group's first document, which stays.
+    """``docs`` without those whose shingles are ``similar`` to a document of smaller doc_id that stays.
 
-    Rows of null doc_id stay; rows that share a doc_id share their fate; other columns pass through. The constants
-    of the candidates are meant for a ``similar`` of 0.8 or more.
+    Groups are the components of the candidate pairs; a group goes through one task in the order of doc_id. Rows of
+    null doc_id stay; rows that share a doc_id share their fate; other columns pass through. The constants of the
+    candidates are meant for a ``similar`` of 0.8 or more.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    members = components(candidates(texts, width)).filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("first"))
-    own = members.join(texts, "doc_id")
-    met = own.join(texts.select(F.col("doc_id").alias("first"), F.col("text").alias("first_text")), "first")
+    groups = components(candidates(texts, width)).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    met = texts.join(groups, "doc_id").select("group", "doc_id", "text")
 
     def run(batches):
-        for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "first_text")))
-            gone = [d for d, x, y in rows if similarity(x, y, width) >= similar]
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["doc_id"])
+        group = doc = kept = None
+        own, gone = [], []
 
-    gone = met.select("doc_id", "text", "first_text").mapInArrow(run, "doc_id long").distinct()
+        def settle():
+            if own and any(kept.alike(h) for h in own):
+                gone.append(doc)
+            else:
+                for h in own:
+                    kept.add(h)
+
+        for b in batches:
+            for g, d, t in zip(b.column("group").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                if (g, d) != (group, doc):
+                    settle()
+                    own = []
+                    if g != group:
+                        kept = Kept(similar)
+                    group, doc = g, d
+                own.append(shingle_hashes(t, width))
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["doc_id"])
+
+    gone = met.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "doc_id long")
     return docs.join(spool(gone).withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 

@@ -33,3 +33,20 @@ def test_recall_against_brute(spark):
     far = {k for k in near if (simhash.simhash(" ".join(docs[k]), 5) ^ simhash.simhash(" ".join(docs[100 + k]), 5)).bit_count() > 3}
     assert len(far) > 30 and len(near) < 60
     assert left(spark, docs) == docs.keys() - {100 + k for k in near}
+
+
+def test_chain_of_copies(spark):
+    """Later documents under 0.8 to the first of their group, but 0.8 or more to each other: one of those stays."""
+    rng = random.Random(4)
+    words = [word(rng) for _ in range(200)]
+    docs = {0: words, 1: edited(words, (20, 60, 100), rng)}
+    docs[2] = edited(docs[1], (140, 180), rng)
+    for k in (3, 4, 5):
+        docs[k] = edited(docs[2], (30 * k,), rng)
+    alike = {(i, j) for i in docs for j in docs if i < j and simhash.similarity(" ".join(docs[i]), " ".join(docs[j])) >= 0.8}
+    assert (0, 1) in alike and (0, 2) not in alike and {(2, 3), (2, 4), (2, 5)} <= alike
+    kept = []
+    for i in docs:
+        if not any((j, i) in alike for j in kept):
+            kept.append(i)
+    assert left(spark, docs) == set(kept) == {0, 2}
