@@ -5,7 +5,8 @@ several documents is joined to its first holder (least doc_id, then place): a st
 a document that point to the same earlier document are merged into diagonal runs and chained by a
 Fenwick tree of prefix maxima under a linear gap cost. Chains are cut into blocks at runs, extended by equal
 words and aligned word by word; chains of ``LEAST_WORDS`` or more whose alignment has a similarity of at least
-``SIMILAR`` are fuzzy copies and are removed from the later document.
+``SIMILAR`` are fuzzy copies and are removed from the later document. A chain that fails is split at its largest
+gap, and its parts are judged again.
 
 Null text is null in the result and has no passages; an empty text stays. Rows of equal doc_id are one document
 (the one of the least text); rows of null doc_id stay as they are. Everything is decided on whole texts. An empty
@@ -114,8 +115,17 @@ def chain(pieces: list[tuple[int, int, int]]) -> list[tuple[float, list[tuple[in
     return out
 
 
+def _cuts(path: list[tuple[int, int, int]]) -> list[int]:
+    """Where blocks of at most ``BLOCK_WORDS``, or of one run, begin in a chain, and its length."""
+    out = [0]
+    for i, piece in enumerate(path):
+        if i > out[-1] and piece[0] + piece[1] - path[out[-1]][0] > BLOCK_WORDS:
+            out.append(i)
+    return [*out, len(path)]
+
+
 def _chains(anchors: DataFrame) -> DataFrame:
-    """(doc_id, chain, lo, hi, other, olo, ohi): blocks of the chosen chains, which don't overlap in the document."""
+    """(doc_id, chain, lo, hi, other, olo, ohi, runs): blocks of the chains, the best first, with their runs laid end to end."""
 
     def choose(doc, other, at, to):
         found = []
@@ -126,27 +136,19 @@ def _chains(anchors: DataFrame) -> DataFrame:
                 if path[-1][0] + path[-1][1] - path[0][0] >= LEAST_WORDS - MARGIN:
                     found.append((-value, int(other[lo]), path))
             lo = hi
-        taken = np.zeros(int(at.max()) + K + 1, bool)
         rows = []
         for number, (_, o, path) in enumerate(sorted(found)):
-            lo, hi = path[0][0], path[-1][0] + path[-1][1]
-            if taken[lo:hi].mean() > 0.5:
-                continue
-            taken[lo:hi] = True
-            start = path[0]
-            end = start
-            for piece in path[1:]:
-                if piece[0] + piece[1] - start[0] > BLOCK_WORDS and piece is not start:
-                    rows.append((doc, number, start[0], piece[0], o, start[2], piece[2]))
-                    start = piece
-                end = piece
-            rows.append((doc, number, start[0], end[0] + end[1], o, start[2], end[2] + end[1]))
+            cuts = _cuts(path)
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                hi, ohi = path[j][::2] if j < len(path) else (path[-1][0] + path[-1][1], path[-1][2] + path[-1][1])
+                rows.append((doc, number, path[i][0], hi, o, path[i][2], ohi, [x for piece in path[i:j] for x in piece]))
         return rows
 
     names = ["doc_id", "chain", "lo", "hi", "other", "olo", "ohi"]
 
     def emit(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+        *plain, pieces = zip(*rows)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in plain), pa.array(pieces, pa.list_(pa.int64()))], [*names, "runs"])
 
     def run(batches):
         rest = None
@@ -164,7 +166,7 @@ def _chains(anchors: DataFrame) -> DataFrame:
                 yield emit(rows)
 
     ordered = anchors.repartition("doc_id").sortWithinPartitions("doc_id", "other", "at", "to")
-    return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", runs array<long>")
 
 
 def differences(a: list, b: list) -> int:
@@ -190,34 +192,69 @@ def differences(a: list, b: list) -> int:
     return int(row[-1])
 
 
+def _judged(words: list[str], there: list[str], shift: int, path: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, stop) of the fuzzy copies in a chain of runs; ``there[0]`` is word ``shift`` of the other text.
+
+    A chain that fails is split at its largest gap and its parts are judged again, by alignments from run to run.
+    """
+    ends = [(at, to - shift) for at, _, to in path] + [(path[-1][0] + path[-1][1], path[-1][2] + path[-1][1] - shift)]
+
+    def aligned(i, j):
+        (lo, olo), (hi, ohi) = ends[i], ends[j]
+        return differences(words[lo:hi], there[olo:ohi]), max(hi - lo, ohi - olo)
+
+    def extended(i, j, wrong, long):
+        (lo, x), (hi, y) = ends[i], (path[j - 1][0] + path[j - 1][1], path[j - 1][2] + path[j - 1][1] - shift)
+        while lo > 0 and x > 0 and words[lo - 1] == there[x - 1]:
+            lo, x, long = lo - 1, x - 1, long + 1
+        while hi < len(words) and y < len(there) and words[hi] == there[y]:
+            hi, y, long = hi + 1, y + 1, long + 1
+        return (lo, hi) if hi - lo >= LEAST_WORDS and 1 - wrong / long >= SIMILAR else None
+
+    cuts = _cuts(path)
+    whole = extended(0, len(path), *map(sum, zip(*(aligned(i, j) for i, j in zip(cuts[:-1], cuts[1:])))))
+    if whole or len(path) == 1:
+        return [whole] if whole else []
+    steps = [aligned(i, i + 1) for i in range(len(path))]
+    own = [(differences(words[at : at + n], there[to - shift : to - shift + n]), n) for at, n, to in path]
+    gap = [max(b[0] - a[0] - a[1], b[2] - a[2] - a[1]) for a, b in zip(path, path[1:])]
+    out, parts = [], [(0, len(path))]
+    while parts:
+        i, j = parts.pop()
+        if path[j - 1][0] + path[j - 1][1] - path[i][0] < LEAST_WORDS - MARGIN:
+            continue
+        found = j - i < len(path) and extended(i, j, *map(sum, zip(*steps[i : j - 1], own[j - 1])))
+        if found:
+            out.append(found)
+        elif j - i > 1:
+            k = max(range(i, j - 1), key=lambda x: gap[x]) + 1
+            parts += [(i, k), (k, j)]
+    return out
+
+
 def passages(words: list[str], blocks: list[dict]) -> list[tuple[int, int, int]]:
-    """(start, stop, other document) of the fuzzy copies among the words, from blocks with the other's words."""
+    """(start, stop, other document) of the fuzzy copies among the words, from blocks with the other's words.
+
+    Chains are judged best first; words that a copy has taken count for no other.
+    """
     by_chain: dict = {}
     for b in sorted(blocks, key=lambda b: (b["chain"], b["lo"])):
         by_chain.setdefault(b["chain"], []).append(b)
+    taken = np.zeros(len(words) + 1, bool)
     out = []
     for parts in by_chain.values():
-        wrong = long = 0
-        lo, hi = parts[0]["lo"], parts[-1]["hi"]
+        path = [tuple(b["runs"][i : i + 3]) for b in parts for i in range(0, len(b["runs"]), 3)]
+        there = parts[0]["words"].split("\n")[: parts[0]["skip"]]
         for b in parts:
-            there = b["words"].split("\n")[b["skip"] : b["skip"] + b["ohi"] - b["olo"]]
-            wrong += differences(words[b["lo"] : b["hi"]], there)
-            long += max(b["hi"] - b["lo"], len(there))
-        head, tail = parts[0]["words"].split("\n"), parts[-1]["words"].split("\n")
-        at = parts[0]["skip"]
-        while lo > 0 and at > 0 and words[lo - 1] == head[at - 1]:
-            lo, at, long = lo - 1, at - 1, long + 1
-        at = parts[-1]["skip"] + parts[-1]["ohi"] - parts[-1]["olo"]
-        while hi < len(words) and at < len(tail) and words[hi] == tail[at]:
-            hi, at, long = hi + 1, at + 1, long + 1
-        if hi - lo >= LEAST_WORDS and 1 - wrong / long >= SIMILAR:
-            out.append((lo, hi, parts[0]["other"]))
+            there += b["words"].split("\n")[b["skip"] : b["skip"] + b["ohi"] - b["olo"]]
+        there += parts[-1]["words"].split("\n")[parts[-1]["skip"] + parts[-1]["ohi"] - parts[-1]["olo"] :]
+        for lo, hi in _judged(words, there, parts[0]["olo"] - parts[0]["skip"], path):
+            free = np.flatnonzero(np.diff(np.concatenate([[True], taken[lo:hi], [True]]).astype(np.int8))) + lo
+            out += [(x, y, parts[0]["other"]) for x, y in free.reshape(-1, 2).tolist()]
+            taken[lo:hi] = True
     return sorted(out)
 
 
-_BLOCKS = "array<struct<chain:long,lo:long,hi:long,other:long,olo:long,ohi:long,skip:long,words:string>>"
-
-
 def _slices(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     """Blocks with the other document's words, and a margin around them."""
 
@@ -229,10 +266,10 @@ def _slices(blocks: DataFrame, texts: DataFrame) -> DataFrame:
                 lo = max(0, r["olo"] - MARGIN)
                 r["skip"], r["words"] = r["olo"] - lo, "\n".join(w[lo : r["ohi"] + MARGIN])
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64()) for n in ("other", "doc_id", "chain", "lo", "hi", "olo", "ohi", "skip")] + [("words", pa.string())]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64()) for n in ("other", "doc_id", "chain", "lo", "hi", "olo", "ohi", "skip")] + [("runs", pa.list_(pa.int64())), ("words", pa.string())]))
 
-    met = blocks.join(texts.select(F.col("doc_id").alias("other"), "text"), "other").select("other", "doc_id", "chain", "lo", "hi", "olo", "ohi", "text")
-    return met.mapInArrow(run, "other long, doc_id long, chain long, lo long, hi long, olo long, ohi long, skip long, words string")
+    met = blocks.join(texts.select(F.col("doc_id").alias("other"), "text"), "other").select("other", "doc_id", "chain", "lo", "hi", "olo", "ohi", "runs", "text")
+    return met.mapInArrow(run, "other long, doc_id long, chain long, lo long, hi long, olo long, ohi long, skip long, runs array<long>, words string")
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
@@ -246,7 +283,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         "doc_id", "at", F.col("first.doc_id").alias("other"), F.col("first.at").alias("to")
     )
     blocks = spool(_slices(spool(_chains(anchors)), texts))
-    grouped = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("chain", "lo", "hi", "other", "olo", "ohi", "skip", "words")).alias("__blocks"))
+    grouped = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("chain", "lo", "hi", "other", "olo", "ohi", "skip", "runs", "words")).alias("__blocks"))
     grouped = grouped.withColumnRenamed("doc_id", "__id")
     met = docs.join(grouped, docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
     fields = [f for f in docs.schema.fields]
