@@ -1,7 +1,10 @@
 """Substring dedup by collinear chaining.
 
 Words are hashed, and of every ``WINDOW`` consecutive k-mers the least is a seed. Each seed that occurs in
-several documents is joined to its first holder (least doc_id, then place): a star, never all pairs. Seeds of
+several documents is joined to its first holder (least doc_id, then place): a star, never all pairs. Where the
+first holders of neighbouring seeds differ, every ``UNIT`` of them together has a first holder of its own, so that a
+passage whose parts are known from elsewhere still meets the document that holds all of it. A seed's second and
+later occurrences in a document are also joined to the same occurrence elsewhere, so that repeats line up. Seeds of
 a document that point to the same earlier document are merged into diagonal runs and chained by a
 Fenwick tree of prefix maxima under a linear gap cost. Chains are cut into blocks at runs, extended by equal
 words and aligned word by word; chains of ``LEAST_WORDS`` or more whose alignment has a similarity of at least
@@ -29,6 +32,8 @@ from boutlens.llm.common import spool
 K, WINDOW = 5, 6
 LEAST_WORDS, SIMILAR = 40, 0.8
 GAP_COST, BLOCK_WORDS, MARGIN = 0.3, 800, 24
+#: seeds to a unit: they span at most K + WINDOW * (UNIT - 1) words, and so lie inside every exact passage of LEAST_WORDS
+UNIT = 6
 _WORD = re.compile(r"\S+")
 
 
@@ -47,15 +52,78 @@ def seeds(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return kmer[at].view(np.int64), at
 
 
+def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h.view(np.uint64) ^ x.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ h >> np.uint64(29)).view(np.int64)
+
+
+def repeats(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the second and later occurrences of seeds, the hash made with their number."""
+    order = np.argsort(h, kind="stable")
+    new = np.append(True, np.diff(h[order]) != 0)
+    number = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = number > 0
+    return _mixed(h[order][again], number[again]), at[order][again]
+
+
 def _seed_rows(docs: DataFrame) -> DataFrame:
+    """(seed, doc_id, at, plain); not plain: a repeat under its own hash."""
+
     def run(batches):
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 h, at = seeds(text.split())
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc, np.int64)), pa.array(at.astype(np.int32))], ["seed", "doc_id", "at"])
+                    more, there = repeats(h, at)
+                    plain = np.arange(len(h) + len(more)) < len(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(h, more)), pa.array(np.full(len(plain), doc, np.int64)), pa.array(np.append(at, there).astype(np.int32)), pa.array(plain)], ["seed", "doc_id", "at", "plain"])
+
+    return docs.mapInArrow(run, "seed long, doc_id long, at int, plain boolean")
+
+
+def units(at: np.ndarray, other: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first seed) of ``UNIT`` neighbouring seeds whose first holders or diagonals differ."""
+    n = len(at) - UNIT + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = np.diff(at)
+    seam = np.append(0, np.cumsum((np.diff(other) != 0) | (np.diff(to) != step)))
+    far = np.append(0, np.cumsum(step > WINDOW))
+    i = np.flatnonzero((seam[UNIT - 1 :] > seam[:n]) & (far[UNIT - 1 :] == far[:n]))
+    h = np.zeros(len(i), np.int64)
+    for k in range(UNIT):
+        h = _mixed(_mixed(_mixed(h, other[i + k]), to[i + k]), at[i + k] - at[i])
+    return h, i
+
+
+def _unit_rows(held: DataFrame) -> DataFrame:
+    """(unit, doc_id, ats) of the plain seeds with their first holders, those of the holders themselves included."""
+    names = ["unit", "doc_id", "ats"]
+
+    def emit(rows):
+        doc, at, other, to = rows
+        cuts = np.append(np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)), len(doc))
+        got = [(h, i + lo) for lo, hi in zip(cuts[:-1], cuts[1:]) for h, i in [units(at[lo:hi], other[lo:hi], to[lo:hi])]]
+        h, i = (np.concatenate(x) for x in zip(*got))
+        ats = pa.FixedSizeListArray.from_arrays(pa.array(at[i[:, None] + np.arange(UNIT)].reshape(-1).astype(np.int32)), UNIT).cast(pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i]), ats], names)
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = [b.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "at", "other", "to")]
+            rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
+            cut = int(np.searchsorted(rest[0], rest[0][-1]))
+            if cut:
+                yield emit([x[:cut] for x in rest])
+                rest = [x[cut:] for x in rest]
+        if rest is not None:
+            yield emit(rest)
 
-    return docs.mapInArrow(run, "seed long, doc_id long, at int")
+    ordered = held.select("doc_id", "at", "other", "to").repartition("doc_id").sortWithinPartitions("doc_id", "at", "other", "to")
+    return ordered.mapInArrow(run, "unit long, doc_id long, ats array<int>")
 
 
 def runs(at: np.ndarray, to: np.ndarray) -> list[tuple[int, int, int]]:
@@ -279,9 +347,14 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     found = spool(_seed_rows(own))
     place = F.struct("doc_id", "at")
     first = found.groupBy("seed").agg(F.min(place).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("seed", "first")
-    anchors = found.join(first, "seed").filter("first.doc_id < doc_id").select(
-        "doc_id", "at", F.col("first.doc_id").alias("other"), F.col("first.at").alias("to")
-    )
+    held = spool(found.join(first, "seed").select("doc_id", "at", F.col("first.doc_id").alias("other"), F.col("first.at").alias("to"), "plain"))
+    own_units = spool(_unit_rows(held.filter("plain")))
+    place = F.struct("doc_id", "ats")
+    first = own_units.groupBy("unit").agg(F.min(place).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("unit", "first")
+    by_units = own_units.join(first, "unit").filter("first.doc_id < doc_id").select(
+        "doc_id", F.col("first.doc_id").alias("other"), F.explode(F.arrays_zip("ats", F.col("first.ats").alias("tos"))).alias("x")
+    ).select("doc_id", F.col("x.ats").alias("at"), "other", F.col("x.tos").alias("to"))
+    anchors = held.filter("other < doc_id").select("doc_id", "at", "other", "to").union(by_units.distinct())
     blocks = spool(_slices(spool(_chains(anchors)), texts))
     grouped = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("chain", "lo", "hi", "other", "olo", "ohi", "skip", "runs", "words")).alias("__blocks"))
     grouped = grouped.withColumnRenamed("doc_id", "__id")

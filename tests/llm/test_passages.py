@@ -28,3 +28,25 @@ def test_two_passages_of_one_source(spark):
     for k, own in enumerate((40, 100, 160)):
         assert got[2 * k] == []
         assert got[2 * k + 1] == [(30, 90, 2 * k), (90 + own, 150 + own, 2 * k)]
+
+
+def test_parts_known_from_elsewhere(spark):
+    """A passage whose lines of 20 or 30 words occur in earlier documents is cut from the document that holds it whole."""
+    pad = made(7)
+    for size in (20, 30):
+        lines = [pad(size) for _ in range(60 // size)]
+        docs = {i: pad(30) + line + pad(30) for i, line in enumerate(lines)}
+        passage = sum(lines, [])
+        docs[8], docs[9] = pad(25) + passage + pad(25), pad(40) + passage + pad(10)
+        got = cleaned(spark, docs)
+        assert got.pop(9) == [(40, 100, 8)]
+        assert not any(got.values())
+
+
+def test_repeats_line_up(spark):
+    """A line of 12 words ten times over, and a word 80 times, in two documents."""
+    pad = made(8)
+    line, one = pad(12) * 10, pad(1) * 80
+    docs = {1: pad(30) + line + pad(30) + one, 2: pad(10) + line + pad(120) + one + pad(7)}
+    got = cleaned(spark, docs)
+    assert got[1] == [] and got[2] == [(10, 130, 1), (250, 330, 1)]
