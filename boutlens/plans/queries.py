@@ -45,6 +45,16 @@ def division_rankings(spark, sf_dir) -> DataFrame:
     return by.orderBy(F.desc("wins"), "bouts", "division", "fighter").limit(50)
 
 
+@_query(BOUTS + """, records AS (SELECT division, fighter, count(*) AS bouts, CAST(coalesce(sum(won), 0) AS BIGINT) AS wins FROM sides GROUP BY division, fighter),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY division ORDER BY wins DESC, bouts, fighter) AS place FROM records)
+SELECT division, CAST(place AS INT) AS place, fighter, bouts, wins FROM ranked WHERE place <= 15""")
+def division_top15(spark, sf_dir) -> DataFrame:
+    """The 15 records of most wins of each division."""
+    by = sides(spark, sf_dir).groupBy("division", "fighter").agg(F.count("*").alias("bouts"), F.coalesce(F.sum("won"), F.lit(0)).cast("long").alias("wins"))
+    place = F.row_number().over(Window.partitionBy("division").orderBy(F.desc("wins"), "bouts", "fighter"))
+    return by.withColumn("place", place).filter("place <= 15").select("division", "place", "fighter", "bouts", "wins")
+
+
 @_query(BOUTS + """SELECT fighter, count(*) AS bouts, count(*) FILTER (won = 1) AS wins, count(*) FILTER (won = 0) AS losses,
 count(*) FILTER (won IS NULL) AS draws FROM sides GROUP BY fighter""")
 def fighter_record(spark, sf_dir) -> DataFrame:
