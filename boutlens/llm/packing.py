@@ -6,7 +6,7 @@ each task fills its sequences to the brim, cutting documents freely, and cuts wh
 into sequences whose lengths are powers of two, which need no padding. Equal texts have equal keys; ties
 are ordered by doc_id, so that even a third of all rows under one key spreads over tasks.
 
-Null text is empty text: its only id is the closing 0. Rows of null doc_id are packed like others. Long
+Control strings (``<|endoftext|>``) are read as plain text. Null text is empty text: its only id is the closing 0. Rows of null doc_id are packed like others. Long
 documents span many sequences. An empty table gives no rows; extra columns are ignored.
 """
 
