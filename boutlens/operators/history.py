@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,6 @@ def ordered(*keys: str, order=("event_date", "fight_id")):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def dates_before(*keys: str, date: str = "event_date"):
-    """All rows of the same keys on earlier days."""
-    return Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(Window.unboundedPreceding, -1)
-
-
 def total_before(value: Column, window) -> Column:
     return F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long")
 
@@ -31,6 +28,42 @@ def ewma(values: Column, alpha: float = 0.206) -> Column:
     return F.coalesce(folded, F.lit(0.0))
 
 
+def last_values(df: DataFrame, columns: list[str], n: int, key: str = "fighter") -> DataFrame:
+    """``df`` with last_<column>: the latest ``n`` values before each row that aren't null, in order.
+
+    A value's number among a fighter's values bounds each list's window, so that no prefix is ever gathered whole.
+    """
+    for c in columns:
+        df = df.withColumn(f"__k_{c}", F.count(c).over(before(key)))
+    for c in columns:
+        own = Window.partitionBy(key).orderBy(f"__k_{c}").rangeBetween(-n, -1)
+        pair = F.when(F.col(c).isNotNull(), F.struct(F.col(f"__k_{c}").alias("k"), F.col(c).alias("v")))
+        df = df.withColumn(f"last_{c}", F.transform(F.array_sort(F.collect_list(pair).over(own)), lambda x: x["v"]))
+    return df.drop(*(f"__k_{c}" for c in columns))
+
+
+def mean_of_last(values: str, n: int) -> Column:
+    """Mean of the last ``n`` of an array; null where it holds fewer."""
+    return F.when(F.size(values) >= n, F.aggregate(F.slice(values, -n, n), F.lit(0.0), lambda a, v: a + v) / n)
+
+
+def ewma_before(df: DataFrame, names: dict[str, str], alpha: float = 0.206) -> DataFrame:
+    """``df`` with the weighted mean of each column's earlier values.
+
+    What lies ``far`` values back weighs less than a double's last digit: windows of that length lose nothing and
+    keep the work linear in the length of a history.
+    """
+    far = math.ceil(-40 / math.log(1 - alpha))
+    listed = last_values(df, list(names), far)
+    return listed.withColumns({out: ewma(F.col(f"last_{c}"), alpha) for c, out in names.items()}).drop(*(f"last_{c}" for c in names))
+
+
+def last_days(df: DataFrame, n: int, key: str = "fighter", day: str = "event_date") -> DataFrame:
+    """The rows of each key's last ``n`` days that have any, with ``back``, the day's number from the end."""
+    back = F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(day)))
+    return df.withColumn("back", back).filter(F.col("back") <= n)
+
+
 def with_streaks(sides: DataFrame) -> DataFrame:
     """``win_streak``: wins in a row just before each bout; anything but a win ends it."""
     run = F.sum(F.when(F.coalesce("won", F.lit(0)) == 1, 0).otherwise(1)).over(ordered("fighter"))
@@ -40,12 +73,5 @@ def with_streaks(sides: DataFrame) -> DataFrame:
     return after.withColumn("win_streak", F.coalesce(F.lag("__after").over(ordered("fighter")), F.lit(0)).cast("long")).drop("__run", "__after")
 
 
-def last_mean(value: str, n: int, window) -> Column:
-    """Mean of the last ``n`` non-null values, null where there are fewer."""
-    seen = F.collect_list(value).over(window)
-    last = F.slice(seen, -n, n)
-    return F.when(F.size(seen) >= n, F.aggregate(last, F.lit(0.0), lambda a, v: a + v) / n)
-
-
 def shrunk(successes: Column, trials: Column, prior: Column, k: float = 50) -> Column:
     return (successes + k * prior) / (trials + k)
