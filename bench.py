@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from boutlens.plans.queries import QUERIES
+from boutlens.plans.catalog import QUERIES
 from boutlens.session import session
 
 HEADLINE = ["division_rankings", "cumulative_before", "ewma_before", "streaks_before", "division_rate_asof", "auc_by_slice", "rematch_flags", "graph_edges"]

@@ -1,4 +1,4 @@
-from boutlens.plans.queries import QUERIES
+from boutlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
