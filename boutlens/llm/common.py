@@ -5,32 +5,89 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: bits of a membership bitmap, 64 to a row: at most MARK_BITS / 64 rows to broadcast or gather, whatever the corpus
+MARK_BITS = 1 << 26
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, or what setCheckpointDir() was given.
+
+    A local session that has neither gets a folder of its own; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
     if got.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boutlens-"))
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
     return got.get()
 
 
-def spool(df: DataFrame) -> DataFrame:
-    """``df`` written as zstd Parquet to the shared folder and read back: a cut in the lineage that outlives executors."""
+def spool(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """``df`` written as zstd Parquet to the shared folder and read back: a cut in the lineage that outlives executors.
+
+    ``spent`` are earlier spools that nothing reads any more: they are removed once this one is written. The
+    shuffle files of the write go when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/boutlens-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/boutlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    unspool(*spent)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.spooled_at = path
+    return kept
+
+
+def unspool(*spent: DataFrame) -> None:
+    """Removes spools."""
+    for df in spent:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.spooled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bitmap(keys: DataFrame) -> DataFrame:
+    """(word, bits) of the hashes of the long column ``key``: a filter without false negatives, of bounded size.
+
+    When it fills up it lets more through, which costs time and changes no result.
+    """
+    bit = F.pmod("key", F.lit(MARK_BITS))
+    words = keys.select(F.shiftright(bit, 6).alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("bit"))
+    return words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def with_mark(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+    """``df`` with the boolean ``name``: whether bitmap() ``bits`` may hold the long ``key``."""
+    bit = F.pmod(key, F.lit(MARK_BITS))
+    marks = F.broadcast(bits.select(F.col("word").alias(f"{name}_word"), F.col("bits").alias(f"{name}_bits")))
+    placed = df.withColumns({f"{name}_at": F.shiftright(bit, 6), f"{name}_bit": F.pmod(bit, F.lit(64)).cast("int")})
+    met = placed.join(marks, F.col(f"{name}_at") == F.col(f"{name}_word"), "left")
+    hit = F.coalesce(F.getbit(f"{name}_bits", F.col(f"{name}_bit")) == 1, F.lit(False))
+    return met.withColumn(name, hit).drop(f"{name}_at", f"{name}_bit", f"{name}_word", f"{name}_bits")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def learnable(doc_id="doc_id"):
@@ -63,9 +120,10 @@ def components(edges: DataFrame) -> DataFrame:
             jumped = spool(
                 hooks.join(up, "root", "left").select(
                     "node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")
-                )
+                ),
+                hooks,
             )
-            hooks = jumped.select("node", "root")
+            hooks = jumped
             if jumped.filter("moved").isEmpty():
                 break
         to_u = hooks.select(F.col("node").alias("u"), F.col("root").alias("ru"))
@@ -75,9 +133,11 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b"))
             .filter("a <> b")
         )
-        edges = spool(relabelled.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        edges = spool(relabelled.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), edges)
         moved = hooks.select(F.col("node").alias("component"), F.col("root").alias("root"))
         labels = spool(
-            labels.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            labels.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component")),
+            labels, hooks,
         )
+    unspool(edges)
     return labels

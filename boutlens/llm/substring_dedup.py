@@ -1,55 +1,99 @@
 """Substring dedup by collinear chaining.
 
-Words are hashed, and of every ``WINDOW`` consecutive k-mers the least is a seed. Each seed that occurs in
-several documents is joined to its first holder (least doc_id, then place): a star, never all pairs. Where the
-first holders of neighbouring seeds differ, every ``UNIT`` of them together has a first holder of its own, so that a
-passage whose parts are known from elsewhere still meets the document that holds all of it. A seed's second and
-later occurrences in a document are also joined to the same occurrence elsewhere, so that repeats line up. Seeds of
-a document that point to the same earlier document are merged into diagonal runs and chained by a
-Fenwick tree of prefix maxima under a linear gap cost. Chains are cut into blocks at runs, extended by equal
-words and aligned word by word; chains of ``LEAST_WORDS`` or more whose alignment has a similarity of at least
-``SIMILAR`` are fuzzy copies and are removed from the later document. A chain that fails is split at its largest
-gap, and its parts are judged again.
-
-Null text is null in the result and has no passages; an empty text stays. Rows of equal doc_id are one document
-(the one of the least text); rows of null doc_id stay as they are. Everything is decided on whole texts. An empty
-table gives no rows; columns other than doc_id and text pass through unchanged.
+Words are hashed, and of every ``WINDOW`` consecutive k-mers the least is a seed. A first pass counts the seeds of
+several documents and sets their bits in a bitmap of fixed size; the second pass emits the seeds whose bit is set, so
+that what one document alone holds isn't stored. Each seed that occurs in several documents is joined to its first
+holder (least doc_id, then place): a star, never all pairs. Where the first holders of neighbouring seeds differ,
+every ``UNIT`` of them together has a first holder of its own, so that a passage whose parts are known from
+elsewhere still meets the document that holds all of it. A seed's second and later occurrences in a document are
+also joined to the same occurrence elsewhere, so that repeats line up. Seeds of a document that point to the same
+earlier document are merged into diagonal runs and chained by a Fenwick tree of prefix maxima under a linear gap
+cost. Chains meet the other document's words page by page, are cut into blocks at runs, extended by equal words and
+aligned word by word; chains of ``LEAST_WORDS`` or more whose alignment has a similarity of at least ``SIMILAR``
+are fuzzy copies and are removed from the later document. A chain that fails is split at its largest gap, and its
+parts are judged again.
+
+Null text is null in the result and has no passages; an empty text stays. Rows of equal doc_id are one document,
+the one of the least text: the others of them stay as they are, rows repeated in full share their fate; rows of null
+doc_id stay. Ties between chains go to the smaller document, then place. Texts are decided on whole, however long:
+a task holds one document's words and one chain. An empty table gives no rows; columns other than doc_id and text
+pass through unchanged whatever their names, but for one of the name that the result's own column is given.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructType
 
-from boutlens.llm.common import spool
+from boutlens.llm.common import MARK_BITS, bitmap, free_name, spool, with_mark
 
 K, WINDOW = 5, 6
 LEAST_WORDS, SIMILAR = 40, 0.8
 GAP_COST, BLOCK_WORDS, MARGIN = 0.3, 800, 24
 #: seeds to a unit: they span at most K + WINDOW * (UNIT - 1) words, and so lie inside every exact passage of LEAST_WORDS
 UNIT = 6
+#: words to a page of a document that chains point to
+PAGE = 1024
 _WORD = re.compile(r"\S+")
 
 
-def seeds(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the minimisers of a text."""
-    n = len(words) - K + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    kmer = np.zeros(n, np.uint64)
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers of another: a word's hash is the sum of their products."""
+    values = np.random.default_rng(17).integers(0, 2**64, 257, np.uint64) | np.uint64(1)
+    return values[:256], np.cumprod(np.full(4096, values[256]), dtype=np.uint64)
+
+
+def word_hashes(words: bytes) -> np.ndarray:
+    """Hashes of words that end with one space each."""
+    values, powers = _tables()
+    data = np.frombuffer(words, np.uint8)
+    ends = np.flatnonzero(data == 32)
+    starts = np.append(0, ends[:-1] + 1)
+    place = np.arange(len(data)) - np.repeat(starts, ends + 1 - starts)
+    h = np.add.reduceat(values[data] * powers[place & 4095], starts)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0x9E3779B97F4A7C15)
+
+
+def seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, hash, place) of the minimisers of texts, in order."""
+    split = [t.split() for t in texts]
+    n = np.array([len(w) for w in split], np.int64)
+    none = np.zeros(0, np.int64)
+    if n.sum() < K:
+        return none, none, none
+    h = word_hashes("".join(" ".join(w) + " " for w in split if w).encode())
+    kmer = np.zeros(len(h) - K + 1, np.uint64)
     for i in range(K):
-        kmer = (kmer ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        kmer = (kmer ^ h[i : i + len(kmer)]) * np.uint64(0x9E3779B97F4A7C15)
         kmer ^= kmer >> np.uint64(29)
-    width = min(WINDOW, n)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(kmer, width).argmin(axis=1) + np.arange(n - width + 1))
-    return kmer[at].view(np.int64), at
+    first = np.cumsum(n) - n
+    own = n >= K
+    text, start, count = np.flatnonzero(own), first[own], n[own] - K + 1
+    if not len(text):
+        return none, none, none
+    # windows that lie within a text; a text of fewer k-mers has one window of those
+    whole = np.maximum(count - WINDOW + 1, 1)
+    begin = np.repeat(start, whole) + np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
+    width = np.repeat(np.minimum(count, WINDOW), whole)
+    least = np.full(len(begin), 2**64 - 1, np.uint64)
+    pick = np.zeros(len(begin), np.int64)
+    for i in range(WINDOW):
+        value = np.where(width > i, kmer[np.minimum(begin + i, len(kmer) - 1)], np.uint64(2**64 - 1))
+        less = value < least
+        least[less], pick[less] = value[less], i
+    chosen = np.zeros(len(kmer), bool)
+    chosen[begin + pick] = True
+    at = np.flatnonzero(chosen)
+    of = np.searchsorted(start, at, side="right") - 1
+    return text[of], kmer[at].view(np.int64), at - start[of]
 
 
 def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -57,28 +101,61 @@ def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (h ^ h >> np.uint64(29)).view(np.int64)
 
 
-def repeats(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the second and later occurrences of seeds, the hash made with their number."""
-    order = np.argsort(h, kind="stable")
-    new = np.append(True, np.diff(h[order]) != 0)
-    number = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+def all_seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, hash, place, plain): seeds, then their second and later occurrences in a text, not plain,
+    under hashes made with their number."""
+    text, h, at = seeds(texts)
+    order = np.lexsort((at, h, text))
+    t, k = text[order], h[order]
+    new = np.append(True, (np.diff(t) != 0) | (np.diff(k) != 0))[: len(t)]
+    number = np.arange(len(t)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(t) else t
     again = number > 0
-    return _mixed(h[order][again], number[again]), at[order][again]
+    more = order[again]
+    plain = np.arange(len(h) + len(more)) < len(h)
+    return np.append(text, text[more]), np.append(h, _mixed(h[more], number[again])), np.append(at, at[more]), plain
+
 
+def _portions(batch: pa.RecordBatch, most: int = 1 << 20):
+    """(doc_ids, texts) of a batch, about ``most`` characters at a time."""
+    docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+    lo = size = 0
+    for hi, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= most or hi == len(texts):
+            yield np.array(docs[lo:hi], np.int64), texts[lo:hi]
+            lo, size = hi, 0
 
-def _seed_rows(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, at, plain); not plain: a repeat under its own hash."""
+
+def shared_seeds(own: DataFrame) -> np.ndarray:
+    """A bitmap of ``MARK_BITS`` bits with those of all seeds that several documents hold."""
 
     def run(batches):
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                h, at = seeds(text.split())
-                if len(h):
-                    more, there = repeats(h, at)
-                    plain = np.arange(len(h) + len(more)) < len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(h, more)), pa.array(np.full(len(plain), doc, np.int64)), pa.array(np.append(at, there).astype(np.int32)), pa.array(plain)], ["seed", "doc_id", "at", "plain"])
+            for docs, texts in _portions(b):
+                text, h, _, _ = all_seeds(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs[text])], ["key", "doc_id"])
+
+    held = own.mapInArrow(run, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    rows = bitmap(held.filter("first < last").select("key")).toArrow()
+    bits = np.zeros(MARK_BITS // 64, np.int64)
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return bits
+
+
+def _seed_rows(own: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(seed, doc_id, at, plain) of the seeds in ``bits``; not plain: a repeat under its own hash."""
+    shared = own.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        words = shared.value
+        for b in batches:
+            for docs, texts in _portions(b):
+                text, h, at, plain = all_seeds(texts)
+                place = h & (MARK_BITS - 1)
+                i = np.flatnonzero(words[place >> 6] >> (place & 63) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(docs[text[i]]), pa.array(at[i].astype(np.int32)), pa.array(plain[i])], ["seed", "doc_id", "at", "plain"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, at int, plain boolean")
+    return own.mapInArrow(run, "seed long, doc_id long, at int, plain boolean")
 
 
 def units(at: np.ndarray, other: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +174,15 @@ def units(at: np.ndarray, other: np.ndarray, to: np.ndarray) -> tuple[np.ndarray
 
 
 def _unit_rows(held: DataFrame) -> DataFrame:
-    """(unit, doc_id, ats) of the plain seeds with their first holders, those of the holders themselves included."""
-    names = ["unit", "doc_id", "ats"]
+    """(unit, doc_id, at, last): the units of the plain seeds with their first holders, those of the holders included."""
+    names = ["unit", "doc_id", "at", "last"]
 
     def emit(rows):
         doc, at, other, to = rows
         cuts = np.append(np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)), len(doc))
         got = [(h, i + lo) for lo, hi in zip(cuts[:-1], cuts[1:]) for h, i in [units(at[lo:hi], other[lo:hi], to[lo:hi])]]
         h, i = (np.concatenate(x) for x in zip(*got))
-        ats = pa.FixedSizeListArray.from_arrays(pa.array(at[i[:, None] + np.arange(UNIT)].reshape(-1).astype(np.int32)), UNIT).cast(pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i]), ats], names)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i]), *(pa.array(at[x].astype(np.int32)) for x in (i, i + UNIT - 1))], names)
 
     def run(batches):
         rest = None
@@ -123,7 +199,7 @@ def _unit_rows(held: DataFrame) -> DataFrame:
             yield emit(rest)
 
     ordered = held.select("doc_id", "at", "other", "to").repartition("doc_id").sortWithinPartitions("doc_id", "at", "other", "to")
-    return ordered.mapInArrow(run, "unit long, doc_id long, ats array<int>")
+    return ordered.mapInArrow(run, "unit long, doc_id long, at int, last int")
 
 
 def runs(at: np.ndarray, to: np.ndarray) -> list[tuple[int, int, int]]:
@@ -193,7 +269,7 @@ def _cuts(path: list[tuple[int, int, int]]) -> list[int]:
 
 
 def _chains(anchors: DataFrame) -> DataFrame:
-    """(doc_id, chain, lo, hi, other, olo, ohi, runs): blocks of the chains, the best first, with their runs laid end to end."""
+    """(doc_id, chain, other, olo, ohi, runs): the chains of each document, the best first, with their runs laid end to end."""
 
     def choose(doc, other, at, to):
         found = []
@@ -204,15 +280,19 @@ def _chains(anchors: DataFrame) -> DataFrame:
                 if path[-1][0] + path[-1][1] - path[0][0] >= LEAST_WORDS - MARGIN:
                     found.append((-value, int(other[lo]), path))
             lo = hi
-        rows = []
-        for number, (_, o, path) in enumerate(sorted(found)):
-            cuts = _cuts(path)
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                hi, ohi = path[j][::2] if j < len(path) else (path[-1][0] + path[-1][1], path[-1][2] + path[-1][1])
-                rows.append((doc, number, path[i][0], hi, o, path[i][2], ohi, [x for piece in path[i:j] for x in piece]))
-        return rows
+        return [(doc, number, o, path[0][2], path[-1][2] + path[-1][1], [x for piece in path for x in piece]) for number, (_, o, path) in enumerate(sorted(found))]
 
-    names = ["doc_id", "chain", "lo", "hi", "other", "olo", "ohi"]
+    def chosen(rows):
+        if not len(rows[0]):
+            return []
+        # most pairs of documents share a seed or two: only those whose seeds span a chain's least length are looked at
+        new = np.flatnonzero(np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)))
+        span = rows[2][np.append(new[1:], len(rows[0])) - 1] - rows[2][new] + K
+        rows = [x[np.repeat(span >= LEAST_WORDS - MARGIN, np.diff(np.append(new, len(rows[0]))))] for x in rows]
+        cuts = np.append(np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1] - 1)), len(rows[0]))
+        return [r for lo, hi in zip(cuts[:-1], cuts[1:]) for r in choose(int(rows[0][lo]), *(x[lo:hi] for x in rows[1:]))]
+
+    names = ["doc_id", "chain", "other", "olo", "ohi"]
 
     def emit(rows):
         *plain, pieces = zip(*rows)
@@ -221,15 +301,17 @@ def _chains(anchors: DataFrame) -> DataFrame:
     def run(batches):
         rest = None
         for b in batches:
+            if not b.num_rows:
+                continue
             part = [b.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "other", "at", "to")]
             rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
-            cuts = np.append(0, np.nonzero(np.diff(rest[0]))[0] + 1)
-            rows = [r for lo, hi in zip(cuts[:-1], cuts[1:]) for r in choose(int(rest[0][lo]), *(x[lo:hi] for x in rest[1:]))]
+            cut = int(np.searchsorted(rest[0], rest[0][-1]))
+            rows = chosen([x[:cut] for x in rest])
             if rows:
                 yield emit(rows)
-            rest = [x[cuts[-1] :] for x in rest]
-        if rest is not None and len(rest[0]):
-            rows = choose(int(rest[0][0]), *rest[1:])
+            rest = [x[cut:] for x in rest]
+        if rest is not None:
+            rows = chosen(rest)
             if rows:
                 yield emit(rows)
 
@@ -300,92 +382,162 @@ def _judged(words: list[str], there: list[str], shift: int, path: list[tuple[int
     return out
 
 
-def passages(words: list[str], blocks: list[dict]) -> list[tuple[int, int, int]]:
-    """(start, stop, other document) of the fuzzy copies among the words, from blocks with the other's words.
+def _pages(texts: DataFrame) -> DataFrame:
+    """(other, page, page_words): the words of the texts, ``PAGE`` to a row."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                w = text.split()
+                rows += [(doc, i // PAGE, "\n".join(w[i : i + PAGE])) for i in range(0, len(w), PAGE)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["other", "page", "page_words"])
+
+    return texts.mapInArrow(run, "other long, page long, page_words string")
 
-    Chains are judged best first; words that a copy has taken count for no other.
+
+def _slices(chains: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, chain, page, other, start, runs, words): a chain's stretch of the other document, a row for each page.
+
+    ``start`` is the place of the row's first word; the runs come with the first page only.
     """
-    by_chain: dict = {}
-    for b in sorted(blocks, key=lambda b: (b["chain"], b["lo"])):
-        by_chain.setdefault(b["chain"], []).append(b)
-    taken = np.zeros(len(words) + 1, bool)
-    out = []
-    for parts in by_chain.values():
-        path = [tuple(b["runs"][i : i + 3]) for b in parts for i in range(0, len(b["runs"]), 3)]
-        there = parts[0]["words"].split("\n")[: parts[0]["skip"]]
-        for b in parts:
-            there += b["words"].split("\n")[b["skip"] : b["skip"] + b["ohi"] - b["olo"]]
-        there += parts[-1]["words"].split("\n")[parts[-1]["skip"] + parts[-1]["ohi"] - parts[-1]["olo"] :]
-        for lo, hi in _judged(words, there, parts[0]["olo"] - parts[0]["skip"], path):
-            free = np.flatnonzero(np.diff(np.concatenate([[True], taken[lo:hi], [True]]).astype(np.int8))) + lo
-            out += [(x, y, parts[0]["other"]) for x, y in free.reshape(-1, 2).tolist()]
-            taken[lo:hi] = True
-    return sorted(out)
-
-
-def _slices(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Blocks with the other document's words, and a margin around them."""
+    reach = F.sequence(F.floor(F.greatest(F.col("olo") - MARGIN, F.lit(0)) / PAGE), F.floor((F.col("ohi") + MARGIN - 1) / PAGE))
 
     def run(batches):
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                w = r.pop("text").split()
-                lo = max(0, r["olo"] - MARGIN)
-                r["skip"], r["words"] = r["olo"] - lo, "\n".join(w[lo : r["ohi"] + MARGIN])
+            rows = []
+            for doc, number, page, other, olo, ohi, path, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "chain", "page", "other", "olo", "ohi", "runs", "page_words"))):
+                lo = max(0, olo - MARGIN, page * PAGE)
+                words = text.split("\n")[lo - page * PAGE : ohi + MARGIN - page * PAGE]
+                rows.append((doc, number, page, other, lo, path if page == max(0, olo - MARGIN) // PAGE else None, "\n".join(words)))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64()) for n in ("other", "doc_id", "chain", "lo", "hi", "olo", "ohi", "skip")] + [("runs", pa.list_(pa.int64())), ("words", pa.string())]))
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "chain", "page", "other", "start", "runs", "words"])
 
-    met = blocks.join(texts.select(F.col("doc_id").alias("other"), "text"), "other").select("other", "doc_id", "chain", "lo", "hi", "olo", "ohi", "runs", "text")
-    return met.mapInArrow(run, "other long, doc_id long, chain long, lo long, hi long, olo long, ohi long, skip long, runs array<long>, words string")
+    asked = chains.select("doc_id", "chain", "other", "olo", "ohi", "runs", F.explode(reach).alias("page"))
+    return asked.join(_pages(texts), ["other", "page"]).mapInArrow(run, "doc_id long, chain long, page long, other long, start long, runs array<long>, words string")
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` freed of copied passages, and ``removed``: array of (start, stop, source) in words."""
-    texts = docs.filter("doc_id is not null and text is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    found = spool(_seed_rows(own))
-    place = F.struct("doc_id", "at")
-    first = found.groupBy("seed").agg(F.min(place).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("seed", "first")
-    held = spool(found.join(first, "seed").select("doc_id", "at", F.col("first.doc_id").alias("other"), F.col("first.at").alias("to"), "plain"))
+class Passages:
+    """The fuzzy copies in one document: chains are judged best first; words that a copy has taken count for no other."""
+
+    def __init__(self, text: str):
+        self.text, self.words, self.found = text, None, []
+
+    def judge(self, other: int, start: int, path: list[tuple[int, int, int]], there: list[str]) -> None:
+        if self.words is None:
+            self.words = self.text.split()
+            self.taken = np.zeros(len(self.words), bool)
+        if path[-1][0] + path[-1][1] > len(self.words):
+            return  # of another text under the same doc_id
+        for lo, hi in _judged(self.words, there, start, path):
+            free = np.flatnonzero(np.diff(np.concatenate([[True], self.taken[lo:hi], [True]]).astype(np.int8))) + lo
+            self.found += [(x, y, other) for x, y in free.reshape(-1, 2).tolist()]
+            self.taken[lo:hi] = True
+
+    def spans(self) -> list[tuple[int, int, int, int, int]]:
+        """(start, stop, other document) in words, and start and stop in code points, in order."""
+        where = [m.span() for m in _WORD.finditer(self.text)]
+        return [(x, y, other, where[x][0], where[y - 1][1]) for x, y, other in sorted(self.found)]
+
+
+_REMOVED = "array<struct<start:long,stop:long,source:long>>"
+_SPANS = "array<struct<start:long,stop:long,source:long,lo:long,hi:long>>"
+
+
+def _spans(texts: DataFrame, slices: DataFrame) -> DataFrame:
+    """(doc_id, mark, spans): the copies in each document, in words and in code points; ``mark`` is a hash of the text."""
+    span = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "stop", "source", "lo", "hi")]))
+    first = texts.select("doc_id", F.lit(-1).cast("long").alias("chain"), F.xxhash64("text").alias("page"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("array<long>").alias("runs"), F.col("text").alias("words"))
+
+    def run(batches):
+        doc = mark = own = None
+        parts, number = [], None  # of the chain at hand: (other, start, runs, words)
+
+        def settle():
+            if parts and own is not None:
+                other, start, flat, _ = parts[0]
+                if flat:
+                    own.judge(other, start, [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)], "\n".join(p[3] for p in parts).split("\n"))
+            parts.clear()
+
+        for b in batches:
+            out = []
+            for d, c, page, other, start, flat, words in zip(*(b.column(x).to_pylist() for x in ("doc_id", "chain", "page", "other", "start", "runs", "words"))):
+                if (d, c) != (doc, number):
+                    settle()
+                if c == -1:
+                    if own is not None and own.found:
+                        out.append((doc, mark, own.spans()))
+                    doc, mark, own = d, page, Passages(words)
+                elif d == doc:
+                    parts.append((other, start, flat, words))
+                number = c
+            if out:
+                yield emit(out)
+        settle()
+        if own is not None and own.found:
+            yield emit([(doc, mark, own.spans())])
+
+    def emit(rows):
+        ids, marks, spans = zip(*rows)
+        keys = ("start", "stop", "source", "lo", "hi")
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array([[dict(zip(keys, s)) for s in r] for r in spans], span)], ["doc_id", "mark", "spans"])
+
+    both = first.unionByName(slices).repartition("doc_id").sortWithinPartitions("doc_id", "chain", "page")
+    return both.mapInArrow(run, f"doc_id long, mark long, spans {_SPANS}")
+
+
+def find_passages(own: DataFrame) -> DataFrame:
+    """(doc_id, mark, spans) of the documents ``own`` (doc_id, text; neither null) that hold copies of earlier ones."""
+    found = spool(_seed_rows(own, shared_seeds(own)))
+    first = spool(found.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("seed", "first"))
+    held = spool(found.join(first, "seed").select("doc_id", "at", F.col("first.doc_id").alias("other"), F.col("first.at").alias("to"), "plain"), found, first)
     own_units = spool(_unit_rows(held.filter("plain")))
-    place = F.struct("doc_id", "ats")
-    first = own_units.groupBy("unit").agg(F.min(place).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("unit", "first")
-    by_units = own_units.join(first, "unit").filter("first.doc_id < doc_id").select(
-        "doc_id", F.col("first.doc_id").alias("other"), F.explode(F.arrays_zip("ats", F.col("first.ats").alias("tos"))).alias("x")
-    ).select("doc_id", F.col("x.ats").alias("at"), "other", F.col("x.tos").alias("to"))
-    anchors = held.filter("other < doc_id").select("doc_id", "at", "other", "to").union(by_units.distinct())
-    blocks = spool(_slices(spool(_chains(anchors)), texts))
-    grouped = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("chain", "lo", "hi", "other", "olo", "ohi", "skip", "runs", "words")).alias("__blocks"))
-    grouped = grouped.withColumnRenamed("doc_id", "__id")
-    met = docs.join(grouped, docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
-    fields = [f for f in docs.schema.fields]
-    others = [f.name for f in fields if f.name != "text"]
+    first = spool(own_units.groupBy("unit").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("unit", "first"))
+    ends = F.array(F.struct(F.col("at"), F.col("first.at").alias("to")), F.struct(F.col("last").alias("at"), (F.col("first.at") + F.col("last") - F.col("at")).alias("to")))
+    by_units = own_units.join(first, "unit").filter("first.doc_id < doc_id").select("doc_id", F.col("first.doc_id").alias("other"), F.explode(ends).alias("x"))
+    anchors = held.filter("other < doc_id").select("doc_id", "at", "other", "to").union(by_units.select("doc_id", "x.at", "other", "x.to"))
+    chains = spool(_chains(anchors), held, own_units, first)
+    met = spool(chains.select(F.explode(F.array("doc_id", "other")).alias("doc_id")).distinct())
+    hit = with_mark(own, F.xxhash64("doc_id"), bitmap(met.select(F.xxhash64("doc_id").alias("key"))), "__met")
+    texts = spool(hit.filter("__met").drop("__met").join(met, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), met)
+    slices = spool(_slices(chains, texts), chains)
+    return spool(_spans(texts, slices), texts, slices)
+
+
+def dedup_passages(docs: DataFrame, out: str = "removed") -> DataFrame:
+    """``docs`` with ``text`` freed of copied passages, and ``out``: array of (start, stop, source) in words."""
+    docs = docs.drop(out)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    found = find_passages(own)
+    names = [f.name for f in docs.schema.fields]
+    hit, id_, mark, spans = (free_name(docs, n) for n in ("__hit", "__id", "__mark", "__spans"))
+    key = F.xxhash64(F.col("doc_id").cast("long"))
+    marked = with_mark(docs.withColumn("text", F.col("text").cast("string")), key, bitmap(found.select(F.xxhash64("doc_id").alias("key"))), hit)
+    none = F.array().cast(_REMOVED).alias(out)
+    rest = marked.filter(~F.col(hit)).select(*names, none)
+    given = found.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("spans").alias(spans))
+    met = marked.filter(F.col(hit)).join(given, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(mark)), "left")
+    others = [n for n in names if n != "text"]
 
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("source", pa.int64())]))
         for b in batches:
             new, removed = [], []
-            for text, blocks_ in zip(b.column("__text").to_pylist(), b.column("__blocks").to_pylist()):
-                gone = []
-                if text is not None and blocks_:
-                    where = [m.span() for m in _WORD.finditer(text)]
-                    gone = passages([text[x:y] for x, y in where], blocks_)
-                    parts, at = [], 0
-                    for lo, hi, _ in gone:
-                        start, stop = where[lo][0], where[hi - 1][1]
-                        if start > at:
-                            parts.append(text[at:start])
-                        at = max(at, stop)
-                    text = "".join(parts) + text[at:]
-                new.append(text)
-                removed.append([{"start": lo, "stop": hi, "source": o} for lo, hi, o in gone])
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in others), pa.array(new, pa.string()), pa.array(removed, span)], [*others, "text", "removed"])
-
-    schema = StructType([f for f in fields if f.name != "text"]).add("text", StringType())
-    schema = schema.add("removed", DataType.fromDDL("array<struct<start:long,stop:long,source:long>>"))
-    cleaned = met.select(*others, F.col("text").cast("string").alias("__text"), "__blocks").mapInArrow(run, schema)
-    return cleaned.select(*(f.name for f in fields), "removed")
+            for text, gone in zip(b.column("text").to_pylist(), b.column(spans).to_pylist()):
+                parts, at = [], 0
+                for s in gone or ():
+                    parts.append(text[at : s["lo"]])
+                    at = s["hi"]
+                new.append("".join(parts) + text[at:] if parts else text)
+                removed.append([{k: s[k] for k in ("start", "stop", "source")} for s in gone or ()])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in others), pa.array(new, pa.string()), pa.array(removed, span)], [*others, "text", out])
+
+    schema = StructType([f for f in docs.schema.fields if f.name != "text"]).add("text", StringType()).add(out, DataType.fromDDL(_REMOVED))
+    cut = met.select(*others, "text", spans).mapInArrow(run, schema)
+    return rest.unionByName(cut.select(*names, out))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
