@@ -1,19 +1,20 @@
 """SimHash near-dedup over pivot distance tables.
 
-A pivot table holds, for a slice of the 64 bits, the Hamming distances of each slice value to the same slice
-of many reference fingerprints (pivots). Slices whose distance vectors agree are interchangeable; the table
-ranks the distinct vectors, so that a vector is named by a short code. Two fingerprints that differ in at
-most 3 of 64 bits agree on at least 3 of 6 slices (pigeonhole), so they meet under at least one of the 20
-keys made of three slice codes. Within a key, pairs are discarded by the maximum difference of their
-distances to all pivots (it never exceeds their Hamming distance), and survivors are verified.
-
-Only distinct fingerprints meet. A key's links are emitted as a spanning forest, never as all pairs. Keys
-with more than ``CROWD`` fingerprints take another exact and linear way: each member names all points within
-2 flips of itself inside the key's free bits, and the members within 1 flip of a point link to all members
-within 2 flips of it; fingerprints at distance 3 or less always share such a point.
-
-Null text counts as empty; a text without words has fingerprint zero and links like any other; null doc_ids
-are dropped (they can't be members of a result keyed by id); repeated rows share their component.
+A pivot table holds, for a slice of the 64 bits, the Hamming distances of each slice value to the same slice of many
+reference fingerprints (pivots); a fingerprint's coordinates, its distances to all pivots, are sums over the slices.
+Two fingerprints that differ in at most 3 of 64 bits agree on at least 3 of 6 slices (pigeonhole), so they meet under
+at least one of 20 keys. Within a key, fingerprints are sorted by the pivot along which they spread most, and only
+pairs at most 3 apart on it are formed; pairs are discarded by the maximum difference of their coordinates (it never
+exceeds their Hamming distance), and survivors are verified.
+
+Only distinct fingerprints meet. A key of more than ``CROWD`` of them is divided by the same rule: its free bits are cut
+into 6 slices again, 3 of which two near fingerprints share, and so on; k free bits hold at most 2**k fingerprints, so
+that this ends, and no two fingerprints within 3 bits are ever parted. A key's links are emitted as a spanning forest,
+never as all pairs.
+
+Null text counts as empty; a text without words has fingerprint zero and links like any other; texts are read whole,
+however long; null doc_ids are dropped (they can't be members of a result keyed by id); repeated rows share their
+component and give a row each; extra columns are ignored whatever their names; an empty table gives no rows.
 
 The near-dedup stage (``drop_near``) looks for shingle similarity, of which 3 bits say little: at 0.8 the
 fingerprints differ by about 4 to 14 bits. Its candidates share a key of ``ROWS`` out of 64 shingle minima (at 0.8
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,14 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.llm.common import components, spool
+from boutlens.llm.common import bitmap, components, free_name, spool, with_mark
 
 RADIUS = 3
 BLOCKS = 6
 PIVOTS = 32
-CROWD = 2048
+#: fingerprints under a key that are compared in one go; above it a key is divided
+CROWD = 1024
 #: the near-dedup stage: minima in BANDS keys of ROWS each; a candidate agrees in LEAST_EQUAL minima, within WIDE bits
 BANDS, ROWS, LEAST_EQUAL, WIDE = 16, 4, 36, 24
+#: documents of a group or key that one task compares; larger ones are dealt out first. Minima in which a document may
+#: differ from a key's leader and be represented by it
+CHUNK, CLOSE = 5000, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 _TRIPLES = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
@@ -80,16 +86,14 @@ def pivots() -> np.ndarray:
 
 
 @functools.cache
-def pivot_tables() -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each slice: distances (value, pivot), and the code of each value's distance vector."""
-    tables, codes = [], []
+def pivot_tables() -> list[np.ndarray]:
+    """For each slice the distances (value, pivot)."""
+    tables = []
     for lo, hi in zip(_EDGES, _EDGES[1:]):
         values = np.arange(1 << (hi - lo), dtype=np.uint64)
         slices = (pivots() >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-        distances = np.bitwise_count(values[:, None] ^ slices[None, :]).astype(np.uint8)
-        tables.append(distances)
-        codes.append(np.unique(distances, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint64))
-    return tables, codes
+        tables.append(np.bitwise_count(values[:, None] ^ slices[None, :]).astype(np.uint8))
+    return tables
 
 
 def _slices(fp: np.ndarray) -> list[np.ndarray]:
@@ -98,32 +102,49 @@ def _slices(fp: np.ndarray) -> list[np.ndarray]:
 
 def coordinates(fp: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint to every pivot, summed up from the slice tables."""
-    return sum(t[s] for t, s in zip(pivot_tables()[0], _slices(fp)))
-
+    return sum(t[s] for t, s in zip(pivot_tables(), _slices(fp)))
 
-def _keyed(reps: DataFrame) -> DataFrame:
-    """One row for each fingerprint and slice triple: (key, fp, node)."""
 
-    def run(batches):
-        codes = pivot_tables()[1]
-        for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
-            own = [c[s] for c, s in zip(codes, _slices(fp))]
-            keys = [np.uint64(n) | own[i] << np.uint64(5) | own[j] << np.uint64(16) | own[k] << np.uint64(27) for n, (i, j, k) in enumerate(_TRIPLES)]
-            key = np.concatenate(keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(np.tile(fp.view(np.int64), len(keys))), pa.array(np.tile(b.column("node").to_numpy(), len(keys)))],
-                ["key", "fp", "node"],
-            )
+def _cut(free: int) -> list[int]:
+    """Masks of the ``BLOCKS`` slices of the set bits of ``free``."""
+    bits = [1 << i for i in range(64) if free >> i & 1]
+    edges = [round(i * len(bits) / BLOCKS) for i in range(BLOCKS + 1)]
+    return [sum(bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
 
-    return reps.mapInArrow(run, "key long, fp long, node long")
 
+def _keyed(members: DataFrame) -> DataFrame:
+    """(key, free, fp, node): a row for each member and choice of slices of its free bits; the key keeps the rest fixed."""
 
-def _linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each run of equal keys: index pairs' nodes."""
-    at = np.arange(len(key))
-    root, left, right, lag = at.copy(), [], [], 1
-    far = coordinates(fp).astype(np.int8) if len(fp) else None
+    def run(batches):
+        cuts: dict = {}
+        for b in batches:
+            key, free, fp, node = (b.column(c).to_numpy() for c in ("key", "free", "fp", "node"))
+            for mask in np.unique(free).tolist():
+                mine = free == mask
+                if mask not in cuts:
+                    cuts[mask] = _cut(mask & (1 << 64) - 1)
+                f, k = fp[mine].view(np.uint64), key[mine].view(np.uint64)
+                rows = []
+                for n, chosen in enumerate(_TRIPLES):
+                    held = sum(cuts[mask][i] for i in chosen)
+                    h = (k ^ np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    h = (h ^ h >> np.uint64(29) ^ f & np.uint64(held)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    rows.append((h ^ h >> np.uint64(32), np.full(len(f), (mask & (1 << 64) - 1) & ~held, np.uint64)))
+                columns = [np.concatenate(c).view(np.int64) for c in zip(*rows)]
+                again = [np.tile(x, len(_TRIPLES)) for x in (fp[mine], node[mine])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *again)], ["key", "free", "fp", "node"])
+
+    return members.select("key", "free", "fp", "node").mapInArrow(run, "key long, free long, fp long, node long")
+
+
+def _linked(fp: np.ndarray, node: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among the fingerprints of one key: two lists of nodes."""
+    far = coordinates(fp).astype(np.int8)
+    axis = int(far.astype(np.int16).var(axis=0).argmax())
+    order = np.argsort(far[:, axis], kind="stable")
+    fp, node, far = fp[order], node[order], far[order]
+    reach = np.searchsorted(far[:, axis], far[:, axis] + RADIUS, side="right")
+    root, left, right = list(range(len(fp))), [], []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -131,88 +152,73 @@ def _linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarr
             i = root[i]
         return i
 
-    at = at[:-1]
-    while True:
-        at = at[at + lag < len(key)]
-        at = at[key[at] == key[at + lag]]
-        if not len(at):
-            break
-        i = at[root[at] != root[at + lag]]
-        for lo in range(0, len(i), 1 << 15):
-            a = i[lo : lo + (1 << 15)]
-            a = a[np.abs(far[a] - far[a + lag]).max(axis=1, initial=0) <= RADIUS]
-            a = a[np.bitwise_count(fp[a] ^ fp[a + lag]) <= RADIUS]
-            for x in a.tolist():
-                p, q = find(x), find(x + lag)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    left.append(node[x])
-                    right.append(node[x + lag])
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        lag += 1
-    return np.array(left, np.int64), np.array(right, np.int64)
+    for i in range(len(fp)):
+        a = np.arange(i + 1, reach[i])
+        a = a[np.abs(far[a] - far[i]).max(axis=1, initial=0) <= RADIUS]
+        a = a[np.bitwise_count(fp[a] ^ fp[i]) <= RADIUS]
+        for j in a.tolist():
+            p, q = find(i), find(j)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                left.append(int(node[i]))
+                right.append(int(node[j]))
+    return left, right
+
+
+def _pairs(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many keys of two fingerprints each, at once: ``fp`` and ``node`` have a row for each key."""
+    near = np.abs(coordinates(fp[:, 0]).astype(np.int8) - coordinates(fp[:, 1]).astype(np.int8)).max(axis=1, initial=0) <= RADIUS
+    near &= np.bitwise_count(fp[:, 0] ^ fp[:, 1]) <= RADIUS
+    return node[near, 0], node[near, 1]
 
 
 def _within_keys(keyed: DataFrame) -> DataFrame:
-    """Links of all keys that aren't crowded; streams key by key through sorted partitions."""
+    """Links under each key; streams key by key through sorted partitions."""
+
+    def emit(rows):
+        key, fp, node = rows[0], rows[1].view(np.uint64), rows[2]
+        cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
+        size = np.diff(cuts)
+        two = cuts[:-1][size == 2]
+        u, v = _pairs(fp[two[:, None] + [0, 1]], node[two[:, None] + [0, 1]]) if len(two) else (node[:0], node[:0])
+        more = [_linked(fp[lo:hi], node[lo:hi]) for lo, hi in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist())]
+        u = np.concatenate([u, *(np.array(x, np.int64) for x, _ in more)])
+        v = np.concatenate([v, *(np.array(x, np.int64) for _, x in more)])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches):
         rest = None
         for b in batches:
+            if not b.num_rows:
+                continue
             part = [b.column(c).to_numpy() for c in ("key", "fp", "node")]
             rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
-            cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+            cut = int(np.searchsorted(rest[0], rest[0][-1]))
             if cut:
                 yield emit([x[:cut] for x in rest])
                 rest = [x[cut:] for x in rest]
         if rest is not None:
             yield emit(rest)
 
-    def emit(rows):
-        u, v = _linked(rows[0], rows[1].view(np.uint64), rows[2])
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
 
 
-def _free_bits(triple: int) -> list[int]:
-    held = _TRIPLES[triple]
-    return [b for i, (lo, hi) in enumerate(zip(_EDGES, _EDGES[1:])) if i not in held for b in range(lo, hi)]
-
-
-def _within_crowds(keyed: DataFrame) -> DataFrame:
-    """Links of crowded keys by shared points. A point has at most 1 + 32 + 496 members."""
-
-    def run(batches):
-        for b in batches:
-            for key, fp, node in zip(b.column("key").to_pylist(), b.column("fp").to_numpy().view(np.uint64), b.column("node").to_pylist()):
-                bits = [np.uint64(1 << x) for x in _free_bits((key & 31))]
-                flips = [np.uint64(0), *bits, *(x | y for x, y in combinations(bits, 2))]
-                point = (fp ^ np.array(flips, np.uint64)).view(np.int64)
-                near = np.arange(len(flips)) <= len(bits)
-                n = len(flips)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int64)), pa.array(point), pa.array(near), pa.array(np.full(n, node, np.int64))], ["key", "point", "near", "node"])
-
-    points = keyed.mapInArrow(run, "key long, point long, near boolean, node long")
-    met = points.groupBy("key", "point").agg(
-        F.min(F.when(F.col("near"), F.col("node"))).alias("u"), F.collect_list("node").alias("members")
-    )
-    return met.filter("u is not null").select("u", F.explode("members").alias("v")).filter("u <> v")
-
-
 def links(reps: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Edges (u, v) between nodes of ``reps`` (fp distinct, node) that connect all fingerprints within 3 bits."""
-    keyed = _keyed(reps)
-    crowded = spool(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"))
-    if crowded.isEmpty():
-        return _within_keys(keyed)
-    return _within_keys(keyed.join(crowded, "key", "left_anti")).union(
-        _within_crowds(keyed.join(crowded, "key", "left_semi").select("key", "fp", "node"))
-    )
+    """Edges (u, v) between nodes of ``reps`` (fp distinct, node) that connect all fingerprints within 3 bits.
+
+    ``crowd`` is 8 at least: 3 free bits hold no more, and can't be divided further.
+    """
+    members = reps.select(F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("free"), "fp", "node")
+    found = None
+    while True:
+        keyed = _keyed(members)
+        sizes = spool(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        crowded = sizes.filter(F.col("n") > max(8, crowd)).select("key")
+        some = keyed.join(sizes.filter(F.col("n") <= max(8, crowd)).select("key"), "key", "left_semi")
+        found = _within_keys(some) if found is None else found.union(_within_keys(some))
+        if crowded.isEmpty():
+            return found
+        members = spool(keyed.join(crowded, "key", "left_semi"))
 
 
 def near_groups(docs: DataFrame, width: int = 3, crowd: int = CROWD) -> DataFrame:
@@ -220,7 +226,7 @@ def near_groups(docs: DataFrame, width: int = 3, crowd: int = CROWD) -> DataFram
     prints = spool(fingerprints(docs, width))
     reps = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = components(links(reps, crowd))
-    named = spool(reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    named = spool(reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), reps, found)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -291,12 +297,51 @@ def _alike(doc: np.ndarray, fp: np.ndarray, minima: np.ndarray) -> list[tuple[in
     return out
 
 
-def candidates(texts: DataFrame, width: int = 5) -> DataFrame:
+def _equal(minima: pa.Array, other: pa.Array) -> np.ndarray:
+    """In how many minima two sketches agree, row by row."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in (minima, other))
+    return (x == y).sum(axis=1)
+
+
+def _led(members: DataFrame, sketches: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame | None]:
+    """(members, edges): keys of more than ``chunk`` documents thinned by leaders, which lose no candidate.
+
+    A key's least document leads: what differs from it in at most ``CLOSE`` minima leaves the key, and what differs by
+    at most ``CLOSE`` more than a candidate may is linked to it, and so to whatever left. Rounds go on while they thin
+    a key by a tenth.
+    """
+    edges = None
+    sizes = spool(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")))
+    big = sizes.filter(F.col("n") > chunk)
+    left = big.agg(F.sum("n")).first()[0]
+    while left:
+        own = sketches.select("doc_id", "minima")
+        crowd = members.join(big.select("key", "leader"), "key").join(own, "doc_id").join(own.withColumnsRenamed({"doc_id": "leader", "minima": "first"}), "leader")
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), b.column("leader"), pa.array(_equal(b.column("minima"), b.column("first")))], ["key", "doc_id", "leader", "equal"])
+
+        met = spool(crowd.select("key", "doc_id", "leader", "minima", "first").mapInArrow(run, "key long, doc_id long, leader long, equal long"))
+        linked = met.filter((F.col("equal") >= LEAST_EQUAL - CLOSE) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
+        edges = linked if edges is None else edges.union(linked)
+        stay = met.filter((F.col("equal") < BANDS * ROWS - CLOSE) & (F.col("doc_id") != F.col("leader"))).select("key", "doc_id")
+        members = spool(members.join(big.select("key"), "key", "left_anti").unionByName(stay))
+        sizes = spool(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")), sizes)
+        big = sizes.filter(F.col("n") > chunk)
+        before, left = left, big.agg(F.sum("n")).first()[0]
+        if left and left > 0.9 * before:
+            break
+    return members, edges
+
+
+def candidates(texts: DataFrame, width: int = 5, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) that connect the doc_ids of all candidate pairs of ``texts`` (doc_id, text)."""
     own = spool(_sketches(texts, width))
     keyed = own.select(F.explode("keys").alias("key"), "doc_id")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = spool(keyed.join(shared, "key", "left_semi").distinct())
+    members, edges = _led(spool(keyed.join(shared, "key", "left_semi").distinct()), own, chunk)
     met = members.join(own.select("doc_id", "fp", "minima"), "doc_id").select("key", "doc_id", "fp", "minima")
 
     def emit(rows):
@@ -320,7 +365,8 @@ def candidates(texts: DataFrame, width: int = 5) -> DataFrame:
         if rest is not None:
             yield emit(rest)
 
-    return met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long")
+    found = spool(met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long"), own)
+    return found if edges is None else found.unionByName(edges)
 
 
 class Kept:
@@ -346,19 +392,11 @@ class Kept:
         self.sets.append(h)
 
 
-def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
-    """``docs`` without those whose shingles are ``similar`` to a document of smaller doc_id that stays.
-
-    Groups are the components of the candidate pairs; a group goes through one task in the order of doc_id. Rows of
-    null doc_id stay; rows that share a doc_id share their fate; other columns pass through. The constants of the
-    candidates are meant for a ``similar`` of 0.8 or more.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    groups = components(candidates(texts, width)).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    met = texts.join(groups, "doc_id").select("group", "doc_id", "text")
+def _beaten(rows: DataFrame, width: int, similar: float) -> DataFrame:
+    """(doc_id) of the documents of each (group, part) that are ``similar`` to one of smaller doc_id that stays."""
 
     def run(batches):
-        group = doc = kept = None
+        at = doc = kept = None
         own, gone = [], []
 
         def settle():
@@ -369,19 +407,50 @@ def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFram
                     kept.add(h)
 
         for b in batches:
-            for g, d, t in zip(b.column("group").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                if (g, d) != (group, doc):
+            for g, p, d, t in zip(*(b.column(c).to_pylist() for c in ("group", "part", "doc_id", "text"))):
+                if ((g, p), d) != (at, doc):
                     settle()
                     own = []
-                    if g != group:
+                    if (g, p) != at:
                         kept = Kept(similar)
-                    group, doc = g, d
+                    at, doc = (g, p), d
                 own.append(shingle_hashes(t, width))
         settle()
         yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["doc_id"])
 
-    gone = met.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "doc_id long")
-    return docs.join(spool(gone).withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "doc_id").select("group", "part", "doc_id", "text").mapInArrow(run, "doc_id long")
+
+
+def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` without those whose shingles are ``similar`` to a document of smaller doc_id that stays.
+
+    Groups are the components of the candidate pairs. A group goes through a task in the order of doc_id; one of more
+    than ``chunk`` documents is first dealt out by a hash, and what is left of its parts is dealt out again, until
+    it fits or its parts lose less than a tenth. Rows of null doc_id stay; rows that share a doc_id share their
+    fate; other columns pass through whatever their names. The constants of the candidates are meant for a
+    ``similar`` of 0.8 or more.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    groups = spool(components(candidates(texts, width, chunk)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
+    bits = bitmap(groups.select(F.xxhash64("doc_id").alias("key")))
+    alive = spool(with_mark(texts, F.xxhash64("doc_id"), bits, "__hit").filter("__hit").join(groups, "doc_id").select("group", "doc_id", "text"), groups)
+    lost, before, last = [], None, False
+    while not last:
+        sizes = spool(alive.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > chunk))
+        big = sizes.agg(F.sum("n")).first()[0]
+        last = not big or (before is not None and big > 0.9 * before)
+        before = big
+        parts = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", F.lit(len(lost))), F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)))
+        gone = spool(_beaten(alive.join(sizes, "group", "left").withColumn("part", parts), width, similar), sizes)
+        lost.append(gone)
+        if not last:
+            alive = spool(alive.join(gone.distinct(), "doc_id", "left_anti"), alive)
+    gone = spool(reduce(DataFrame.union, lost).distinct(), *lost, alive)
+    hit, id_ = free_name(docs, "__hit"), free_name(docs, "__id")
+    key = F.col("doc_id").cast("long")
+    marked = with_mark(docs, F.xxhash64(key), bitmap(gone.select(F.xxhash64("doc_id").alias("key"))), hit)
+    some = marked.filter(F.col(hit)).join(gone.withColumnRenamed("doc_id", id_), key == F.col(id_), "left_anti")
+    return marked.filter(~F.col(hit)).select(docs.columns).union(some.select(docs.columns))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from boutlens.llm import simhash
+from boutlens.llm.common import components
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,3 +51,41 @@ def test_chain_of_copies(spark):
         if not any((j, i) in alike for j in kept):
             kept.append(i)
     assert left(spark, docs) == set(kept) == {0, 2}
+
+
+def test_links_of_divided_keys(spark):
+    """Keys of more than a few fingerprints are divided and lose no link: a cluster around one point, brute force."""
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    prints = {centre}
+    while len(prints) < 300:
+        x = centre
+        for _ in range(rng.randrange(1, 9)):
+            x ^= 1 << rng.randrange(64)
+        prints.add(x)
+    prints = sorted(prints)
+    comp = list(range(len(prints)))
+    for i, x in enumerate(prints):
+        for j in range(i):
+            if (x ^ prints[j]).bit_count() <= 3:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    signed = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(prints)]
+    reps = spark.createDataFrame(signed, "fp long, node long")
+    for crowd in (8, 40, 1000):
+        got = {r.node: r.component for r in components(simhash.links(reps, crowd)).collect()}
+        assert [got.get(i, i) for i in range(len(prints))] == comp
+
+
+def test_large_groups_in_parts(spark):
+    """Groups and keys above the chunk are dealt out: copies of one text go, whatever the chunk."""
+    rng = random.Random(5)
+    words = [word(rng) for _ in range(120)]
+    docs = {k: edited(words, rng.sample(range(120), 1), rng) for k in range(120)}
+    docs |= {1000 + k: [word(rng) for _ in range(100)] for k in range(20)}
+    near = {k: max((simhash.similarity(" ".join(docs[k]), " ".join(docs[j])) for j in docs if j < k), default=0) >= 0.8 for k in docs}
+    df = spark.createDataFrame([(i, " ".join(w), "x") for i, w in docs.items()], "doc_id long, text string, __hit string")
+    for chunk in (10, 5000):
+        kept = {r.doc_id for r in simhash.drop_near(df, chunk=chunk).collect()}
+        assert all(near[k] for k in docs.keys() - kept)
+        assert not any(simhash.similarity(" ".join(docs[i]), " ".join(docs[j])) >= 0.8 for i in kept for j in kept if i < j)
