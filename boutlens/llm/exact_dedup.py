@@ -5,8 +5,9 @@ fingerprints, about 9 bits a digest). The batch's duplicates are grouped among t
 digests meet the filter of their bucket, and only the positives are joined to the snapshot's exact buckets.
 Texts travel only for digests that have a second holder, and are compared byte by byte.
 
-Rows with null text count as empty text; a null doc_id takes part as an ordinary id that never wins;
-an empty batch or snapshot gives the groups of the other; extra columns are ignored.
+Rows with null text count as empty text; a null doc_id takes part as an ordinary id that never wins; rows repeated in
+doc_id and text are rows of one group, of which all with the winning id are kept; an empty batch or snapshot gives the
+groups of the other; texts are compared whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.llm.common import spool
+from boutlens.llm.common import bitmap, free_name, spool, with_mark
 
 MIN_BUCKETS = 64
 DIGESTS_A_BUCKET = 200_000
-MARK_BITS = 1 << 26
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -149,13 +149,15 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
         positives.join(held.select("digest"), "digest", "left_semi")
         .union(held.filter("n > 1").select("digest"))
         .union(coming.filter("n > 1").select("digest"))
-        .distinct()
+        .distinct(),
+        held, coming,
     )
     # Byte check: within a digest, grouping by the text itself; copies fold together before they are shuffled.
     # Texts that are marked by chance are groups of one.
     groups = spool(
         _marked(texts, twice).groupBy("digest", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
+        twice,
     )
     clashing = spool(groups.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
     if clashing.isEmpty():
@@ -172,18 +174,28 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
     )
 
 
-def _marked(texts: DataFrame, digests: DataFrame) -> DataFrame:
-    """The ``texts`` whose digest's bit is set by any of ``digests``: all texts of those, and few others.
+def drop_copies(docs: DataFrame, is_new: Column) -> DataFrame:
+    """``docs`` without copies: of equal texts one row of the largest doc_id stays; rows of null doc_id all stay.
 
-    The bitmap has MARK_BITS bits, thus at most MARK_BITS / 64 rows to broadcast, whatever the corpus; when it
-    fills up more texts are let through.
+    Only rows whose doc_id's bit is set by a copy's are shuffled.
     """
-    bit = F.pmod(F.xxhash64("digest"), F.lit(MARK_BITS))
-    word, place = F.shiftright(bit, 6).alias("__word"), F.pmod(bit, F.lit(64)).cast("int").alias("__bit")
-    marks = digests.select(word, place).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__marks"))
-    placed = texts.select("*", word, place)
-    met = placed.join(F.broadcast(marks), "__word").filter(F.getbit("__marks", F.col("__bit")) == 1)
-    return met.drop("__word", "__bit", "__marks")
+    judged = dedup(docs, is_new).filter("group_size > 1 and doc_id is not null")
+    verdicts = spool(judged.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept")))
+    hit, digest, id_, known, kept = (free_name(docs, n) for n in ("__hit", "__digest", "__id", "__known", "__kept"))
+    marked = with_mark(docs, F.xxhash64("doc_id"), bitmap(verdicts.select(F.xxhash64("doc_id").alias("key"))), hit)
+    named = verdicts.select(F.col("doc_id").alias(id_), F.col("digest").alias(known), F.col("kept").alias(kept))
+    some = marked.filter(F.col(hit)).withColumn(digest, sha256(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    met = some.join(named, (F.col("doc_id") == F.col(id_)) & (F.col(digest) == F.col(known)), "left")
+    alone = met.filter(F.col(id_).isNull())
+    winners = met.filter(F.col(kept)).dropDuplicates([id_, known])
+    rest = marked.filter(~F.col(hit))
+    return rest.select(docs.columns).union(alone.select(docs.columns)).union(winners.select(docs.columns))
+
+
+def _marked(texts: DataFrame, digests: DataFrame) -> DataFrame:
+    """The ``texts`` whose digest's bit is set by any of ``digests``: all texts of those, and few others."""
+    bits = bitmap(digests.select(F.xxhash64("digest").alias("key")))
+    return with_mark(texts, F.xxhash64("digest"), bits, "__hit").filter("__hit").drop("__hit")
 
 
 def half_is_new() -> Column:
