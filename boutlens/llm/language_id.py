@@ -2,35 +2,42 @@
 
 A model holds, for each learnt language, likelihoods of byte trigrams inside lower-cased words. A document
 is a mixture of languages: expectation-maximisation over its words estimates the proportions, first with all
-languages, then with only the k most present ones for each small k; the language set is the one of the best
-likelihood after a penalty of half a log of the word count for each further language.
-
-Null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing could be
-learnt (no labelled rows). Whole texts are read. Fitting may use a sample: about ``ROWS_A_LANGUAGE`` labelled
-rows of each language, chosen by a hash of the id; prediction covers every row.
+languages, then with only the k most present ones for growing k; the language set is the last one that improved
+the likelihood after a penalty of half a log of the word count for each further language.
+
+Null texts and texts without a letter (Unicode category L) are ``und`` with score 0, and so is everything where
+nothing could be learnt (no labelled rows). Whole texts are read; of a very long text a task holds the distinct words
+and their counts. Ties go to the language that comes first by name. Repeated rows get equal results, an empty table
+gives none, and further columns pass through whatever their names. Fitting may use a sample: the ``LANGUAGES`` most
+frequent labels, and about ``ROWS_A_LANGUAGE`` labelled rows of each, chosen by a hash of the id; prediction covers
+every row.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.llm.common import learnable
+from boutlens.llm.common import free_name, learnable
 
 ROWS_A_LANGUAGE = 1000
+#: what is learnt is a table of BINS by at most so many languages, gathered to the driver and broadcast
+LANGUAGES = 256
 BINS = 1 << 15
-MOST_LANGUAGES = 4
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile("[A-Za-z]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _CHUNK_BYTES = 2 << 20
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and (_PLAIN.search(text) or _LETTER.search(text)) is not None
 
 
 def words_of(text: str) -> bytes:
@@ -64,7 +71,8 @@ def _counts(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, may_learn: Column, rows_a_language: int = ROWS_A_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihoods (trigram bin, language)), from about ``rows_a_language`` rows of each."""
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in by.collect()}
     if not sizes:
         return [], np.zeros((BINS, 0), np.float32)
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_a_language / n))))
@@ -77,20 +85,37 @@ def fit(docs: DataFrame, may_learn: Column, rows_a_language: int = ROWS_A_LANGUA
     return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def _mix(like: np.ndarray, starts: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM over the words of many documents at once: proportions and log likelihood of each document."""
+def _mix(like: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM over the weighted words of many documents at once: proportions and log likelihood of each document."""
     doc = np.repeat(np.arange(len(n)), n)
+    total = np.add.reduceat(weight, starts)
     for _ in range(rounds):
         part = like * share[doc]
-        part /= part.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(part, starts, axis=0) / n[:, None]
-    seen = np.log((like * share[doc]).sum(axis=1))
+        part *= (weight / part.sum(axis=1))[:, None]
+        share = np.add.reduceat(part, starts, axis=0) / total[:, None]
+    seen = np.log((like * share[doc]).sum(axis=1)) * weight
     return share, np.add.reduceat(seen, starts)
 
 
+def _distinct(text: str) -> tuple[bytes, list[int]]:
+    """The distinct words of a very long text, walked in slices, and their counts."""
+    seen: Counter = Counter()
+    lo = 0
+    while lo < len(text):
+        hi = text.find(" ", lo + _CHUNK_BYTES) if lo + _CHUNK_BYTES < len(text) else len(text)
+        hi = len(text) if hi < 0 else hi
+        seen.update(words_of(text[lo:hi]).split())
+        lo = hi
+    return b" " + b" ".join(seen) + b" ", list(seen.values())
+
+
 def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best language, its proportion) of texts that have letters."""
-    blobs = [words_of(t) for t in texts]
+    blobs, counts = [], []
+    for t in texts:
+        words, count = _distinct(t) if len(t) > 2 * _CHUNK_BYTES else (words_of(t), None)
+        blobs.append(words)
+        counts.append(count)
     # a text whose letters are all single words still has two spaces around each
     a = np.frombuffer(b"".join(blobs), np.uint8)
     logs = table[trigrams(np.concatenate([a, np.zeros(2, np.uint8)]))]
@@ -104,21 +129,22 @@ def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     like = np.add.reduceat(logs, words, axis=0).astype(np.float64)
     like = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), -12))
     n = np.bincount(np.searchsorted(ends, words, side="right"), minlength=len(texts))
+    weight = np.concatenate([np.ones(k) if c is None else np.array(c, float) for k, c in zip(n, counts)])
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    total = np.add.reduceat(weight, starts)
     full = np.full((len(texts), table.shape[1]), 1 / table.shape[1])
-    share, _ = _mix(like, starts, n, full, 12)
+    share, _ = _mix(like, weight, starts, n, full, 12)
     order = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    best, best_share = None, None
-    for k in range(1, min(MOST_LANGUAGES, table.shape[1]) + 1):
+    best, best_share, open_ = np.full(len(texts), -np.inf), share, np.ones(len(texts), bool)
+    for k in range(1, table.shape[1] + 1):
         kept = np.where(order < k, np.maximum(share, 1e-9), 0)
-        got, seen = _mix(like, starts, n, kept / kept.sum(axis=1, keepdims=True), 1 if k == 1 else 6)
-        value = seen - 0.5 * (k - 1) * np.log(n + 1)
-        if best is None:
-            best, best_share = value, got
-        else:
-            better = value > best
-            best_share = np.where(better[:, None], got, best_share)
-            best = np.maximum(best, value)
+        got, seen = _mix(like, weight, starts, n, kept / kept.sum(axis=1, keepdims=True), 1 if k == 1 else 6)
+        value = seen - 0.5 * (k - 1) * np.log(total + 1)
+        open_ &= value > best
+        if not open_.any():
+            break
+        best_share = np.where(open_[:, None], got, best_share)
+        best = np.where(open_, value, best)
     top = best_share.argmax(axis=1)
     return top, best_share[np.arange(len(texts)), top]
 
@@ -127,11 +153,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     """``keep`` columns of every row of ``docs`` with the prediction and its score under ``names``; text is read from ``docs.text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name in keep]
+    text = free_name(docs, "__text")
 
     def run(batches):
         languages, table = shared.value
         for b in batches:
-            texts = b.column("__text").to_pylist()
+            texts = b.column(text).to_pylist()
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
             todo = [i for i, t in enumerate(texts) if languages and has_letter(t)]
             lo = 0
@@ -150,7 +177,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*fields]).add(names[0], StringType()).add(names[1], DoubleType())
-    return docs.select(*(f.name for f in fields), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in fields), F.col("text").cast("string").alias(text)).mapInArrow(run, schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
