@@ -145,3 +145,25 @@ def resolve_division(store: Store, asked: str) -> str | None:
     """The rankable division that a user's text means."""
     spark = store.fighters.sparkSession
     return spark.range(1).select(text.matching_division(F.lit(asked))).first()[0]
+
+
+def inference_rows(store: Store, pairs: DataFrame) -> DataFrame:
+    """Rows to score for bouts to come: ``pairs`` (a, b, day) with both sides' latest ratings, features and measurements before the day.
+
+    What lies on the day itself or later isn't read; a side without a rating has 1500, other gaps are null.
+    """
+    numbers = [n for n, k in store.features.dtypes if k in ("double", "int", "bigint") and n not in ("fighter", "fight_id")] if store.features is not None else []
+    asked = pairs.withColumn("row", F.monotonically_increasing_id())
+    both = asked.select("row", F.col("day").alias("event_date"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("fighter")), F.struct(F.lit("b").alias("side"), F.col("b").alias("fighter")))).alias("s"))
+    sides_ = both.select("row", "event_date", "s.side", "s.fighter")
+    elo = store.snapshots.filter("elo_type = 'overall'")
+    met = matching.asof_backward(sides_, elo, "fighter", "event_date", ["fight_id", "after"]).select("row", "event_date", "side", "fighter", F.coalesce("last_after", F.lit(1500.0)).alias("elo"))
+    if numbers:
+        known = store.features.withColumnRenamed("as_of", "event_date")
+        met = matching.asof_backward(met, known, "fighter", "event_date", ["fight_id", *numbers]).drop("last_event_date", "last_fight_id").withColumnsRenamed({f"last_{n}": n for n in numbers})
+    f = store.fighters.select(F.col("id").alias("fighter"), "height", "reach", "born")
+    met = met.join(f, "fighter", "left").withColumn("age", dates.years_between(F.col("born"), F.col("event_date"))).drop("born")
+    columns = ["elo", *numbers, "height", "reach", "age"]
+    a, b = (met.filter(F.col("side") == s).select("row", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
+    wide = asked.join(a, "row").join(b, "row")
+    return wide.select("a", "b", "day", *((F.col(f"{c}_a") - F.col(f"{c}_b")).alias(f"{c}_diff") for c in columns), fn.expected_score(F.col("elo_a"), F.col("elo_b")).alias("elo_prob"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ ORGANISATIONS = {
 }
 CHALLENGES = ["Just a moment...", "cf-browser-verification", "Cloudflare Ray ID", "Attention Required! | Cloudflare"]
 REFUSALS = [403, 429, 503]
-_FOLD_FROM = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-_FOLD_TO = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+#: Latin letters with marks, and the plain letters that they are made of
+_FOLDS = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii()]
 
 
 def blank_to_null(s: Column) -> Column:
@@ -93,7 +95,7 @@ def truthy(s: Column) -> Column:
 
 def fold(s: Column) -> Column:
     """Latin letters without their marks; what is then still no ASCII goes."""
-    return F.regexp_replace(F.translate(s, _FOLD_FROM, _FOLD_TO), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(F.translate(s, "".join(a for a, _ in _FOLDS), "".join(b for _, b in _FOLDS)), r"[^\x00-\x7F]", "")
 
 
 def collapsed(s: Column) -> Column:

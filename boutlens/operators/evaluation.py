@@ -175,3 +175,50 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     inside = F.row_number().over(Window.partitionBy(first).orderBy(*order[1:])) - 1
     met = df.withColumn("__inside", inside).join(before, F.col(first).eqNullSafe(F.col("__key")))
     return met.withColumn(name, F.col("__before") + F.col("__inside")).drop("__inside", "__key", "__before")
+
+
+def nan_drop(df: DataFrame, columns: list[str], policy: str = "symmetric", baseline: tuple[str, ...] = ("xgb_oof_prob", "elo_prob")) -> DataFrame:
+    """Rows fit to learn from: without a null in any column, or ("per_feature_strict_baseline") in the baseline's alone."""
+    if policy == "symmetric":
+        return df.dropna(subset=columns)
+    if policy != "per_feature_strict_baseline":
+        raise ValueError(f"unknown policy {policy!r}")
+    missing = [c for c in baseline if c not in columns]
+    if missing:
+        raise KeyError(f"baseline columns that aren't there: {missing}")
+    return df.dropna(subset=list(baseline))
+
+
+def composition(slices: DataFrame, steps: DataFrame, by: str = "candidate", hurdle: float = 0.003) -> DataFrame:
+    """The decision on each composed candidate: slices (by, brier, baseline, accuracy, brier_max, accuracy_min), steps (by, clears).
+
+    All three have to hold: every slice within its limits, every slice better than the baseline by the hurdle, every
+    step cleared. Path b: some steps cleared and not all, and either a limit was missed or the steps alone failed.
+    """
+    bad = F.col("brier").isNull() | F.isnan("brier")
+    s = slices.groupBy(by).agg(
+        F.bool_and(~bad & (F.col("brier") <= F.col("brier_max")) & (F.col("accuracy") >= F.col("accuracy_min"))).alias("gate"),
+        F.bool_and(~bad & (F.col("baseline") - F.col("brier") >= hurdle)).alias("margin"), F.bool_or(bad).alias("unknown"),
+    )
+    t = steps.groupBy(by).agg(F.bool_and("clears").alias("all_steps"), F.bool_or("clears").alias("any_step"))
+    met = s.join(t, by)
+    partial = F.col("any_step") & ~F.col("all_steps") & (~F.col("gate") | F.col("margin"))
+    path = F.when(F.col("gate") & F.col("margin") & F.col("all_steps"), "path_a").when(~F.col("unknown") & partial, "path_b").otherwise("path_c")
+    return met.select(by, "gate", "margin", "all_steps", path.alias("path"), F.when(path == "path_a", "promote").otherwise("reject").alias("verdict"))
+
+
+def divergence(slices: DataFrame, by: str = "candidate", hurdle: float = 0.003) -> DataFrame:
+    """Whether a gain is real: slices (by, remeasured, reported, clears). Two slices whose reported gain above 0.2 shrank below
+    0.05 make it an artifact."""
+    s = slices.groupBy(by).agg(
+        F.count_if((F.abs("remeasured") < 0.05) & (F.col("reported") > 0.2)).alias("shrunk"), F.bool_and("clears").alias("clears"), F.count_if(F.col("remeasured") >= hurdle).alias("gains")
+    )
+    return s.select(by, F.when(F.col("shrunk") >= 2, "artifact").when(F.col("clears") & (F.col("gains") >= 2), "real").otherwise("real_but_floor_misses").alias("verdict"))
+
+
+def slice_coverage(slices: DataFrame, full: DataFrame, by: str = "slice", least: float = 0.5) -> DataFrame:
+    """Rows of each slice against the rows it should have; empty slices appear and fail."""
+    own = slices.groupBy(by).agg(F.count("*").alias("rows"))
+    met = full.join(own, by, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    share = F.col("rows") / F.col("expected")
+    return met.select(by, "rows", "expected", share.alias("share"), ((F.col("rows") > 0) & (share >= least)).alias("passes"))

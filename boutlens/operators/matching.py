@@ -41,11 +41,11 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, columns:
 
     One union and one window: rows of both meet in the order of time, and the last seen state is carried on.
     """
-    state = right.select(key, F.col(at).alias("__at"), F.lit(1 if strict else -1).alias("__side"), F.struct(at, *columns).alias("__state"), *(F.lit(None).cast(left.schema[c].dataType).alias(f"__{c}") for c in left.columns))
-    asked = left.select(key, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(state.schema["__state"].dataType).alias("__state"), *(F.col(c).alias(f"__{c}") for c in left.columns))
-    w = Window.partitionBy(key).orderBy("__at", "__side", F.col("__state")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = state.unionByName(asked).withColumn("__last", F.last("__state", ignorenulls=True).over(w)).filter("__side = 0")
-    return seen.select(*(F.col(f"__{c}").alias(c) for c in left.columns), *(F.col(f"__last.{c}").alias(f"last_{c}") for c in [at, *columns]))
+    state = right.select(key, F.col(at).alias("__asof_at"), F.lit(1 if strict else -1).alias("__asof_side"), F.struct(at, *columns).alias("__asof_state"), *(F.lit(None).cast(left.schema[c].dataType).alias(f"__own_{c}") for c in left.columns))
+    asked = left.select(key, F.col(at).alias("__asof_at"), F.lit(0).alias("__asof_side"), F.lit(None).cast(state.schema["__asof_state"].dataType).alias("__asof_state"), *(F.col(c).alias(f"__own_{c}") for c in left.columns))
+    w = Window.partitionBy(key).orderBy("__asof_at", "__asof_side", F.col("__asof_state")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = state.unionByName(asked).withColumn("__asof_last", F.last("__asof_state", ignorenulls=True).over(w)).filter("__asof_side = 0")
+    return seen.select(*(F.col(f"__own_{c}").alias(c) for c in left.columns), *(F.col(f"__asof_last.{c}").alias(f"last_{c}") for c in [at, *columns]))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, day: str, within: int) -> DataFrame:

@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from boutlens import api
+from boutlens import api, schemas
 
 D = datetime.date
 
@@ -53,3 +53,21 @@ def test_matchup(store):
     assert r.expected_a == pytest.approx(1 / (1 + 10 ** (-70 / 400))) and r.style_a == "striker" and (r.td_rate_a, r.td_rate_b) == (6.0, 3.0)
     r = api.build_matchup(store, "silva", "Jon Jones").first()
     assert r.id_a is None and r.id_b == 1
+
+
+def test_inference_rows(spark, store):
+    """Only what was known before the day; a newcomer starts at 1500."""
+    pairs = spark.createDataFrame([(1, 2, D(2013, 1, 1)), (1, 2, D(2013, 1, 2)), (4, 77, D(2020, 1, 1))], "a long, b long, day date")
+    got = {(r.a, r.day): r for r in api.inference_rows(store, pairs).collect()}
+    first, second, third = got[1, D(2013, 1, 1)], got[1, D(2013, 1, 2)], got[4, D(2020, 1, 1)]
+    assert first.elo_diff == 1510.0 - 1520.0 and first.td_rate_diff is None
+    assert second.elo_diff == 1540.0 - 1470.0 and second.td_rate_diff == 2.0 and second.height_diff == 2.0
+    assert third.elo_diff == 0.0 and third.elo_prob == 0.5 and third.reach_diff is None
+
+
+def test_schemas(spark):
+    rows = spark.createDataFrame([(1, 10, 1, 2, "3", None), (1, 10, 1, 1, "9", "x")], "id long, event_id long, fighter_a_id long, fighter_b_id long, num_rounds string, other string")
+    table = schemas.conform(rows, schemas.FIGHTS)
+    assert table.columns == schemas.FIGHTS.names and dict(table.dtypes)["num_rounds"] == "int"
+    got = {r.rule: r.n for r in schemas.faults(table, schemas.FIGHTS, schemas.KEYS["fights"], schemas.CHECKS["fights"]).collect()}
+    assert got["num_rounds"] == 1 and got["same_fighter"] == 1 and got["repeated key"] == 1 and got["null weight_class"] == 2 and got["null id"] == 0

@@ -96,8 +96,10 @@ def test_folds_and_stacker(spark, frame):
 
 def test_boosted_and_calibrated(spark, frame):
     rows = models.assembled(frame, ["a", "b", "c"])
-    best, score = models.search(rows, 2, ["event_date", "fight_id"], [{"maxDepth": 2, "maxIter": 3}, {"maxDepth": 1, "maxIter": 1, "stepSize": 0.01}])
-    assert best["maxDepth"] == 2 and 0 < score < 0.26
+    tries = [{"maxDepth": 2, "maxIter": 3}, {"maxDepth": 1, "maxIter": 1, "stepSize": 0.01}]
+    best, score = models.search(rows, 2, ["event_date", "fight_id"], tries)
+    scores = [models.brier(models.out_of_fold(rows, 2, ["event_date", "fight_id"], models.boosted(**t).fit, guard=False)) for t in tries]
+    assert score == pytest.approx(min(scores)) and best == tries[scores.index(min(scores))]
     train, test = rows.filter("fight_id < 300"), rows.filter("fight_id >= 300")
     blend = models.ensemble(train, test).select("fight_id", "y", "p")
     out = models.calibrated(blend, models.probability(models.boosted(maxDepth=2, maxIter=3).fit(train), test).select("fight_id", "y", "p"))
@@ -152,3 +154,36 @@ def test_stream_of_bouts(spark, tmp_path):
             if w is not None:
                 ewma = float(w) if ewma is None else ewma * 0.794 + w * 0.206
         assert got[f] == (60, sum(w == 1 for w in own), streak, round(ewma, 9))
+
+
+def test_compositions(spark):
+    """Promotion needs limits, margin and all steps; some steps alone are path b, an unknown score is path c."""
+    s = "candidate string, brier double, baseline double, accuracy double, brier_max double, accuracy_min double"
+    rows = [(c, b, 0.21, 0.7, 0.208, 0.65) for c, bs in {"good": (0.2, 0.19), "thin": (0.2, 0.2085), "part": (0.2, 0.2), "nan": (0.2, float("nan"))}.items() for b in bs]
+    steps = [("good", True), ("good", True), ("thin", True), ("thin", False), ("part", True), ("part", False), ("nan", True), ("nan", False)]
+    out = evaluation.composition(spark.createDataFrame(rows, s), spark.createDataFrame(steps, "candidate string, clears boolean"))
+    assert {r.candidate: (r.verdict, r.path) for r in out.collect()} == {"good": ("promote", "path_a"), "thin": ("reject", "path_b"), "part": ("reject", "path_b"), "nan": ("reject", "path_c")}
+    d = [("x", 0.01, 0.25, True), ("x", 0.02, 0.3, True), ("x", 0.3, 0.3, True), ("y", 0.1, 0.1, True), ("y", 0.1, 0.1, True), ("z", 0.1, 0.1, False), ("z", 0.1, 0.1, True)]
+    got = {r.candidate: r.verdict for r in evaluation.divergence(spark.createDataFrame(d, "candidate string, remeasured double, reported double, clears boolean")).collect()}
+    assert got == {"x": "artifact", "y": "real", "z": "real_but_floor_misses"}
+
+
+def test_drop_policies(spark):
+    df = spark.createDataFrame([(0.5, 0.5, 1.0), (0.5, None, 1.0), (0.5, 0.5, None)], "xgb_oof_prob double, elo_prob double, extra double")
+    assert evaluation.nan_drop(df, df.columns).count() == 1 and evaluation.nan_drop(df, df.columns, "per_feature_strict_baseline").count() == 2
+    with pytest.raises(KeyError):
+        evaluation.nan_drop(df, ["extra"], "per_feature_strict_baseline")
+    with pytest.raises(ValueError):
+        evaluation.nan_drop(df, df.columns, "other")
+    full = spark.createDataFrame([("a", 4), ("b", 2)], "slice string, expected long")
+    got = {r.slice: (r.rows, r.passes) for r in evaluation.slice_coverage(spark.createDataFrame([("a",)] * 3, "slice string"), full).collect()}
+    assert got == {"a": (3, True), "b": (0, False)}
+
+
+def test_feature_sets():
+    from boutlens.operators import matrix
+
+    assert [len(matrix.feature_columns(s)) for s in ("v1.0", "v2.1-no-net", "v2.2", "v2.5-travel", "no-odds")] == [75, 72, 90, 92, 67]
+    assert set(matrix.LEVEL_ONE[2:]) <= set(matrix.feature_columns("v2.2")) and len(matrix.LEVEL_ONE) == 13
+    with pytest.raises(ValueError):
+        matrix.feature_columns("v9")
