@@ -3,14 +3,15 @@ r"""Chat formatting over a prefix tree.
 A turn is ``### role: text </turn>`` and a line feed; inside roles and texts a backslash goes before each
 backslash, ``###``, ``</turn>`` and, in roles, colon, so that what has no backslash is always a control string.
 Conversations are range-sorted by the chain of their turns' hashes, which is the depth-first order of their
-prefix tree. Each task writes one block: a conversation adds only the turns that it doesn't share with the one
-before it, so every shared turn is written once; a block starts its own tree, so a tree that holds a third of
-all rows spreads over tasks and only the one path at each cut is written again. A turn's tokens (code points)
-get position ids from the start of their conversation and attend to their own turn and to the intervals of
-their ancestors in the block.
-
-Null roles and texts are empty; turns of equal number are ordered by role and text; null turn numbers come
-first; rows of null conv_id are one conversation. An empty table gives no rows; extra columns are ignored.
+prefix tree; whether two of them share a turn is decided by its role and text. Each task writes one block: a
+conversation adds only the turns that it doesn't share with the one before it, so every shared turn is written once; a
+block starts its own tree, so a tree that holds a third of all rows spreads over tasks and only the one path at each
+cut is written again. A turn's tokens (code points) get position ids from the start of their conversation and attend
+to their own turn and to the intervals of their ancestors in the block.
+
+Null roles and texts are empty; turns of equal number are ordered by role and text, repeated rows are turns of their
+own; null turn numbers come first; rows of null conv_id are one conversation. A task holds one conversation and the
+path before it, whole, however long. An empty table gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutlens.llm.common import spool
+
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
 _IN_TEXT = re.compile(r"\\|###|</turn>")
 _IN_ROLE = re.compile(r"\\|###|</turn>|:")
@@ -63,28 +66,35 @@ def _conversations(rows: DataFrame) -> DataFrame:
     """One row for each conversation: (conv_id, path, roles, texts); path chains 8 bytes of hash a turn."""
 
     def run(batches):
-        conv, roles, texts, any_ = None, [], [], False
+        conv, roles, texts, done, size = None, [], [], [], 0
 
-        def row():
+        def close():
             path, link = b"", b""
             for r, t in zip(roles, texts):
                 link = hashlib.sha256(link + r.encode() + b"\n" + t.encode()).digest()
                 path += link[:8]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([conv], pa.int64()), pa.array([path], pa.binary()), pa.array([roles], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.string()))],
-                ["conv_id", "path", "roles", "texts"],
-            )
+            done.append((conv, path, roles, texts))
+            return sum(map(len, texts))
+
+        def table():
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], ["conv_id", "path", "roles", "texts"])
 
         for b in batches:
             for c, r, t in zip(*(b.column(x).to_pylist() for x in ("conv_id", "role", "text"))):
-                if any_ and c != conv:
-                    yield row()
+                if roles and c != conv:
+                    size += close()
                     roles, texts = [], []
-                conv, any_ = c, True
+                    if len(done) >= 1000 or size >= 1 << 22:
+                        yield table()
+                        done, size = [], 0
+                conv = c
                 roles.append(r)
                 texts.append(t)
-        if any_:
-            yield row()
+        if roles:
+            close()
+        if done:
+            yield table()
 
     turns = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -110,14 +120,14 @@ def pack_tree(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         block = TaskContext.get().partitionId()
-        path, turns, end = b"", [], 0  # turns: (start, stop, loss start, loss stop) of the live path
+        path, said, turns, end = b"", [], [], 0  # turns: (start, stop, loss start, loss stop) of the live path
         for b in batches:
             out = []
             for conv, key, roles, texts in zip(*(b.column(x).to_pylist() for x in ("conv_id", "path", "roles", "texts"))):
-                shared = 0
-                while 8 * shared < min(len(key), len(path)) and key[8 * shared : 8 * shared + 8] == path[8 * shared : 8 * shared + 8]:
+                shared, own = 0, list(zip(roles, texts))
+                while shared < min(len(own), len(said)) and key[8 * shared : 8 * shared + 8] == path[8 * shared : 8 * shared + 8] and own[shared] == said[shared]:
                     shared += 1
-                path, turns = key, turns[:shared]
+                path, said, turns = key, own, turns[:shared]
                 begin, added = end, []
                 for r, t in zip(roles[shared:], texts[shared:]):
                     s, lo, hi = formatted(r, t)
@@ -135,7 +145,7 @@ def pack_tree(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return _conversations(rows).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInArrow(run, _OUT)
+    return spool(_conversations(rows)).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInArrow(run, _OUT)
 
 
 def read_back(blocks: DataFrame) -> DataFrame:
