@@ -6,7 +6,9 @@ merged token, the swallowed one and the left neighbour: three logarithmic point
 token itself needs no merging. Pieces are those of the tokenizer's pattern; words that recur are remembered
 in a bounded memo of two generations, which changes no result.
 
-Null text is empty text: no ids. Empty texts give no ids, whole texts are encoded however long they are.
+Null text is empty text: no ids. Empty texts give no ids, whole texts are encoded however long they are: a long piece's
+tree is kept in flat arrays of 64-bit numbers. Repeated rows and rows of null doc_id are encoded like others, an empty
+table gives no rows, extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import base64
 import functools
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NONE = 1 << 62
+#: pieces of more bytes are merged in flat arrays
+_LONG = 1 << 12
 #: A space after white space; elsewhere a piece always starts at a space, whatever the pattern's other parts.
 _GAP = re.compile(r"\s ")
 
@@ -34,9 +39,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     size = 1 << max(0, n - 1).bit_length()
-    after = [*range(1, n + 1), n]
-    before = [*range(-1, n)]
-    tree = [_NONE] * (2 * size)
+    held = list if n <= _LONG else functools.partial(array, "q")
+    after = held(range(1, n + 2))
+    after[n] = n
+    before = held(range(-1, n))
+    tree = held([_NONE]) * (2 * size)
     for i in range(n - 1):
         r = ranks.get(piece[i : i + 2])
         if r is not None:
@@ -99,6 +106,8 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
+        # words may be remembered one by one where the pattern begins a piece at every lone space
+        self.spaced = self.split("a b 1 ! c") == ["a", " b", " 1", " !", " c"]
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -110,7 +119,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _GAP.search(text):
+        if not self.spaced or _GAP.search(text):
             return self._pieces(text)
         first, *rest = text.split(" ")
         return self._pieces(first) + b"".join(map(self.words.__getitem__, rest))

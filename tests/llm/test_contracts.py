@@ -10,7 +10,9 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from boutlens.llm import byte_bpe, exact_dedup
 from boutlens.llm import queries as registry
 from tests.conftest import SF
 
@@ -90,6 +92,23 @@ def test_op3(spark, docs, edge_dir, where):
         assert got.decoded_sha256[i] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_op3_long_pieces_and_other_patterns():
+    """Flat arrays merge as lists do; a pattern that doesn't begin pieces at spaces is split as a whole."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    c = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    for piece in ("ab" * 6000, "x" * 5000 + "yz" * 900, "é" * 5000):
+        assert len(piece.encode()) > byte_bpe._LONG
+        long = byte_bpe.merge(piece.encode(), c.ranks)
+        enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=c.ranks, special_tokens={})
+        assert long == enc.encode_ordinary(piece)
+    other = byte_bpe.Codec(path, r"(?s).{1,7}")
+    assert c.spaced and not other.spaced
+    want = tiktoken.Encoding("own", pat_str=r"(?s).{1,7}", mergeable_ranks=c.ranks, special_tokens={}).encode_ordinary("some words in a row")
+    assert np.frombuffer(other.encode("some words in a row"), "<u4").tolist() == want
+
+
 @pytest.mark.parametrize("where", ["sf", "edge"])
 def test_op6(spark, edge_dir, where):
     base = SF if where == "sf" else edge_dir
@@ -101,6 +120,18 @@ def test_op6(spark, edge_dir, where):
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
 
 
+def test_op6_unequal_texts_under_one_digest(spark):
+    """A digest of three values: texts are told apart by their bytes all the same."""
+    rows = [(i, f"t{i % 7}") for i in range(40)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = lambda t: F.unhex(F.sha2((F.length(t) + F.ascii(F.right(t, F.lit(1))) % 3).cast("string"), 256))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(df, exact_dedup.half_is_new(), digest).collect()}
+    by = {}
+    for i, t in rows:
+        by.setdefault(t or "", []).append(i)
+    assert got == {i: (max(v), len(v), i == max(v)) for v in by.values() for i in v}
+
+
 def test_op9(spark, docs, edge_dir):
     got = registry.queries()["op9_language_id"](spark, SF).toPandas().merge(docs, on="doc_id")
     known = got[got.held_out & got.lang.notna() & (got.lang_pred != "und")]
