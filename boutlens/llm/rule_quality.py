@@ -5,9 +5,11 @@ drawn by a hash of the id) shallow trees are grown on random halves of rows and
 tree is a conjunctive rule; a logistic model with an L1 penalty weighs the rules, and those with weight are
 compiled to one Spark expression, so that every row is scored inside the JVM.
 
-Null and empty texts have all-zero statistics and are scored like others. Without labelled rows the score is
-0.5 everywhere; with one class only it is that class's smoothed share. An empty table gives no rows; extra
-columns are ignored; repeated rows are scored alike.
+Null and empty texts have all-zero statistics and are scored like others, whole texts are measured however long.
+Without labelled rows the score is 0.5 everywhere; with one class only, or too few rows for a rule, it is the smoothed share of the labels. Ties between
+splits go to the feature and cut tried first. An empty table gives no rows; extra columns are ignored whatever their
+names; repeated rows are scored alike; a null doc_id is no label's, its row is scored and counts neither as held out nor
+as learnt from (null).
 """
 
 from __future__ import annotations
@@ -113,11 +115,11 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 3) -> tuple[float, list[tupl
     """(intercept, weighted rules)."""
     if not len(y):
         return 0.0, []
-    if y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return float(np.log(p / (1 - p))), []
+    p = (y.sum() + 1) / (len(y) + 2)
     rng = np.random.default_rng(seed)
-    rules = list(dict.fromkeys(rule for _ in range(TREES) for rule in grow(x, y, rng)))
+    rules = list(dict.fromkeys(rule for _ in range(TREES) for rule in grow(x, y, rng))) if y.min() < y.max() else []
+    if not rules:
+        return float(np.log(p / (1 - p))), []
     held = np.column_stack([_holds(x, rule) for rule in rules]).astype(float)
     _, first = np.unique(held, axis=1, return_index=True)
     first = np.sort(first)
