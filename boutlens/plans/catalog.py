@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from boutlens.plans import career, evaluations, learned, matching, parsing, profiles, queries, ratings, selections
+from boutlens.plans import career, evaluations, learned, matching, parsing, profiles, queries, ratings, reports, selections
 from boutlens.plans.registry import QUERIES, SQL
 
-MODULES = [queries, career, matching, profiles, parsing, evaluations, selections, ratings, learned]
+MODULES = [queries, career, matching, profiles, parsing, evaluations, selections, ratings, reports, learned]
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
