@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from boutlens.functions.odds import edge_weight
 
 DAMPING, DECAY, TOLERANCE, ROUNDS = 0.85, 0.98, 1e-6, 100
+#: folded edges that are broadcast: 32 bytes each
+MOST_EDGES = 2_000_000
 _EPOCH = datetime.date(1970, 1, 1)
 
 
@@ -82,12 +84,14 @@ def power_iteration(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, alpha:
     return nodes, x, sos
 
 
-def pagerank_asof(graph: DataFrame, days: DataFrame, decay: float | None = None) -> DataFrame:
+def pagerank_asof(graph: DataFrame, days: DataFrame, decay: float | None = None, most_edges: int = MOST_EDGES) -> DataFrame:
     """(as_of, node, rank, sos) of the graph before each day.
 
-    The edges of all days live once, sorted, in each task that solves days; a task takes a share of the days, so that
-    edges aren't multiplied by days. The folded edges are one row a pair: memory grows with pairs, not with bouts.
+    A graph of at most ``most_edges`` folded edges is broadcast, and every task solves a share of the days by itself: edges
+    aren't multiplied by days. A larger one is solved by joins, all days at once.
     """
+    if graph.count() > most_edges:
+        return _ranks_by_joins(edges_asof(graph, days, decay))
     packed = graph.groupBy().agg(F.collect_list(F.struct("src", "dst", "weight", F.unix_date("earliest").alias("day"))).alias("all"))
     asked = days.select("as_of").distinct().repartition("as_of").join(F.broadcast(packed))
 
@@ -110,6 +114,28 @@ def pagerank_asof(graph: DataFrame, days: DataFrame, decay: float | None = None)
     return asked.mapInArrow(run, "as_of date, node long, rank double, sos double")
 
 
+def _ranks_by_joins(known: DataFrame) -> DataFrame:
+    """power_iteration() of every day's edges (as_of, src, dst, weight) as joins; a day stops when it has converged."""
+    out = known.groupBy("as_of", "src").agg(F.sum("weight").alias("total"))
+    shares = checkpointed(known.join(out, ["as_of", "src"]).select("as_of", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    nodes = shares.select("as_of", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    gives = shares.select("as_of", F.col("src").alias("node"), F.lit(True).alias("gives")).distinct()
+    sizes = nodes.groupBy("as_of").agg(F.count("*").alias("n"))
+    ranks = checkpointed(nodes.join(gives, ["as_of", "node"], "left").join(sizes, "as_of").select("as_of", "node", "n", F.coalesce("gives", F.lit(False)).alias("gives"), (1 / F.col("n")).alias("rank"), F.lit(False).alias("done")))
+    for _ in range(ROUNDS):
+        into = shares.join(ranks.filter("not done").select("as_of", F.col("node").alias("src"), "rank"), ["as_of", "src"]).groupBy("as_of", F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("into"))
+        loose = ranks.groupBy("as_of").agg(F.sum(F.when(~F.col("gives"), F.col("rank")).otherwise(0.0)).alias("loose"))
+        met = ranks.join(into, ["as_of", "node"], "left").join(loose, "as_of")
+        value = DAMPING * (F.coalesce("into", F.lit(0.0)) + F.col("loose") / F.col("n")) + (1 - DAMPING) / F.col("n")
+        new = checkpointed(met.withColumn("new", F.when(F.col("done"), F.col("rank")).otherwise(value)))
+        moved = new.groupBy("as_of").agg((F.sum(F.abs(F.col("new") - F.col("rank"))) < F.first("n") * TOLERANCE).alias("still"))
+        ranks = checkpointed(new.join(moved, "as_of").select("as_of", "node", "n", "gives", F.col("new").alias("rank"), (F.col("done") | F.col("still")).alias("done")))
+        if ranks.filter("not done").isEmpty():
+            break
+    beaten = shares.join(ranks.select("as_of", F.col("node").alias("src"), "rank"), ["as_of", "src"]).groupBy("as_of", F.col("dst").alias("node")).agg(F.avg("rank").alias("sos"))
+    return ranks.select("as_of", "node", "rank").join(beaten, ["as_of", "node"], "left")
+
+
 def network_features(rows: DataFrame, ranks: DataFrame, day: str = "event_date", node: str = "fighter") -> DataFrame:
     """``rows`` with rank, sos and in_graph_debut, 1 where the graph before the day doesn't know the node."""
     met = rows.join(ranks.withColumnsRenamed({"as_of": "__day", "node": "__node"}), (F.col(day) == F.col("__day")) & (F.col(node) == F.col("__node")), "left")
