@@ -15,7 +15,7 @@ CASE o_orderkey % 5 WHEN 0 THEN '--' WHEN 1 THEN '1:2:3' ELSE (o_orderkey % 6) |
 CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'n%' ELSE (o_orderkey % 101) || '%' END AS pct,
 CASE o_orderkey % 6 WHEN 0 THEN 'nan' ELSE (5 + o_orderkey % 2) || ''' ' || (o_orderkey % 12) || '"' END AS height,
 CASE o_orderkey % 6 WHEN 1 THEN 'None' WHEN 2 THEN 'wide' ELSE (60 + o_orderkey % 25) || '.5"' END AS reach,
-CASE o_orderkey % 5 WHEN 0 THEN 'UFC Light Heavyweight Title Bout' WHEN 1 THEN 'Women''s Flyweight Bout' WHEN 2 THEN 'heavyweight bout' WHEN 3 THEN 'Superfight TITLE' END AS kind,
+CASE o_orderkey % 5 WHEN 0 THEN 'Main Light Heavyweight Title Bout' WHEN 1 THEN 'Women''s Flyweight Bout' WHEN 2 THEN 'heavyweight bout' WHEN 3 THEN 'Superfight TITLE' END AS kind,
 CASE o_orderkey % 4 WHEN 0 THEN '5 Rnd (5-5-5-5-5)' WHEN 1 THEN 'No Time Limit' WHEN 2 THEN '3 Rnd (5-5-5)' END AS format,
 CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%b %-d, %Y') WHEN 3 THEN 'soon' ELSE '--' END AS day,
 CAST(o_orderdate AS DATE) AS real_day FROM orders)
@@ -31,7 +31,7 @@ def _raw(spark, sf_dir) -> DataFrame:
         F.when(k % 4 == 0, "").when(k % 4 == 1, "n%").otherwise(F.concat(n(k % 101), F.lit("%"))).alias("pct"),
         F.when(k % 6 == 0, "nan").otherwise(F.concat(n(5 + k % 2), F.lit("' "), n(k % 12), F.lit('"'))).alias("height"),
         F.when(k % 6 == 1, "None").when(k % 6 == 2, "wide").otherwise(F.concat(n(60 + k % 25), F.lit('.5"'))).alias("reach"),
-        F.when(k % 5 == 0, "UFC Light Heavyweight Title Bout").when(k % 5 == 1, "Women's Flyweight Bout").when(k % 5 == 2, "heavyweight bout").when(k % 5 == 3, "Superfight TITLE").alias("kind"),
+        F.when(k % 5 == 0, "Main Light Heavyweight Title Bout").when(k % 5 == 1, "Women's Flyweight Bout").when(k % 5 == 2, "heavyweight bout").when(k % 5 == 3, "Superfight TITLE").alias("kind"),
         F.when(k % 4 == 0, "5 Rnd (5-5-5-5-5)").when(k % 4 == 1, "No Time Limit").when(k % 4 == 2, "3 Rnd (5-5-5)").alias("format"),
         F.when(k % 5 == 0, F.date_format(day, "MMMM d, yyyy")).when(k % 5 == 1, F.date_format(day, "yyyy-MM-dd")).when(k % 5 == 2, F.date_format(day, "MMM d, yyyy")).when(k % 5 == 3, "soon").otherwise("--").alias("day"),
         F.to_date(day).alias("real_day"),

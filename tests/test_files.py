@@ -26,7 +26,7 @@ def test_profiles(spark, tmp_path):
 
 def contest(tmp_path, **changes):
     base = {"R_fighter": "A", "B_fighter": "B", "R_KD": "1", "B_KD": "0", "win_by": "Decision - Split", "last_round": "3", "last_round_time": "5:00", "Format": "3 Rnd (5-5-5)", "Referee": "Herbert Dean",
-            "date": "March 28, 2020", "location": "X, Y", "Fight_type": "UFC Lightweight Title Bout", "Winner": "A"}
+            "date": "March 28, 2020", "location": "X, Y", "Fight_type": "Main Lightweight Title Bout", "Winner": "A"}
     for p in "RB":
         base |= {f"{p}_{c}": "69 of 101" for c in files.PAIRED} | {f"{p}_SUB_ATT": "2", f"{p}_REV": "0", f"{p}_CTRL": "3:15"}
     rows = [base | c for c in ({}, {"date": "NOT_A_DATE"}, {"Winner": "Red"}, {"Fight_type": "Exhibition"}, {"B_fighter": "A"}, *([changes] if changes else []))]
@@ -94,7 +94,7 @@ def test_pages(spark):
     html = [
         "<html><title> Jon &amp; Co </title><script>var t='<tr><td>x</td></tr>'</script><table>" + rounds + "</table></html>",
         '<span class="b-content__title-highlight">Jon Jones</span><ul><li><i>Height:</i> 6\' 4"</li><li><i>Reach:</i> 84"</li><li>STANCE: Orthodox</li><li>DOB: Jul 19, 1987</li></ul>',
-        '<table><tr><td><a href="/e/1">UFC 1</a> <span>March 28, 2020</span></td><td>Las Vegas</td></tr><tr><td>no date</td><td>x</td></tr></table>',
+        '<table><tr><td><a href="/e/1">Gala 1</a> <span>March 28, 2020</span></td><td>Las Vegas</td></tr><tr><td>no date</td><td>x</td></tr></table>',
         '<td class="but-sg" data-li="[5,1,77]"><span>-150</span></td><td data-li="[6,1,77]"><span>-140</span></td><td data-li="[5,2,77]"><span>+130</span></td><td data-li="[7,2,77]"><span></span></td><div id="hfmr8-captcha"></div>',
     ]
     df = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
@@ -103,7 +103,7 @@ def test_pages(spark):
     assert [tuple(x)[2:] for x in r] == [(10, 5, 1, 0, 65, None)]
     p = pages.fighter_profile(df.filter("page_id = 1")).first()
     assert (p["name"], p.height, p.reach, p.stance, p.born) == ("Jon Jones", 76.0, 84.0, "Orthodox", D(1987, 7, 19))
-    assert [tuple(x) for x in pages.event_list(df.filter("page_id = 2")).collect()] == [("UFC 1", "/e/1", D(2020, 3, 28), "Las Vegas")]
+    assert [tuple(x) for x in pages.event_list(df.filter("page_id = 2")).collect()] == [("Gala 1", "/e/1", D(2020, 3, 28), "Las Vegas")]
     assert sorted(tuple(x) for x in pages.moneylines(df).collect()) == [("u3", 77, 1, -150, -150, -140, 2), ("u3", 77, 2, 130, 130, 130, 1)]
     assert [x[0] for x in df.orderBy("page_id").select(pages.has_captcha(df.html)).collect()] == [False, False, False, True]
 
