@@ -9,7 +9,10 @@ import time
 from boutlens.plans.catalog import QUERIES
 from boutlens.session import session
 
-HEADLINE = ["division_rankings", "cumulative_before", "ewma_before", "streaks_before", "division_rate_asof", "auc_by_slice", "rematch_flags", "graph_edges"]
+HEADLINE = [
+    "division_rankings", "cumulative_before", "ewma_before", "streaks_before", "division_rate_asof", "auc_by_slice", "rematch_flags", "graph_edges",
+    "pair_match", "asof_nearest_tolerance", "career_snapshot", "elo_overall",
+]
 
 
 def main() -> None:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boutlens.operators.graph import checkpointed
+
+_HELD: dict[str, DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,6 +21,8 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The lines are shuffled once, by order; the sums and the ranks both use that partitioning.
     """
+    if sf_dir in _HELD:
+        return _HELD[sf_dir]
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
     )
@@ -38,6 +46,16 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@contextmanager
+def materialised(spark: SparkSession, sf_dir: str):
+    """Inside, bouts() is a checkpoint: a build of many features derives the bouts once."""
+    _HELD[sf_dir] = checkpointed(bouts(spark, sf_dir))
+    try:
+        yield
+    finally:
+        del _HELD[sf_dir]
+
+
 def method(priority):
     return (
         F.when(priority.startswith("1"), "KO/TKO").when(priority.startswith("2"), "Submission")

@@ -195,7 +195,7 @@ def cohort_rates_asof(spark, sf_dir) -> DataFrame:
     from boutlens.plans.base import placed_bouts, venues
 
     kind = outcome(F.col("method"))
-    b = placed_bouts(spark, sf_dir).join(F.broadcast(venues(spark, sf_dir)), "venue_id", "left")
+    b = placed_bouts(spark, sf_dir).join(venues(spark, sf_dir), "venue_id", "left")
     b = b.select("fight_id", "event_date", country_bucket(F.col("country")).alias("bucket"), scoring_regime(F.col("event_date")).alias("regime"), kind.alias("kind"))
     prior = b.agg((F.count_if(F.col("kind") == "finish") / F.count("*")).alias("g"))
     own = career.rates_by_day(b, ["bucket", "regime"], {k: F.col("kind") == k for k in ("finish", "decision")})

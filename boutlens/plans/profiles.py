@@ -108,7 +108,7 @@ def travel_features(spark, sf_dir) -> DataFrame:
     s = s.withColumn("p", prior).select("fight_id", "event_date", "fighter", "venue_id", F.col("p.venue_id").alias("prior_venue"), F.col("p.event_date").alias("prior_date"))
     v = venues(spark, sf_dir).select("venue_id", "lat", "lon", "zone")
     before = v.select(F.col("venue_id").alias("prior_venue"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("zone").alias("pzone"))
-    met = s.join(F.broadcast(v), "venue_id", "left").join(F.broadcast(before), "prior_venue", "left")
+    met = s.join(v, "venue_id", "left").join(before, "prior_venue", "left")
     here, known = F.col("zone").isNotNull(), F.col("pzone").isNotNull()
     way = lambda r: fn.great_circle(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"), r)
     shift = dates.zone_hours(F.col("zone"), F.col("event_date")) - dates.zone_hours(F.col("pzone"), F.col("prior_date"))

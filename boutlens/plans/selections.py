@@ -175,7 +175,7 @@ def decided_bouts_with_duration(spark, sf_dir) -> DataFrame:
 @query(BOUTS + VENUES + "SELECT p.fight_id, CASE WHEN v.lat IS NOT NULL AND v.lon IS NOT NULL AND v.zone IS NOT NULL THEN v.venue_id END AS usable_venue, v.country FROM placed_bouts p LEFT JOIN venues v ON p.venue_id = v.venue_id")
 def event_venues(spark, sf_dir) -> DataFrame:
     """A bout's venue, usable only where its place and zone are all known."""
-    met = placed_bouts(spark, sf_dir).join(F.broadcast(venues(spark, sf_dir)), "venue_id", "left")
+    met = placed_bouts(spark, sf_dir).join(venues(spark, sf_dir), "venue_id", "left")
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("zone").isNotNull()
     return met.select("fight_id", F.when(known, F.col("venue_id")).alias("usable_venue"), "country")
 
