@@ -108,6 +108,14 @@ def build_filters(digests: DataFrame, buckets: int) -> DataFrame:
     return digests.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInArrow(build, "bucket long, filter binary")
 
 
+def write_filters(snapshot: DataFrame, path: str, digest=None) -> None:
+    """The filters of a snapshot's texts, kept beside it: as it never changes, neither do they."""
+    own = (digest or sha256)(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    digests = snapshot.select(own.alias("digest")).distinct()
+    buckets = max(MIN_BUCKETS, digests.count() // DIGESTS_A_BUCKET)
+    build_filters(digests, buckets).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(path)
+
+
 def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     """The distinct ``digests`` that their bucket's filter may hold."""
 
@@ -131,11 +139,12 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
+def dedup(docs: DataFrame, is_new: Column, digest=sha256, filters: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) of every row of ``docs``; of equal texts the largest doc_id stays.
 
     ``is_new`` tells the incoming batch from the immutable snapshot; ``digest`` may be any hash of the
-    text, as equality is decided on bytes.
+    text, as equality is decided on bytes. ``filters`` is where write_filters() put the snapshot's; without it they
+    are built.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), is_new.alias("is_new"))
     texts = texts.withColumn("digest", digest(F.col("text")))
@@ -143,8 +152,13 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256) -> DataFrame:
     held = rows.filter(~F.col("is_new")).groupBy("digest").agg(F.count("*").alias("n"))
     coming = rows.filter("is_new").groupBy("digest").agg(F.count("*").alias("n"))
     held, coming = spool(held), spool(coming)
-    buckets = max(MIN_BUCKETS, held.count() // DIGESTS_A_BUCKET)
-    positives = screen(coming.select("digest"), build_filters(held.select("digest"), buckets), buckets)
+    if filters is None:
+        buckets = max(MIN_BUCKETS, held.count() // DIGESTS_A_BUCKET)
+        positives = screen(coming.select("digest"), build_filters(held.select("digest"), buckets), buckets)
+    else:
+        kept = docs.sparkSession.read.parquet(filters)
+        row = kept.select("buckets").first()
+        positives = screen(coming.select("digest"), kept.select("bucket", "filter"), row["buckets"] if row else MIN_BUCKETS)
     twice = spool(
         positives.join(held.select("digest"), "digest", "left_semi")
         .union(held.filter("n > 1").select("digest"))

@@ -132,6 +132,15 @@ def test_op6_unequal_texts_under_one_digest(spark):
     assert got == {i: (max(v), len(v), i == max(v)) for v in by.values() for i in v}
 
 
+def test_op6_kept_filters(spark, tmp_path):
+    """A snapshot's filters, written once, screen a batch as filters built on the way do."""
+    rows = [(i, f"t{i % 50}", i >= 70) for i in range(100)] + [(200, "only new", True), (201, "only old", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fresh boolean")
+    exact_dedup.write_filters(df.filter("not fresh"), str(tmp_path / "f"))
+    one, two = ({r.doc_id: tuple(r) for r in exact_dedup.dedup(df, F.col("fresh"), filters=f).collect()} for f in (None, str(tmp_path / "f")))
+    assert one == two and one[20][1] == 70 and one[200][3]
+
+
 def test_op9(spark, docs, edge_dir):
     got = registry.queries()["op9_language_id"](spark, SF).toPandas().merge(docs, on="doc_id")
     known = got[got.held_out & got.lang.notna() & (got.lang_pred != "und")]
