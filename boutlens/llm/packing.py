@@ -3,8 +3,9 @@
 A document's words are hashed to a signed vector, projected to ``DIMS`` dimensions by a fixed random matrix
 and quantised; its Hilbert index is the sort key. Documents are range-sorted by it and packed in that order:
 each task fills its sequences to the brim, cutting documents freely, and cuts what is left over at the end
-into sequences whose lengths are powers of two, which need no padding. Equal texts have equal keys; ties
-are ordered by doc_id, so that even a third of all rows under one key spreads over tasks.
+into sequences whose lengths are powers of two, which need no padding. Documents are dealt out in blocks of at most
+``BLOCK`` ids, so that ranges of as many rows are of like size, however long some documents are. Equal texts have equal
+keys; ties are ordered by doc_id and place, so that even a third of all rows under one key spreads over tasks.
 
 Added tokens of the tokenizer (``<|endoftext|>``) are found in texts and give their own ids, as the tokenizers
 library has it. Null text is empty text: its only id is the closing 0. Rows of null doc_id are packed like others, and
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from boutlens.llm.common import spool
 
 DIMS, BITS, BINS, LENGTH, END = 4, 12, 512, 1024, 0
+BLOCK = 2048
 
 
 @functools.cache
@@ -125,11 +127,16 @@ def pack(encoded: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for b in batches:
             done = []
-            for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                total, at = len(raw) // 4, 0
-                while at < total:
-                    n = min(total - at, length - used)
-                    open_.append((doc, at, n, raw[4 * at : 4 * (at + n)], total, base + seq, used))
+            for doc, start, total, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "total", "ids"))):
+                at = 0
+                while 4 * at < len(raw):
+                    n = min(len(raw) // 4 - at, length - used)
+                    ids = raw[4 * at : 4 * (at + n)]
+                    last = open_[-1] if open_ else None
+                    if last and last[0] == doc and last[1] + last[2] == start + at:  # a block goes on where the one before it ends
+                        open_[-1] = (doc, last[1], last[2] + n, last[3] + ids, total, *last[5:])
+                    else:
+                        open_.append((doc, start + at, n, ids, total, base + seq, used))
                     at, used = at + n, used + n
                     if used == length:
                         done += open_
@@ -152,7 +159,11 @@ def pack(encoded: DataFrame, length: int = LENGTH) -> DataFrame:
         if rows:
             yield table(rows)
 
-    return encoded.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id").mapInArrow(run, _PIECES)
+    total = F.floor(F.length("ids") / 4)
+    starts = encoded.select("doc_id", "curve", "ids", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), total - 1, F.lit(BLOCK).cast("long"))).alias("start"))
+    block = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), F.lit(4 * BLOCK))
+    order = ["curve", "doc_id", "start"]
+    return starts.select("doc_id", "curve", "start", "total", block.alias("ids")).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _PIECES)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
