@@ -44,9 +44,9 @@ PIVOTS = 32
 CROWD = 1024
 #: the near-dedup stage: minima in BANDS keys of ROWS each; a candidate agrees in LEAST_EQUAL minima, within WIDE bits
 BANDS, ROWS, LEAST_EQUAL, WIDE = 16, 4, 36, 24
-#: documents of a group or key that one task compares; larger ones are dealt out first. Minima in which a document may
-#: differ from a key's leader and be represented by it
-CHUNK, CLOSE = 5000, 8
+#: documents of a group, and of a key, that one task compares; larger ones are dealt out or thinned first. Minima in
+#: which a document may differ from a key's leader and be represented by it
+CHUNK, KEY_CHUNK, CLOSE = 1000, 5000, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 _TRIPLES = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
@@ -336,7 +336,7 @@ def _led(members: DataFrame, sketches: DataFrame, chunk: int) -> tuple[DataFrame
     return members, edges
 
 
-def candidates(texts: DataFrame, width: int = 5, chunk: int = CHUNK) -> DataFrame:
+def candidates(texts: DataFrame, width: int = 5, chunk: int = KEY_CHUNK) -> DataFrame:
     """Edges (u, v) that connect the doc_ids of all candidate pairs of ``texts`` (doc_id, text)."""
     own = spool(_sketches(texts, width))
     keyed = own.select(F.explode("keys").alias("key"), "doc_id")
@@ -421,7 +421,7 @@ def _beaten(rows: DataFrame, width: int, similar: float) -> DataFrame:
     return rows.repartition("group", "part").sortWithinPartitions("group", "part", "doc_id").select("group", "part", "doc_id", "text").mapInArrow(run, "doc_id long")
 
 
-def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8, chunk: int = CHUNK, key_chunk: int = KEY_CHUNK) -> DataFrame:
     """``docs`` without those whose shingles are ``similar`` to a document of smaller doc_id that stays.
 
     Groups are the components of the candidate pairs. A group goes through a task in the order of doc_id; one of more
@@ -431,7 +431,7 @@ def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8, chunk: int
     ``similar`` of 0.8 or more.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    groups = spool(components(candidates(texts, width, chunk)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
+    groups = spool(components(candidates(texts, width, key_chunk)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
     bits = bitmap(groups.select(F.xxhash64("doc_id").alias("key")))
     alive = spool(with_mark(texts, F.xxhash64("doc_id"), bits, "__hit").filter("__hit").join(groups, "doc_id").select("group", "doc_id", "text"), groups)
     lost, before, last = [], None, False

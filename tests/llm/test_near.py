@@ -86,6 +86,6 @@ def test_large_groups_in_parts(spark):
     near = {k: max((simhash.similarity(" ".join(docs[k]), " ".join(docs[j])) for j in docs if j < k), default=0) >= 0.8 for k in docs}
     df = spark.createDataFrame([(i, " ".join(w), "x") for i, w in docs.items()], "doc_id long, text string, __hit string")
     for chunk in (10, 5000):
-        kept = {r.doc_id for r in simhash.drop_near(df, chunk=chunk).collect()}
+        kept = {r.doc_id for r in simhash.drop_near(df, chunk=chunk, key_chunk=chunk).collect()}
         assert all(near[k] for k in docs.keys() - kept)
         assert not any(simhash.similarity(" ".join(docs[i]), " ".join(docs[j])) >= 0.8 for i in kept for j in kept if i < j)
