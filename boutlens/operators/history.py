@@ -37,8 +37,7 @@ def last_values(df: DataFrame, columns: list[str], n: int, key: str = "fighter")
         df = df.withColumn(f"__k_{c}", F.count(c).over(before(key)))
     for c in columns:
         own = Window.partitionBy(key).orderBy(f"__k_{c}").rangeBetween(-n, -1)
-        pair = F.when(F.col(c).isNotNull(), F.struct(F.col(f"__k_{c}").alias("k"), F.col(c).alias("v")))
-        df = df.withColumn(f"last_{c}", F.transform(F.array_sort(F.collect_list(pair).over(own)), lambda x: x["v"]))
+        df = df.withColumn(f"last_{c}", F.collect_list(c).over(own))  # a frame's rows come in the window's order
     return df.drop(*(f"__k_{c}" for c in columns))
 
 
