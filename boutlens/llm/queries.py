@@ -16,6 +16,9 @@ REGISTERED = [
     ("language_id", "op9_language_id", None),
     ("simhash", "op1_simhash", None),
     ("exact_dedup", "op6_exact_dedup", "OP6_SQL"),
+    ("hard_negatives", "op11_hard_negatives", "OP11_SQL"),
+    ("fill_in_middle", "op12_fill_in_middle", "OP12_SQL"),
+    ("token_counts", "op13_token_counts", None),
 ]
 
 

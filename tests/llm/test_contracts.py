@@ -43,7 +43,7 @@ def edge_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").filter("false").write.parquet(f"{base}/{t}.parquet")
     return base
 
