@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.llm.common import bitmap, components, free_name, spool, with_mark
+from boutlens.llm.common import bitmap, components, free_name, spool, unspool, with_mark
 
 RADIUS = 3
 BLOCKS = 6
@@ -44,9 +44,13 @@ PIVOTS = 32
 CROWD = 1024
 #: the near-dedup stage: minima in BANDS keys of ROWS each; a candidate agrees in LEAST_EQUAL minima, within WIDE bits
 BANDS, ROWS, LEAST_EQUAL, WIDE = 16, 4, 36, 24
-#: documents of a group, and of a key, that one task compares; larger ones are dealt out or thinned first. Minima in
+#: minima in which candidates may differ
+DIFFER = BANDS * ROWS - LEAST_EQUAL
+#: documents of a group, and of a key, that one task compares; larger ones are dealt out, or thinned and divided. Minima in
 #: which a document may differ from a key's leader and be represented by it
 CHUNK, KEY_CHUNK, CLOSE = 1000, 5000, 8
+#: the first documents of a group are found to within one in so many of its documents
+HEAD_ACCURACY = 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 _TRIPLES = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
@@ -297,10 +301,23 @@ def _alike(doc: np.ndarray, fp: np.ndarray, minima: np.ndarray) -> list[tuple[in
     return out
 
 
-def _equal(minima: pa.Array, other: pa.Array) -> np.ndarray:
-    """In how many minima two sketches agree, row by row."""
+def _agree(minima: pa.Array, other: pa.Array) -> np.ndarray:
+    """Which minima of two sketches agree, row by row, as bits of a long."""
     x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in (minima, other))
-    return (x == y).sum(axis=1)
+    return np.packbits(x == y, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def _met(members: DataFrame, leaders: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, free, doc_id, leader, agree) of the ``members`` of the keys in ``leaders`` (key, leader)."""
+    own = sketches.select("doc_id", "minima")
+    crowd = members.join(leaders, "key").join(own, "doc_id").join(own.withColumnsRenamed({"doc_id": "leader", "minima": "first"}), "leader")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "free", "doc_id", "leader")), pa.array(_agree(b.column("minima"), b.column("first")))], ["key", "free", "doc_id", "leader", "agree"])
+
+    return crowd.select("key", "free", "doc_id", "leader", "minima", "first").mapInArrow(run, "key long, free long, doc_id long, leader long, agree long")
 
 
 def _led(members: DataFrame, sketches: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame | None]:
@@ -311,38 +328,56 @@ def _led(members: DataFrame, sketches: DataFrame, chunk: int) -> tuple[DataFrame
     a key by a tenth.
     """
     edges = None
-    sizes = spool(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")))
-    big = sizes.filter(F.col("n") > chunk)
-    left = big.agg(F.sum("n")).first()[0]
-    while left:
-        own = sketches.select("doc_id", "minima")
-        crowd = members.join(big.select("key", "leader"), "key").join(own, "doc_id").join(own.withColumnsRenamed({"doc_id": "leader", "minima": "first"}), "leader")
-
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), b.column("leader"), pa.array(_equal(b.column("minima"), b.column("first")))], ["key", "doc_id", "leader", "equal"])
-
-        met = spool(crowd.select("key", "doc_id", "leader", "minima", "first").mapInArrow(run, "key long, doc_id long, leader long, equal long"))
-        linked = met.filter((F.col("equal") >= LEAST_EQUAL - CLOSE) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
-        edges = linked if edges is None else edges.union(linked)
-        stay = met.filter((F.col("equal") < BANDS * ROWS - CLOSE) & (F.col("doc_id") != F.col("leader"))).select("key", "doc_id")
-        members = spool(members.join(big.select("key"), "key", "left_anti").unionByName(stay))
-        sizes = spool(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")), sizes)
+    while True:
+        sizes = spool(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")))
         big = sizes.filter(F.col("n") > chunk)
-        before, left = left, big.agg(F.sum("n")).first()[0]
-        if left and left > 0.9 * before:
-            break
-    return members, edges
+        before = big.agg(F.sum("n")).first()[0]
+        if not before:
+            return members, edges
+        met = spool(_met(members, big.select("key", "leader"), sketches))
+        equal = F.bit_count("agree")
+        linked = met.filter((equal >= LEAST_EQUAL - CLOSE) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
+        edges = linked if edges is None else edges.union(linked)
+        stay = met.filter((equal < BANDS * ROWS - CLOSE) & (F.col("doc_id") != F.col("leader"))).select("key", "free", "doc_id")
+        members = spool(members.join(big.select("key"), "key", "left_anti").unionByName(stay), sizes)
+        if stay.count() > 0.9 * before:
+            return members, edges
 
 
-def candidates(texts: DataFrame, width: int = 5, chunk: int = KEY_CHUNK) -> DataFrame:
-    """Edges (u, v) that connect the doc_ids of all candidate pairs of ``texts`` (doc_id, text)."""
-    own = spool(_sketches(texts, width))
-    keyed = own.select(F.explode("keys").alias("key"), "doc_id")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members, edges = _led(spool(keyed.join(shared, "key", "left_semi").distinct()), own, chunk)
-    met = members.join(own.select("doc_id", "fp", "minima"), "doc_id").select("key", "doc_id", "fp", "minima")
+def _divided(members: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, edges): crowded keys divided, none of whose candidate pairs are parted.
+
+    Candidates differ in at most ``DIFFER`` minima, so that of any ``DIFFER`` + 1 minima that a key leaves free they
+    share one: those in which most members differ from the key's least document become keys of their own. Where fewer
+    are left free all members are candidates of each other, and are linked to the least.
+    """
+    leaders = members.groupBy("key").agg(F.min("doc_id").alias("leader"))
+    met = spool(_met(members, leaders, sketches))
+    alike = F.bit_count("free") <= DIFFER
+    edges = met.filter(alike & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
+    shared = met.filter(~alike).groupBy("key").agg(F.array(*(F.sum(F.getbit("agree", F.lit(i))) for i in range(BANDS * ROWS))).alias("shared"))
+    rows = met.filter(~alike).join(shared, "key").join(sketches.select("doc_id", "minima"), "doc_id").select("key", "free", "doc_id", "shared", "minima")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, free, doc, shared, minima in zip(*(b.column(c).to_pylist() for c in ("key", "free", "doc_id", "shared", "minima"))):
+                least = np.frombuffer(minima, "<u2")
+                for i in sorted((i for i in range(BANDS * ROWS) if free >> i & 1), key=lambda i: (shared[i], i))[: DIFFER + 1]:
+                    left = (free & (1 << 64) - 1) & ~(1 << i)
+                    out.append((_signed(xxhash.xxh64_intdigest(least[i].tobytes() + i.to_bytes(1, "big"), key & (1 << 64) - 1)), _signed(left), doc))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], ["key", "free", "doc_id"])
+
+    return rows.mapInArrow(run, "key long, free long, doc_id long"), edges
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _compared(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the candidates under each key."""
+    met = members.join(sketches.select("doc_id", "fp", "minima"), "doc_id").select("key", "doc_id", "fp", "minima")
 
     def emit(rows):
         cuts = np.append(np.nonzero(np.diff(rows[0], prepend=rows[0][0] - 1))[0], len(rows[0]))
@@ -365,8 +400,29 @@ def candidates(texts: DataFrame, width: int = 5, chunk: int = KEY_CHUNK) -> Data
         if rest is not None:
             yield emit(rest)
 
-    found = spool(met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long"), own)
-    return found if edges is None else found.unionByName(edges)
+    return met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long")
+
+
+def candidates(texts: DataFrame, width: int = 5, chunk: int = KEY_CHUNK) -> DataFrame:
+    """Edges (u, v) that connect the doc_ids of all candidate pairs of ``texts`` (doc_id, text)."""
+    own = spool(_sketches(texts, width))
+    keyed = own.select(F.posexplode("keys").alias("band", "key"), "doc_id")
+    free = F.bitwise_not(F.expr(f"shiftleft({(1 << ROWS) - 1}L, band * {ROWS})"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = spool(keyed.join(shared, "key", "left_semi").select("key", free.alias("free"), "doc_id").distinct())
+    found = []
+    while True:
+        members, edges = _led(members, own, chunk)
+        sizes = spool(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        some = members.join(sizes.filter(F.col("n") <= chunk).select("key"), "key", "left_semi")
+        found += [spool(_compared(some, own)), *([] if edges is None else [edges])]
+        crowded = sizes.filter(F.col("n") > chunk).select("key")
+        if crowded.isEmpty():
+            unspool(own, sizes)
+            return reduce(DataFrame.unionByName, found)
+        members, edges = _divided(members.join(crowded, "key", "left_semi"), own)
+        members = spool(members.distinct())
+        found.append(edges)
 
 
 class Kept:
@@ -392,60 +448,88 @@ class Kept:
         self.sets.append(h)
 
 
-def _beaten(rows: DataFrame, width: int, similar: float) -> DataFrame:
-    """(doc_id) of the documents of each (group, part) that are ``similar`` to one of smaller doc_id that stays."""
+def _judged(rows: DataFrame, width: int, similar: float, schema: str) -> DataFrame:
+    """The documents of each (group, part) of ``rows`` (group, part, given, doc_id, text), in the order of doc_id.
+
+    Those ``given`` come first and stay; of the others one stays unless it is ``similar`` to one that stays.
+    """
 
     def run(batches):
         at = doc = kept = None
-        own, gone = [], []
+        own, out = [], []
 
         def settle():
-            if own and any(kept.alike(h) for h in own):
-                gone.append(doc)
-            else:
-                for h in own:
-                    kept.add(h)
+            """Judges the document whose texts have all been read."""
+            if own:
+                group, part, given = at[0], at[1], doc[0]
+                stays = given or not any(kept.alike(h) for h in own)
+                if stays and (given or part is None):
+                    for h in own:
+                        kept.add(h)
+                if not given:
+                    out.append((group, doc[1], stays))
 
         for b in batches:
-            for g, p, d, t in zip(*(b.column(c).to_pylist() for c in ("group", "part", "doc_id", "text"))):
-                if ((g, p), d) != (at, doc):
+            for g, p, given, d, t in zip(*(b.column(c).to_pylist() for c in ("group", "part", "given", "doc_id", "text"))):
+                if ((g, p), (given, d)) != (at, doc):
                     settle()
-                    own = []
+                    own.clear()
                     if (g, p) != at:
                         kept = Kept(similar)
-                    at, doc = (g, p), d
+                    at, doc = (g, p), (given, d)
                 own.append(shingle_hashes(t, width))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["group", "doc_id", "stays"])
+                out.clear()
         settle()
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["doc_id"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["group", "doc_id", "stays"])
+
+    dealt = rows.repartition("group", "part").sortWithinPartitions("group", "part", F.desc("given"), "doc_id")
+    return dealt.select("group", "part", "given", "doc_id", "text").mapInArrow(run, schema)
+
 
-    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "doc_id").select("group", "part", "doc_id", "text").mapInArrow(run, "doc_id long")
+def _gone(alive: DataFrame, width: int, similar: float, chunk: int) -> list[DataFrame]:
+    """The (doc_id) of ``alive`` (group, doc_id, text) that the sequential rule drops, as spools.
+
+    In every round the first documents of each group by doc_id, about ``chunk``, are judged in order by one task. That
+    is final, as all before them is. The rest of the group is dealt out in parts of about as many, held against those
+    that stayed (given to each part), and what they beat goes for good; what is left takes part in the next round.
+    """
+    schema, lost = "group long, doc_id long, stays boolean", []
+    steps = [2.0**-k for k in range(1, 31)]
+    while True:
+        size = alive.groupBy("group").agg(F.count("*").alias("n"), F.percentile_approx("doc_id", steps, F.lit(HEAD_ACCURACY)).alias("last"))
+        halvings = F.least(F.ceil(F.log2(F.col("n") / chunk)), F.lit(len(steps)))
+        crowded = spool(size.filter(F.col("n") > chunk).select("group", "n", F.element_at("last", halvings.cast("int")).alias("last")))
+        dealt = alive.join(crowded, "group", "left")
+        head = dealt.filter(F.col("last").isNull() | (F.col("doc_id") <= F.col("last")))
+        judged = spool(_judged(head.select("group", F.lit(None).cast("int").alias("part"), F.lit(False).alias("given"), "doc_id", "text"), width, similar, schema))
+        lost.append(judged.filter("not stays").select("doc_id"))
+        if crowded.isEmpty():
+            return lost
+        rest = dealt.filter(F.col("doc_id") > F.col("last"))
+        parts = F.ceil(F.col("n") / chunk).cast("int")
+        stayed = head.join(judged.filter("stays").select("group", "doc_id").distinct(), ["group", "doc_id"], "left_semi").filter("n is not null")
+        given = stayed.select("group", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("given"), "doc_id", "text")
+        others = rest.select("group", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(False).alias("given"), "doc_id", "text")
+        held = spool(_judged(given.unionByName(others), width, similar, schema))
+        lost.append(held.filter("not stays").select("doc_id"))
+        alive = spool(rest.select("group", "doc_id", "text").join(held.filter("stays").select("group", "doc_id").distinct(), ["group", "doc_id"], "left_semi"), alive)
 
 
 def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8, chunk: int = CHUNK, key_chunk: int = KEY_CHUNK) -> DataFrame:
     """``docs`` without those whose shingles are ``similar`` to a document of smaller doc_id that stays.
 
-    Groups are the components of the candidate pairs. A group goes through a task in the order of doc_id; one of more
-    than ``chunk`` documents is first dealt out by a hash, and what is left of its parts is dealt out again, until
-    it fits or its parts lose less than a tenth. Rows of null doc_id stay; rows that share a doc_id share their
-    fate; other columns pass through whatever their names. The constants of the candidates are meant for a
-    ``similar`` of 0.8 or more.
+    Groups are the components of the candidate pairs; the result is that of going through each group in the order of
+    doc_id, whatever ``chunk``. Rows of null doc_id stay; rows that share a doc_id share their fate; other columns
+    pass through whatever their names. The constants of the candidates are meant for a ``similar`` of 0.8 or more.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     groups = spool(components(candidates(texts, width, key_chunk)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
     bits = bitmap(groups.select(F.xxhash64("doc_id").alias("key")))
     alive = spool(with_mark(texts, F.xxhash64("doc_id"), bits, "__hit").filter("__hit").join(groups, "doc_id").select("group", "doc_id", "text"), groups)
-    lost, before, last = [], None, False
-    while not last:
-        sizes = spool(alive.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > chunk))
-        big = sizes.agg(F.sum("n")).first()[0]
-        last = not big or (before is not None and big > 0.9 * before)
-        before = big
-        parts = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", F.lit(len(lost))), F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)))
-        gone = spool(_beaten(alive.join(sizes, "group", "left").withColumn("part", parts), width, similar), sizes)
-        lost.append(gone)
-        if not last:
-            alive = spool(alive.join(gone.distinct(), "doc_id", "left_anti"), alive)
-    gone = spool(reduce(DataFrame.union, lost).distinct(), *lost, alive)
+    gone = spool(reduce(DataFrame.union, _gone(alive, width, similar, chunk)).distinct())
     hit, id_ = free_name(docs, "__hit"), free_name(docs, "__id")
     key = F.col("doc_id").cast("long")
     marked = with_mark(docs, F.xxhash64(key), bitmap(gone.select(F.xxhash64("doc_id").alias("key"))), hit)

@@ -77,15 +77,89 @@ def test_links_of_divided_keys(spark):
         assert [got.get(i, i) for i in range(len(prints))] == comp
 
 
-def test_large_groups_in_parts(spark):
-    """Groups and keys above the chunk are dealt out: copies of one text go, whatever the chunk."""
+def sequential(docs):
+    """The documents that stay: in the order of doc_id, those under 0.8 to all that stay before them."""
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) for i, w in docs.items()}
+    kept = []
+    for i in sorted(docs):
+        if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in kept):
+            kept.append(i)
+    return set(kept)
+
+
+def chained(rng, links, words=100):
+    """Documents each of which is like the one before, and ever less like the first."""
+    docs = [[word(rng) for _ in range(words)]]
+    while len(docs) < links:
+        docs.append(edited(docs[-1], rng.sample(range(10, words - 10), 1), rng))
+    return docs
+
+
+def test_the_sequential_rule_for_any_chunk(spark):
+    """Chains, groups of copies and lone texts: what stays doesn't depend on how groups and keys are dealt out."""
     rng = random.Random(5)
     words = [word(rng) for _ in range(120)]
-    docs = {k: edited(words, rng.sample(range(120), 1), rng) for k in range(120)}
-    docs |= {1000 + k: [word(rng) for _ in range(100)] for k in range(20)}
-    near = {k: max((simhash.similarity(" ".join(docs[k]), " ".join(docs[j])) for j in docs if j < k), default=0) >= 0.8 for k in docs}
+    texts = [t for links in (3, 12, 60) for t in chained(rng, links)]
+    texts += [edited(words, rng.sample(range(120), 1), rng) for _ in range(120)] + [[word(rng) for _ in range(100)] for _ in range(20)]
+    order = rng.sample(range(0, 10 * len(texts), 10), len(texts))
+    docs = dict(zip(order, texts))
+    want = sequential(docs)
+    assert 30 < len(want) < len(docs) - 120
     df = spark.createDataFrame([(i, " ".join(w), "x") for i, w in docs.items()], "doc_id long, text string, __hit string")
-    for chunk in (10, 5000):
-        kept = {r.doc_id for r in simhash.drop_near(df, chunk=chunk, key_chunk=chunk).collect()}
-        assert all(near[k] for k in docs.keys() - kept)
-        assert not any(simhash.similarity(" ".join(docs[i]), " ".join(docs[j])) >= 0.8 for i in kept for j in kept if i < j)
+    for chunk in (2, 10, 1000):
+        assert {r.doc_id for r in simhash.drop_near(df, chunk=chunk, key_chunk=5000).collect()} == want
+
+
+def test_what_a_lost_document_beat_stays(spark):
+    """2 is like 3 and 3 is like 4, but 2 isn't like 4: 4 stays, as 3 goes."""
+    rng = random.Random(1)
+    a = [word(rng) for _ in range(60)]
+    b = edited(a, (10,), rng)
+    c = edited(b, (40,), rng)
+    docs = {2: a, 3: b, 4: c}
+    assert sequential(docs) == {2, 4}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], SCHEMA)
+    for chunk in (1, 1000):
+        assert {r.doc_id for r in simhash.drop_near(df, chunk=chunk).collect()} == {2, 4}
+
+
+def test_divided_keys_of_the_near_stage(spark):
+    """Texts that share half their shingles crowd the keys of that half; keys are divided and no candidate is lost."""
+    rng = random.Random(6)
+    shared = [word(rng) for _ in range(120)]
+    docs = {i: shared + [word(rng) for _ in range(60)] for i in range(60)}
+    docs |= {1000 + i: edited(docs[i], (150,), rng) for i in range(0, 60, 3)}
+    want = sequential(docs)
+    assert want == set(range(60))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], SCHEMA)
+    crowd = simhash._sketches(df, 5).selectExpr("explode(keys) k").groupBy("k").count().agg({"count": "max"}).first()[0]
+    assert crowd > 30
+    assert {r.doc_id for r in simhash.drop_near(df, key_chunk=25).collect()} == want
+
+
+def test_the_tables_by_the_sequential_rule(spark):
+    """Over sf0.01 by pairs that share a shingle: recall of like pairs, and the documents that stay for two chunks."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    held = {r.doc_id: simhash.shingle_hashes(r.text) for r in rows.collect()}
+    holders = {}
+    for i in sorted(held):
+        for x in held[i][: len(held[i]) // 5 + 1].tolist():
+            holders.setdefault(x, []).append(i)
+    pairs = set()
+    for ids in holders.values():
+        for j in ids:
+            for i in ids:
+                if i < j and (i, j) not in pairs:
+                    both = len(set(held[i].tolist()) & set(held[j].tolist()))
+                    if both / (len(held[i]) + len(held[j]) - both) >= 0.8:
+                        pairs.add((i, j))
+    gone = set()
+    for j in sorted(held):
+        if any((i, j) in pairs and i not in gone for i in held if i < j):
+            gone.add(j)
+    found = {r.node: r.component for r in components(simhash.candidates(rows)).collect()}
+    met = sum(found.get(i) is not None and found.get(i) == found.get(j) for i, j in pairs)
+    assert len(pairs) >= 5 and met == len(pairs)
+    for chunk in (5, 1000):
+        kept = {r.doc_id for r in simhash.drop_near(rows, chunk=chunk).collect()}
+        assert kept == held.keys() - gone
