@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def before(*keys: str, order=("event_date", "fight_id")):
@@ -46,15 +46,54 @@ def mean_of_last(values: str, n: int) -> Column:
     return F.when(F.size(values) >= n, F.aggregate(F.slice(values, -n, n), F.lit(0.0), lambda a, v: a + v) / n)
 
 
-def ewma_before(df: DataFrame, names: dict[str, str], alpha: float = 0.206) -> DataFrame:
-    """``df`` with the weighted mean of each column's earlier values.
+def folded(df: DataFrame, means: dict[str, str], lasts: dict[str, tuple[str, int]], alpha: float = 0.206, key: str = "fighter", order=("event_date", "fight_id")) -> DataFrame:
+    """``df`` with running values of each key's earlier rows, in one ordered pass: nulls are skipped.
 
-    What lies ``far`` values back weighs less than a double's last digit: windows of that length lose nothing and
-    keep the work linear in the length of a history.
+    ``means`` names exponentially weighted means: {output: column}, seeded by the first value, 0 before it. ``lasts``
+    names means of the last n values: {output: (column, n)}, null while there are fewer. A task holds the state of one
+    key, however long its history is.
     """
-    far = math.ceil(-40 / math.log(1 - alpha))
-    listed = last_values(df, list(names), far)
-    return listed.withColumns({out: ewma(F.col(f"last_{c}"), alpha) for c, out in names.items()}).drop(*(f"last_{c}" for c in names))
+    columns = sorted({*means.values(), *(c for c, _ in lasts.values())})
+    outputs = [*means, *lasts]
+
+    def run(batches):
+        at, state = run, {}  # no key yet
+        for b in batches:
+            keys = b.column(key).to_pylist()
+            # where a key ends
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            held = {c: b.column(c).to_pylist() for c in columns}
+            made = {name: [] for name in outputs}
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+                if lo == hi:
+                    continue
+                if keys[lo] != at:
+                    at, state = keys[lo], {name: [] if name in lasts else None for name in outputs}
+                for name, c in means.items():
+                    mean, out = state[name], made[name]
+                    for x in held[c][lo:hi]:
+                        out.append(0.0 if mean is None else mean)
+                        if x is not None:
+                            mean = x if mean is None else mean * (1 - alpha) + x * alpha
+                    state[name] = mean
+                for name, (c, n) in lasts.items():
+                    seen, out = state[name], made[name]
+                    for x in held[c][lo:hi]:
+                        out.append(sum(seen) / n if len(seen) == n else None)
+                        if x is not None:
+                            seen.append(x)
+                            if len(seen) > n:
+                                del seen[0]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(made[name], pa.float64()) for name in outputs)], [*b.schema.names, *outputs])
+
+    given = df.withColumns({c: F.col(c).cast("double") for c in columns}) if any(df.schema[c].dataType != DoubleType() for c in columns) else df
+    schema = StructType([*given.schema.fields, *(StructField(name, DoubleType()) for name in outputs)])
+    return given.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def ewma_before(df: DataFrame, names: dict[str, str], alpha: float = 0.206) -> DataFrame:
+    """``df`` with the weighted mean of each column's earlier values: {column: output}."""
+    return folded(df, {out: c for c, out in names.items()}, {}, alpha)
 
 
 def last_days(df: DataFrame, n: int, key: str = "fighter", day: str = "event_date") -> DataFrame:
