@@ -6,10 +6,8 @@ All fits run as Spark jobs of pyspark.ml; folds and parameter sets are loops ove
 from __future__ import annotations
 
 from collections.abc import Callable
-from statistics import NormalDist
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -18,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.operators import evaluation
+from boutlens.operators import evaluation, resampling
 
 #: what is tried for boosted trees
 SEARCH = [{"maxDepth": d, "stepSize": s, "maxIter": n} for d, s, n in ((2, 0.1, 20), (3, 0.1, 20), (3, 0.3, 10))]
@@ -118,47 +116,10 @@ def stacker(columns: list[str], c: float = 1.0, rows: int = 1) -> Pipeline:
     ])
 
 
-def bca(values: np.ndarray, level: float, resamples: int, rng: np.random.Generator) -> tuple[float, float]:
-    """Bias-corrected and accelerated interval of a mean; equal values give no interval (NaN)."""
-    n, mean = len(values), values.mean()
-    if n < 2 or values.min() == values.max():
-        return float("nan"), float("nan")
-    means = np.concatenate([values[rng.integers(0, n, (min(256, resamples - i), n))].mean(axis=1) for i in range(0, resamples, 256)])
-    normal = NormalDist()
-    share = ((means < mean).sum() + (means <= mean).sum()) / (2 * len(means))
-    z0 = normal.inv_cdf(min(max(share, 1e-9), 1 - 1e-9))
-    left_out = (mean * n - values) / (n - 1)
-    d = left_out.mean() - left_out
-    accel = (d**3).sum() / (6 * (d**2).sum() ** 1.5)
-    ends = []
-    for q in ((1 - level) / 2, (1 + level) / 2):
-        z = z0 + normal.inv_cdf(q)
-        ends.append(float(np.quantile(means, normal.cdf(z0 + z / (1 - accel * z)))))
-    return ends[0], ends[1]
-
-
-def bootstrap_intervals(df: DataFrame, by: str, value: str, level: float = 0.68, resamples: int = 999, seed: int = 42) -> DataFrame:
-    """(by, n, mean, half): half the width of the interval of each slice's mean.
-
-    Values fold to distinct ones with their counts before a slice meets in one task, which draws counts instead of rows:
-    what a task holds grows with the number of distinct values.
-    """
-    counts = df.groupBy(by, F.round(F.col(value).cast("double"), 6).alias("v")).agg(F.count("*").alias("n"))
-
-    def run(key, t):
-        v, n = t["v"].to_numpy(), t["n"].to_numpy()
-        total = int(n.sum())
-        rng = np.random.default_rng(seed)
-        if len(v) < 2:
-            low, high = float("nan"), float("nan")
-        elif total <= 20_000:
-            low, high = bca(np.repeat(v, n), level, resamples, rng)
-        else:
-            means = rng.multinomial(total, n / total, resamples) @ v / total
-            low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-        return pa.table({by: [key[0].as_py()], "n": [total], "mean": [float(v @ n / total)], "half": [(high - low) / 2]})
-
-    return counts.groupBy(by).applyInArrow(run, f"{by} {dict(df.dtypes)[by]}, n long, mean double, half double")
+def bootstrap_intervals(df: DataFrame, by: str, value: str, level: float = 0.68, resamples: int = resampling.RESAMPLES, seed: int = 42) -> DataFrame:
+    """(by, n, mean, half): half the width of the BCa interval of each slice's mean; null for equal values."""
+    out = resampling.intervals(df, [by], value, level, resamples, seed)
+    return out.select(by, "n", "mean", ((F.col("high") - F.col("low")) / 2).alias("half"))
 
 
 def resampled(df: DataFrame, seeds: int, key: str) -> DataFrame:

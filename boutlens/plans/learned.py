@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.operators import evaluation, models, names
+from boutlens.operators import evaluation, models, names, resampling
 from boutlens.plans import evaluations
 from boutlens.plans.base import BOUTS, physicals
 from boutlens.plans.bouts import sides, table
@@ -32,14 +32,14 @@ def stacker_oof(spark, sf_dir) -> DataFrame:
     """Held-out probabilities of a stacker of three scores and their products, five folds in the order of time."""
     rows = _level_one(spark, sf_dir)
     stack = models.stacker(["xgb", "elo", "close"], rows=rows.count())
-    return models.out_of_fold(rows, 5, ["event_date", "fight_id"], stack.fit, guard=False).select("fight_id", "fold", "y", "p")
+    return models.out_of_fold(rows, 5, ["event_date", "fight_id"], stack.fit).select("fight_id", "fold", "y", "p")
 
 
 @query()
 def boosted_oof(spark, sf_dir) -> DataFrame:
     """Held-out probabilities of boosted trees, three folds in the order of time, calibrated on the first."""
     rows = models.assembled(_level_one(spark, sf_dir), ["xgb", "elo", "close"])
-    out = models.out_of_fold(rows, 3, ["event_date", "fight_id"], models.boosted(maxDepth=2, maxIter=5).fit, guard=False)
+    out = models.out_of_fold(rows, 3, ["event_date", "fight_id"], models.boosted(maxDepth=2, maxIter=5).fit)
     return models.calibrated(out.filter("fold > 1"), out.filter("fold = 1")).select("fight_id", "fold", "y", "p")
 
 
@@ -50,6 +50,19 @@ def bootstrap_ci(spark, sf_dir) -> DataFrame:
     return models.bootstrap_intervals(s, "slice", "error")
 
 
+@query()
+def bootstrap_accuracy_ci(spark, sf_dir) -> DataFrame:
+    """Half the width of the 68 % interval of each slice's accuracy."""
+    s = evaluations.sliced(spark, sf_dir).withColumn("right", ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double"))
+    return models.bootstrap_intervals(s, "slice", "right")
+
+
+@query()
+def bin_intervals(spark, sf_dir) -> DataFrame:
+    """The observed rate of each bin of scores in each slice, with its 95 % percentile interval."""
+    return resampling.bin_intervals(evaluations.sliced(spark, sf_dir), ["slice"])
+
+
 @query()
 def resampled_metrics(spark, sf_dir) -> DataFrame:
     """Brier scores of ten bootstrap copies of each slice, and whether they differ."""
