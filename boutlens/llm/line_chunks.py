@@ -1,9 +1,11 @@
 """Line dedup over content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over the last one or two line hashes ends a chunk where it is 0 modulo ``SPREAD``, so that a chunk's
-bounds depend on its own lines and survive shifts. ``ROLLS`` such hashes cut every text in as many ways: a repeated
-passage that one way cuts badly another cuts well. Chunks of at least two lines that occur more than once in the
-corpus, compared byte by byte, stay where they occur first (by doc_id, text hash, place), and their lines are removed
+A rolling hash over the last one or two line hashes ends a chunk where it is 0 modulo ``SPREAD``; the same hash's next
+bits say which lines a chunk may begin with. A chunk runs from such a line, or from an end, to the next end, so that
+its bounds depend on its own lines and survive shifts, whatever stands around them. ``ROLLS`` such hashes cut every
+text in as many ways: a repeated passage that one way cuts badly another cuts well. Chunks begin at most ``REACH`` lines
+before their end, or after an end, so that their number and their text stay in proportion to the lines. Chunks of at
+least two lines that occur more than once in the corpus, compared byte by byte, stay where they occur first (by doc_id, text hash, place), and their lines are removed
 elsewhere. A first pass counts chunk hashes and sets the bits of the repeated ones in a bitmap of fixed size, so that
 only chunks whose bit is set carry their text, and only documents that lose lines are shuffled.
 
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from boutlens.llm.common import bitmap, spool, with_mark
 
 SPREAD, LEAST_LINES = 2, 2
-#: (lines a hash rolls over, its seed); so many find nine tenths of the lines in repeated runs of five or more
-ROLLS = [(1, 0), (1, 1), (2, 2), (1, 3), (2, 4), (1, 5), (1, 6)]
+#: (lines a hash rolls over, its seed); so many find nine tenths of the lines in repeated runs of two or more
+ROLLS = [(1, 0), (1, 1), (2, 2), (1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (1, 8)]
+REACH = 8
 _SHIFT = 1 << 32
 
 
@@ -44,6 +47,21 @@ def _rolled(over: int, seed: int) -> Column:
     return F.zip_with("before", "hashes", lambda a, h: F.xxhash64(a, h, F.lit(seed)))
 
 
+def _between(rolled: str):
+    """The codes of the chunks that end at line ``hi`` where the one before ended at ``lo``."""
+    none = F.array().cast("array<bigint>")
+    begins = lambda i: F.pmod(F.shiftright(F.get(rolled, i - 1), 20), F.lit(SPREAD)) == 0
+
+    def codes(lo, hi):
+        near = F.filter(F.sequence(F.greatest(lo + 1, hi - REACH + 1), hi - 1), lambda i: (i == lo + 1) | begins(i))
+        inside = F.when(hi - lo >= LEAST_LINES, F.transform(near, lambda i: _code(i, hi))).otherwise(none)
+        whole = F.when(hi - lo > REACH, F.array(_code(lo + 1, hi))).otherwise(none)
+        over = F.when((lo >= 1) & (hi - lo < REACH) & begins(lo), F.array(_code(lo, hi))).otherwise(none)
+        return F.concat(inside, whole, over)
+
+    return codes
+
+
 def with_chunks(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the ``lines`` of a text, their ``hashes``, and the codes of its ``chunks`` of LEAST_LINES or more.
 
@@ -57,8 +75,7 @@ def with_chunks(df: DataFrame, text: str = "text") -> DataFrame:
         places = F.transform(f"rolled{n}", lambda r, i: F.when(F.pmod(r, F.lit(SPREAD)) == 0, i + 1).otherwise(0))
         df = df.withColumn(f"ends{n}", F.array_union(F.array_remove(places, 0), F.array(F.size("lines"))))
         df = df.withColumn(f"starts{n}", F.concat(F.array(F.lit(0)), F.slice(f"ends{n}", 1, F.size(f"ends{n}") - 1)))
-        code = F.zip_with(f"starts{n}", f"ends{n}", lambda lo, hi: F.when(hi - lo >= LEAST_LINES, _code(lo + 1, hi)))
-        df = df.withColumn(f"codes{n}", F.array_compact(code))
+        df = df.withColumn(f"codes{n}", F.flatten(F.zip_with(f"starts{n}", f"ends{n}", _between(f"rolled{n}"))))
         codes.append(f"codes{n}")
     spare = [f"{c}{n}" for c in ("rolled", "ends", "starts", "codes") for n in range(len(ROLLS))]
     return df.withColumn("chunks", F.array_distinct(F.concat(*codes))).drop("before", *spare)

@@ -25,15 +25,18 @@ def line_dedup_brute(rows):
         lines = t.split("\n")
         hs = [h(x) for x in lines]
         for over, seed in line_chunks.ROLLS:
-            lo = 0
+            rolled = []
             for i in range(len(lines)):
                 r = 42
                 for j in range(max(0, i - over + 1), i + 1):
                     r = hl(hs[j], r)
-                if sg(hi_spark(seed, r)) % line_chunks.SPREAD == 0 or i == len(lines) - 1:
-                    if i - lo >= 1:
+                rolled.append(sg(hi_spark(seed, r)))
+            ends = [i for i, r in enumerate(rolled) if r % line_chunks.SPREAD == 0 or i == len(lines) - 1]
+            for before, i in zip([-1, *ends], ends):
+                for lo in range(max(0, before), i):
+                    begins = (rolled[lo] >> 20) % line_chunks.SPREAD == 0
+                    if lo == before + 1 or (begins and i - lo < line_chunks.REACH):
                         chunks.setdefault(d, set()).add((lo, i))
-                    lo = i + 1
         for lo, i in chunks.get(d, ()):
             where.setdefault("\n".join(lines[lo : i + 1]), []).append((d, lo, i))
     gone = {x for v in where.values() for x in v if x != min(v)}
@@ -66,8 +69,9 @@ def test_op10(spark, docs, edge_dir, where):  # noqa: F811
     assert {i: got.text_sha256[i] for i in want} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
-def test_op10_recall(spark):
-    """Of lines in runs of five that occur earlier, not all of them one line over and over, nine tenths go."""
+@pytest.mark.parametrize("least", [2, 3, 5])
+def test_op10_recall(spark, least):
+    """Of lines in runs of two, three, five or more that occur earlier, not all of them one line over and over, nine tenths go."""
     rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet' where text is not null order by doc_id").fetchall()
     whole, kept = {}, []
     for d, t in rows:
@@ -76,14 +80,14 @@ def test_op10_recall(spark):
     seen, covered = {}, {}
     for d, t in kept:
         lines = t.split("\n")
-        for i in range(len(lines) - 4):
-            run = tuple(lines[i : i + 5])
+        for i in range(len(lines) - least + 1):
+            run = tuple(lines[i : i + least])
             if len(set(run)) > 1 and seen.setdefault(run, (d, i)) != (d, i):
-                covered.setdefault(d, set()).update(range(i, i + 5))
+                covered.setdefault(d, set()).update(range(i, i + least))
     df = spark.createDataFrame(kept, "doc_id long, text string")
     got = {r.doc_id: r.removed_lines for r in line_chunks.dedup_lines(df).collect()}
     total = sum(map(len, covered.values()))
-    assert total > 20 and sum(min(got[d], len(s)) for d, s in covered.items()) >= 0.85 * total
+    assert total > 20 and sum(min(got[d], len(s)) for d, s in covered.items()) >= 0.9 * total
 
 
 def test_op8(spark):
