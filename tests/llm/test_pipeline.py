@@ -112,8 +112,64 @@ def test_long_text_is_walked_in_slices(spark, monkeypatch):
     texts = [r.text for r in docs.filter("length(text) > 2000").limit(20).collect()]
     want = language_id.infer(texts, table)
     monkeypatch.setattr(language_id, "_CHUNK_BYTES", 300)
-    got = language_id.infer(texts, table)
-    assert (got[0] == want[0]).all() and np.allclose(got[1], want[1], atol=1e-6)
+    monkeypatch.setattr(language_id, "HELD", 2000)
+    got = [language_id.infer([t], table) for t in texts]
+    assert [g[0][0] for g in got] == want[0].tolist() and np.allclose([g[1][0] for g in got], want[1], atol=1e-6)
+
+
+def brute_mixture(text, languages, table):
+    """The definition in plain loops: EM with all languages, then with the k most present ones while that pays."""
+    words = language_id.words_of(text).split()
+    like = []
+    for w in words:
+        padded = b" " + w + b" "
+        own = [sum(float(table[language_id.trigrams(np.frombuffer(padded[i : i + 3], np.uint8))[0], j]) for i in range(len(padded) - 2)) for j in range(len(languages))]
+        like.append([np.exp(max(x - max(own), -12)) for x in own])
+
+    def mix(share, rounds):
+        for _ in range(rounds):
+            sums = [0.0] * len(share)
+            for l in like:
+                whole = sum(x * s for x, s in zip(l, share))
+                sums = [t + x * s / whole for t, x, s in zip(sums, l, share)]
+            share = [t / len(like) for t in sums]
+        return share, sum(np.log(sum(x * s for x, s in zip(l, share))) for l in like)
+
+    share, _ = mix([1 / len(languages)] * len(languages), 12)
+    order = sorted(range(len(languages)), key=lambda j: (-share[j], j))
+    best, chosen = -np.inf, share
+    for k in range(1, len(languages) + 1):
+        kept = [max(share[j], 1e-9) if j in order[:k] else 0 for j in range(len(languages))]
+        got, seen = mix([x / sum(kept) for x in kept], 1 if k == 1 else 6)
+        if seen - 0.5 * (k - 1) * np.log(len(like) + 1) <= best:
+            break
+        best, chosen = seen - 0.5 * (k - 1) * np.log(len(like) + 1), got
+    top = max(range(len(languages)), key=lambda j: (chosen[j], -j))
+    return languages[top], chosen[top]
+
+
+def test_op9_against_brute_force(spark):
+    """The query's predictions, document by document, by a mixture written in loops."""
+    docs = read(spark, SF, "documents")
+    languages, table = language_id.fit(docs, learnable())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in language_id.op9_language_id(spark, SF).collect()}
+    for i, t in texts.items():
+        if language_id.has_letter(t) and len(t) < 4000:
+            lang, share = brute_mixture(t, languages, table)
+            assert got[i].lang_pred == lang and abs(got[i].score - min(1.0, share)) < 1e-5
+
+
+def test_any_number_of_languages(spark):
+    """Three hundred labels, the rarest of one row: each can be predicted."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] + letters[k // 26 % 26] + letters[(k * 7 + 3) % 26] + letters[(k * 11 + 5) % 26]
+    rows = [(3 * k, " ".join([word(k), word(k)[::-1]] * 30), f"l{k:03d}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, learnable() | True)
+    assert len(model[0]) == 300
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df.drop("lang"), model, ["doc_id"]).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 290
 
 
 def test_letters_are_category_l(spark):
