@@ -116,8 +116,8 @@ def write_filters(snapshot: DataFrame, path: str, digest=None) -> None:
     build_filters(digests, buckets).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(path)
 
 
-def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The distinct ``digests`` that their bucket's filter may hold."""
+def screen(digests: DataFrame, filters: DataFrame, buckets: int, parts: int = 1) -> DataFrame:
+    """The distinct ``digests`` that their bucket's filter may hold; a bucket's digests are dealt out in ``parts``."""
 
     def probe(key, batch, held):
         if not len(held) or not len(batch):
@@ -125,10 +125,9 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
         fuse = BinaryFuse.from_bytes(held["filter"][0].as_py())
         return batch.select(["digest"]).filter(pa.array(fuse.may_hold(_keys(batch["digest"]))))
 
-    return (
-        digests.withColumn("bucket", _bucket(buckets)).groupBy("bucket")
-        .cogroup(filters.groupBy("bucket")).applyInArrow(probe, "digest binary")
-    )
+    asked = digests.withColumns({"bucket": _bucket(buckets), "part": F.pmod(F.xxhash64("digest"), F.lit(parts))})
+    held = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return asked.groupBy("bucket", "part").cogroup(held.groupBy("bucket", "part")).applyInArrow(probe, "digest binary")
 
 
 def _bucket(buckets: int) -> Column:
@@ -152,13 +151,15 @@ def dedup(docs: DataFrame, is_new: Column, digest=sha256, filters: str | None =
     held = rows.filter(~F.col("is_new")).groupBy("digest").agg(F.count("*").alias("n"))
     coming = rows.filter("is_new").groupBy("digest").agg(F.count("*").alias("n"))
     held, coming = spool(held), spool(coming)
+    arrived = coming.count()
     if filters is None:
-        buckets = max(MIN_BUCKETS, held.count() // DIGESTS_A_BUCKET)
+        buckets = max(MIN_BUCKETS, max(held.count(), arrived) // DIGESTS_A_BUCKET)
         positives = screen(coming.select("digest"), build_filters(held.select("digest"), buckets), buckets)
     else:
         kept = docs.sparkSession.read.parquet(filters)
         row = kept.select("buckets").first()
-        positives = screen(coming.select("digest"), kept.select("bucket", "filter"), row["buckets"] if row else MIN_BUCKETS)
+        buckets = row["buckets"] if row else MIN_BUCKETS
+        positives = screen(coming.select("digest"), kept.select("bucket", "filter"), buckets, max(1, -(-arrived // (buckets * DIGESTS_A_BUCKET))))
     twice = spool(
         positives.join(held.select("digest"), "digest", "left_semi")
         .union(held.filter("n > 1").select("digest"))
