@@ -42,37 +42,109 @@ def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(text.tokens(name)), " ")
 
 
+def _least_shared(length: int, q: int, threshold: float) -> int:
+    """How many q-grams a name of ``length`` shares at least with any name that it is like at ``threshold``.
+
+    A likeness of t leaves (1 - t) of both lengths to deletions and insertions; a deletion takes q grams of the name at
+    most, an insertion q - 1. Lengths further apart than t allows can't be alike.
+    """
+    t = threshold / 100.0
+    least = None
+    for other in range(length and 1, 2 * length + 2 if t >= 2 / 3 else int(length * (2 - t) / t) + 2):
+        edits = int((1 - t) * (length + other) + 1e-9)
+        edits -= (edits - abs(length - other)) % 2
+        if edits < abs(length - other):
+            continue
+        gone, added = (edits + length - other) // 2, (edits - length + other) // 2
+        shared = length - q + 1 - q * gone - (q - 1) * added
+        least = shared if least is None else min(least, shared)
+    return 0 if least is None else least
+
+
+def _prefixes(threshold: float, longest: int) -> tuple[list[int], list[int], int]:
+    """By length: how many of a name's rarest pairs of letters, and of its rarest letters, are looked up; and up to which
+    length letters are needed, as pairs alone don't prove a match."""
+    pairs = [max(0, n - 1) - _least_shared(n, 2, threshold) + 1 for n in range(longest + 1)]
+    short = max((n for n in range(longest + 1) if _least_shared(n, 2, threshold) < 1), default=0)
+    t = threshold / 100.0
+    reach = int(short * (2 - t) / t) + 1
+    letters = [n - _least_shared(n, 1, threshold) + 1 if n <= reach else 0 for n in range(longest + 1)]
+    return pairs, letters, short
+
+
+#: names are looked up by their first letters up to this length; longer ones agree in as many grams as one of it
+LONGEST = 512
+
+
+def _grams(name: Column, q: int) -> Column:
+    """The q-grams of a name, repeats told apart by their number."""
+    n = F.length(name) - (q - 1)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: name.substr(i, F.lit(q)))
+    cut = F.when(n >= 1, cut).otherwise(F.array().cast("array<string>"))
+    return F.transform(cut, lambda g, i: F.concat(F.lit(f"{q}:"), g, F.lit(":"), F.size(F.filter(F.slice(cut, 1, i), lambda h: h == g)).cast("string")))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """(on, l, r, score): all pairs of distinct names ``l`` of ``left`` and ``r`` of ``right`` in a block alike at ``threshold``.
+
+    Exact for the ratio of insertions and deletions: names that are alike share one of each other's rarest pairs of
+    letters, or letters where a name is short, and only such pairs are scored. Frequent ones come last in the order, so
+    that they are looked up only by names that have few others; a crowded one is split by the skew join. Two empty names
+    are alike. ``threshold`` is above 50.
+    """
+    own, held = left.select(*on, "l").distinct(), right.select(*on, "r").distinct()
+    longest = min(LONGEST, max(own.agg(F.max(F.length("l"))).first()[0] or 0, held.agg(F.max(F.length("r"))).first()[0] or 0))
+    pairs, letters, _ = _prefixes(threshold, longest)
+    looked = lambda table, n: F.element_at(F.array(*(F.lit(x) for x in table)), F.least(n, F.lit(longest)) + 1)
+    names = own.select(F.col("l").alias("name")).union(held.select(F.col("r").alias("name"))).distinct()
+    cut = names.select("name", F.explode(F.concat(_grams(F.col("name"), 1), _grams(F.col("name"), 2))).alias("g")).withColumn("q", F.left("g", F.lit(1)).cast("int"))
+    often = cut.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = cut.join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "g", "q"))).alias("all"))
+    size = F.length("name")
+    # a name longer than the table keeps all but as many grams as one of the table's length must share
+    extra = F.greatest(size - longest, F.lit(0))
+    rare = lambda q, table: F.slice(F.filter("all", lambda x: x["q"] == q), 1, F.greatest(F.when(looked(table, size) > 0, looked(table, size) + extra).otherwise(0), F.lit(0)))
+    chosen = ranked.select("name", F.explode(F.transform(F.concat(rare(2, pairs), rare(1, letters)), lambda x: x["g"])).alias("g"))
+    t = threshold / 100.0
+    a, b = own.join(chosen.withColumnRenamed("name", "l"), "l"), held.join(chosen.withColumnRenamed("name", "r"), "r")
+    near = F.length("l") + F.length("r")
+    met = a.join(b, [*on, "g"]).filter(2 * F.least(F.length("l"), F.length("r")) >= t * near - 1e-9).select(*on, "l", "r").distinct()
+    scored = met.withColumn("score", ratio("l", "r")).filter(F.col("score") >= threshold)
+    none = lambda df, c: df.filter(F.length(c) == 0)
+    empty = none(own, "l").join(none(held, "r"), on) if on else none(own, "l").crossJoin(none(held, "r"))
+    return scored.unionByName(empty.withColumn("score", F.lit(100.0)))
+
+
 def best_match(left: DataFrame, right: DataFrame, on: list[str], threshold: float, normal=text.normal_name, by_tokens: bool = False) -> DataFrame:
     """(left_id, right_id, score): the best of the rows of ``right`` (right_id, right_name) in the same block as a row of
     ``left`` (left_id, left_name), at ``threshold`` or more; ties go to the least right_id.
 
-    Names are normalised; either may be written last name first. Equal names in a block are scored once.
+    Names are normalised; either may be written last name first. Names that agree letter by letter are joined as they
+    are; only the others are looked up by similar_pairs().
     """
-    own = left.select(*on, F.col("left_name").alias("l")).distinct()
-    held = right.groupBy(*on, F.col("right_name").alias("r")).agg(F.min("right_id").alias("right_id"))
-    l, r = normal(F.col("l")), normal(F.col("r"))
-    if by_tokens:
-        score = ratio(sorted_tokens(F.col("l")), sorted_tokens(F.col("r")))
-    else:
-        flipped = lambda c: normal(reversed_name(F.col(c)))
-        score = F.greatest(ratio(l, r), ratio(l, flipped("r")), ratio(flipped("l"), r))
-    met = own.join(held, on).withColumn("score", score).filter(F.col("score") >= threshold)
-    best = met.groupBy(*on, "l").agg(F.max(F.struct("score", (-F.col("right_id")).alias("n"))).alias("b"))
-    return left.join(best, [*[left[c] == best[c] for c in on], left["left_name"] == best["l"]]).select("left_id", (-F.col("b.n")).alias("right_id"), F.col("b.score").alias("score"))
+    form = lambda c: sorted_tokens(normal(c)) if by_tokens else normal(c)
+    turned = lambda c: F.lit(None).cast("string") if by_tokens else normal(reversed_name(c))
+    ways = lambda c: F.explode(F.filter(F.array(F.struct(form(c).alias("n"), F.lit(False).alias("t")), F.struct(turned(c).alias("n"), F.lit(True).alias("t"))), lambda x: x["n"].isNotNull()))
+    own = left.filter(F.col("left_name").isNotNull()).select(*on, F.col("left_name").alias("name")).distinct().select(*on, "name", ways(F.col("name")).alias("w")).select(*on, "name", F.col("w.n").alias("l"), F.col("w.t").alias("lt"))
+    held = right.filter(F.col("right_name").isNotNull()).select(*on, "right_id", ways(F.col("right_name")).alias("w")).groupBy(*on, F.col("w.n").alias("r"), F.col("w.t").alias("rt")).agg(F.min("right_id").alias("right_id"))
+    both = ~(F.col("lt") & F.col("rt"))
+    equal = own.join(held.withColumnRenamed("r", "l"), [*on, "l"]).filter(both).groupBy(*on, "name").agg(F.min("right_id").alias("right_id")).withColumn("score", F.lit(100.0))
+    rest = own.join(equal.select(*on, "name"), [*on, "name"], "left_anti")
+    met = rest.join(similar_pairs(rest, held, on, threshold), [*on, "l"]).join(held, [*on, "r"]).filter(both)
+    best = met.groupBy(*on, "name").agg(F.max(F.struct("score", (-F.col("right_id")).alias("n"))).alias("__best"))
+    found = equal.unionByName(best.select(*on, "name", (-F.col("__best.n")).alias("right_id"), F.col("__best.score").alias("score")))
+    return left.join(found.withColumnRenamed("name", "left_name"), [*on, "left_name"]).select("left_id", "right_id", "score")
 
 
 def exact_then_fuzzy(left: DataFrame, right: DataFrame, threshold: float = 85.0) -> DataFrame:
-    """(left_id, right_id, kind): places equal after normalising, else the best by sorted tokens among those that share a token."""
+    """(left_id, right_id, kind): places equal after normalising, else the best by sorted tokens among all places."""
     key = text.normal_place(F.col("right_name"))
     held = right.groupBy(key.alias("k")).agg(F.max("right_id").alias("right_id"))
     asked = left.withColumn("k", text.normal_place(F.col("left_name")))
     exact = asked.join(held, "k").select("left_id", "right_id", F.lit("exact").alias("kind"))
-    rest = asked.join(held.select("k"), "k", "left_anti")
-    token = lambda df, c: df.withColumn("token", F.explode(F.array_distinct(text.tokens(F.col(c)))))
-    some = token(rest, "left_name").select("left_id", "left_name", "token")
-    fuzzy = best_match(some, token(right, "right_name").select("right_id", "right_name", "token"), ["token"], threshold, text.normal_place, by_tokens=True)
-    top = fuzzy.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("n"))).alias("b"))
-    return exact.unionByName(top.select("left_id", (-F.col("b.n")).alias("right_id"), F.concat(F.lit("fuzzy:"), F.col("b.score").cast("int").cast("string")).alias("kind")))
+    rest = asked.join(held.select("k"), "k", "left_anti").select("left_id", "left_name")
+    top = best_match(rest, right, [], threshold, text.normal_place, by_tokens=True)
+    return exact.unionByName(top.select("left_id", "right_id", F.concat(F.lit("fuzzy:"), F.col("score").cast("int").cast("string")).alias("kind")))
 
 
 def _tokens(c: str) -> Column:
