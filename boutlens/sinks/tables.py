@@ -1,18 +1,16 @@
 """Writers of tables and files.
 
-A replaced partition goes through dynamic overwrite; a merged table is written beside the old one and then named in
-its place, so that a reader sees one or the other.
+A replaced partition goes through dynamic overwrite; tables that are merged into by key are those of snapshots.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutlens.operators import matching
+from boutlens.operators import evaluation
 
 
 def _fs(spark: SparkSession, path: str):
@@ -37,39 +35,6 @@ def finite(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.when(~bad(n), F.col(n)).alias(n) if kind in ("double", "float") else F.col(n) for n, kind in rows.dtypes))
 
 
-def swap_in(rows: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
-    """``rows`` written to a new folder that then takes the place of ``path``; ``rows`` may read ``path``."""
-    spark = rows.sparkSession
-    new = f"{path}.{uuid.uuid4().hex}"
-    rows.write.options(**options).format(fmt).save(new)
-    fs, old = _fs(spark, path)
-    _, fresh = _fs(spark, new)
-    fs.delete(old, True)
-    fs.rename(fresh, old)
-
-
-def merge(new: DataFrame, path: str, keys: list[str], nulls_overwrite: bool = False) -> None:
-    """``new`` put into the table at ``path`` by key; a table that doesn't exist begins with it."""
-    spark = new.sparkSession
-    fs, p = _fs(spark, path)
-    rows = matching.upsert(spark.read.parquet(path), new, keys, nulls_overwrite) if fs.exists(p) else new
-    swap_in(rows, path)
-
-
-def merge_pairs(new: DataFrame, path: str, event: str, a: str, b: str) -> None:
-    """Like merge(), by event and pair in either order: the order that is already held stays."""
-    spark = new.sparkSession
-    key = lambda df: df.withColumns({"__lo": F.least(a, b), "__hi": F.greatest(a, b)})
-    fs, p = _fs(spark, path)
-    if fs.exists(p):
-        old = key(spark.read.parquet(path))
-        held = key(new).drop(a, b).join(old.select(event, "__lo", "__hi", a, b), [event, "__lo", "__hi"], "left")
-        fresh = held.withColumns({a: F.coalesce(a, "__lo"), b: F.coalesce(b, "__hi")}).select(*old.columns)
-        swap_in(matching.upsert(old, fresh, [event, "__lo", "__hi"]).drop("__lo", "__hi"), path)
-    else:
-        swap_in(new, path)
-
-
 def append_alias(old: DataFrame, raw: DataFrame, key: str, aliases: str = "alias_list") -> DataFrame:
     """``old`` with the names of ``raw`` (key, name) added to their array of aliases, each once; new keys begin one."""
     names = raw.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("__names"))
@@ -94,11 +59,9 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def ranked_json(results: DataFrame, path: str, metric: str, ties: str) -> None:
-    """Results with their rank by a metric, as JSON."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(metric, ties))
-    export_json(results.withColumn("rank", place), path)
+    """Results with their rank by a metric, as JSON; rows of one value fold before the ranks are counted."""
+    ranked = evaluation.with_position(results, [metric, ties], "rank")
+    export_json(ranked.withColumn("rank", (F.col("rank") + 1).cast("long")), path)
 
 
 def with_sidecar(rows: DataFrame, path: str, sidecar: str, facts: dict) -> None:
@@ -111,11 +74,19 @@ def with_sidecar(rows: DataFrame, path: str, sidecar: str, facts: dict) -> None:
     out.close()
 
 
+def digest(rows: DataFrame) -> tuple[int, str]:
+    """Number of rows and a digest of them as a multiset: whatever their order, a changed, lost or doubled row changes it."""
+    own = rows.select(F.sha2(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\\N")).alias(c) for c in rows.columns))), 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 13 * i, 13), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)]
+    n, *sums = own.agg(F.count("*"), *parts).first()
+    return n, ":".join(str(x) for x in sums)
+
+
 def round_trip(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` written and read back under their own schema; another number of rows raises."""
+    """``rows`` written and read back under their own schema; another content than was written raises."""
     rows.write.mode("overwrite").parquet(path)
     back = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    if back.count() != rows.count():
+    if digest(back) != digest(rows):
         raise ValueError(f"{path} doesn't hold what was written")
     return back
 
