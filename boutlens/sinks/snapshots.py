@@ -44,6 +44,17 @@ def _read_text(spark: SparkSession, path: str) -> str:
         source.close()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if got.isEmpty():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = got.get()
+    return f"{base}/boutlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The committed versions, the oldest first."""
     fs, p = _at(spark, f"{path}/manifests")
