@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.operators import evaluation, models, names, resampling
+from boutlens.operators import evaluation, models, names, neighbours, resampling
 from boutlens.plans import evaluations
 from boutlens.plans.base import BOUTS, physicals
 from boutlens.plans.bouts import sides, table
@@ -21,6 +21,15 @@ def pca_embeddings(spark, sf_dir) -> DataFrame:
     return models.embeddings(e, [f"x{i}" for i in range(16)]).select("vec_id", "embedding")
 
 
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id)
+SELECT id, CAST(row_number() OVER w AS INT) AS rank, other, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY id ORDER BY s DESC, other)""")
+def nearest_ten(spark, sf_dir) -> DataFrame:
+    """The ten most similar others of every vector."""
+    out = neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return out.select("id", "rank", "other", F.round("similarity", 6).alias("similarity"))
+
+
 def _level_one(spark, sf_dir) -> DataFrame:
     """Three scores of each decided bout, made up from the ids, one of them with a little of the outcome."""
     s = evaluations.scored(spark, sf_dir)
