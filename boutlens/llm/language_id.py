@@ -32,6 +32,8 @@ from boutlens.llm.common import free_name, learnable
 ROWS_A_LANGUAGE = 1000
 #: what is learnt is a table of BINS by languages, gathered to the driver language by language and broadcast
 BINS = 1 << 15
+#: labels whose counts are broadcast
+MOST_LABELS = 100_000
 #: bytes of text times languages that a task looks at in one go
 HELD = 1 << 25
 _PLAIN = re.compile("[A-Za-z]")
@@ -77,7 +79,9 @@ def fit(docs: DataFrame, may_learn: Column, rows_a_language: int = ROWS_A_LANGUA
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    some = rows.join(sizes, "lang").filter(draw < rows_a_language / F.col("n")).select("lang", "text")
+    # labels are few and small; where they aren't, they meet by a shuffle
+    few = sizes.limit(MOST_LABELS + 1).count() <= MOST_LABELS
+    some = rows.join(F.broadcast(sizes) if few else sizes, "lang").filter(draw < rows_a_language / F.col("n")).select("lang", "text")
     counts = _counts(some).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages, columns = [], []
     for r in counts.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).orderBy("lang").toLocalIterator():
