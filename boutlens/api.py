@@ -153,8 +153,9 @@ def inference_rows(store: Store, pairs: DataFrame) -> DataFrame:
     What lies on the day itself or later isn't read; a side without a rating has 1500, other gaps are null.
     """
     numbers = [n for n, k in store.features.dtypes if k in ("double", "int", "bigint") and n not in ("fighter", "fight_id")] if store.features is not None else []
-    asked = pairs.withColumn("row", F.monotonically_increasing_id())
-    both = asked.select("row", F.col("day").alias("event_date"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("fighter")), F.struct(F.lit("b").alias("side"), F.col("b").alias("fighter")))).alias("s"))
+    # a row's name is what it asks, so that it is the same however often it is evaluated
+    asked = pairs.withColumn("row", F.to_json(F.struct("a", "b", "day")))
+    both = asked.dropDuplicates(["row"]).select("row", F.col("day").alias("event_date"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("fighter")), F.struct(F.lit("b").alias("side"), F.col("b").alias("fighter")))).alias("s"))
     sides_ = both.select("row", "event_date", "s.side", "s.fighter")
     elo = store.snapshots.filter("elo_type = 'overall'")
     met = matching.asof_backward(sides_, elo, "fighter", "event_date", ["fight_id", "after"]).select("row", "event_date", "side", "fighter", F.coalesce("last_after", F.lit(1500.0)).alias("elo"))

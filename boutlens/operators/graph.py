@@ -15,6 +15,8 @@ from boutlens.functions.odds import edge_weight
 DAMPING, DECAY, TOLERANCE, ROUNDS = 0.85, 0.98, 1e-6, 100
 #: folded edges that are broadcast: 32 bytes each
 MOST_EDGES = 2_000_000
+#: days that are broadcast: 4 bytes each
+MOST_DAYS = 100_000
 _EPOCH = datetime.date(1970, 1, 1)
 
 
@@ -61,7 +63,9 @@ def edges(bouts: DataFrame, by_division: bool = False) -> DataFrame:
 
 def edges_asof(graph: DataFrame, days: DataFrame, decay: float | None = None) -> DataFrame:
     """(as_of, src, dst, weight): the edges known before each day; with ``decay`` their weight fades day by day."""
-    met = graph.join(F.broadcast(days.select("as_of").distinct()), F.col("earliest") < F.col("as_of"))
+    asked = days.select("as_of").distinct()
+    few = asked.limit(MOST_DAYS + 1).count() <= MOST_DAYS
+    met = graph.join(F.broadcast(asked) if few else asked, F.col("earliest") < F.col("as_of"))
     weight = F.col("weight") * F.pow(F.lit(decay), F.datediff("as_of", "earliest")) if decay else F.col("weight")
     return met.select("as_of", "src", "dst", weight.alias("weight"))
 

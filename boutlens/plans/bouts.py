@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boutlens.operators.graph import checkpointed
 
-_HELD: dict[str, DataFrame] = {}
+#: checkpointed bouts by session and folder, seen only by the thread that is inside materialised()
+_HELD: ContextVar[dict[tuple[SparkSession, str], DataFrame]] = ContextVar("held", default={})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,9 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The lines are shuffled once, by order; the sums and the ranks both use that partitioning.
     """
-    if sf_dir in _HELD:
-        return _HELD[sf_dir]
+    held = _HELD.get().get((spark, sf_dir))
+    if held is not None:
+        return held
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
     )
@@ -49,11 +52,11 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @contextmanager
 def materialised(spark: SparkSession, sf_dir: str):
     """Inside, bouts() is a checkpoint: a build of many features derives the bouts once."""
-    _HELD[sf_dir] = checkpointed(bouts(spark, sf_dir))
+    before = _HELD.set(_HELD.get() | {(spark, sf_dir): checkpointed(bouts(spark, sf_dir))})
     try:
         yield
     finally:
-        del _HELD[sf_dir]
+        _HELD.reset(before)
 
 
 def method(priority):

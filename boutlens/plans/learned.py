@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.operators import evaluation, models, names, neighbours, resampling
+from boutlens.operators import evaluation, models, names, neighbours, resampling, seeds
 from boutlens.plans import evaluations
 from boutlens.plans.base import BOUTS, physicals
 from boutlens.plans.bouts import sides, table
@@ -23,7 +23,7 @@ def pca_embeddings(spark, sf_dir) -> DataFrame:
 
 @query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id)
-SELECT id, CAST(row_number() OVER w AS INT) AS rank, other, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY id ORDER BY s DESC, other)""")
+SELECT id, CAST(row_number() OVER w AS INT) AS rank, other, round(s, 6) AS similarity FROM p WINDOW w AS (PARTITION BY id ORDER BY s DESC, other) QUALIFY row_number() OVER w <= 10""")
 def nearest_ten(spark, sf_dir) -> DataFrame:
     """The ten most similar others of every vector."""
     out = neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -52,6 +52,15 @@ def boosted_oof(spark, sf_dir) -> DataFrame:
     return models.calibrated(out.filter("fold > 1"), out.filter("fold = 1")).select("fight_id", "fold", "y", "p")
 
 
+@query()
+def seed_noise_floor(spark, sf_dir) -> DataFrame:
+    """Medians and spread over ten seeds of trees grown on bouts before 2001 and scored on later ones, by year."""
+    rows = _level_one(spark, sf_dir).withColumn("year", F.year("event_date"))
+    chosen = list(range(10))
+    forest = seeds.fit(rows.filter("year < 2001"), ["xgb", "elo", "close"], chosen, params=seeds.Params(trees=4, depth=2))
+    return seeds.noise_floor(seeds.probabilities(rows.filter("year >= 2001"), forest), "year", chosen)
+
+
 @query()
 def bootstrap_ci(spark, sf_dir) -> DataFrame:
     """Half the width of the 68 % interval of each slice's Brier score."""
