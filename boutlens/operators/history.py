@@ -46,14 +46,16 @@ def mean_of_last(values: str, n: int) -> Column:
     return F.when(F.size(values) >= n, F.aggregate(F.slice(values, -n, n), F.lit(0.0), lambda a, v: a + v) / n)
 
 
-def folded(df: DataFrame, means: dict[str, str], lasts: dict[str, tuple[str, int]], alpha: float = 0.206, key: str = "fighter", order=("event_date", "fight_id")) -> DataFrame:
+def folded(df: DataFrame, means: dict[str, str | tuple[str, float]], lasts: dict[str, tuple[str, int]], alpha: float = 0.206, key: str = "fighter", order=("event_date", "fight_id")) -> DataFrame:
     """``df`` with running values of each key's earlier rows, in one ordered pass: nulls are skipped.
 
-    ``means`` names exponentially weighted means: {output: column}, seeded by the first value, 0 before it. ``lasts``
+    ``means`` names exponentially weighted means: {output: column}, or {output: (column, its own alpha)}, seeded by the
+    first value, 0 before it. ``lasts``
     names means of the last n values: {output: (column, n)}, null while there are fewer. A task holds the state of one
     key, however long its history is.
     """
-    columns = sorted({*means.values(), *(c for c, _ in lasts.values())})
+    means = {name: m if isinstance(m, tuple) else (m, alpha) for name, m in means.items()}
+    columns = sorted({*(c for c, _ in means.values()), *(c for c, _ in lasts.values())})
     outputs = [*means, *lasts]
 
     def run(batches):
@@ -69,12 +71,12 @@ def folded(df: DataFrame, means: dict[str, str], lasts: dict[str, tuple[str, int
                     continue
                 if keys[lo] != at:
                     at, state = keys[lo], {name: [] if name in lasts else None for name in outputs}
-                for name, c in means.items():
+                for name, (c, share) in means.items():
                     mean, out = state[name], made[name]
                     for x in held[c][lo:hi]:
                         out.append(0.0 if mean is None else mean)
                         if x is not None:
-                            mean = x if mean is None else mean * (1 - alpha) + x * alpha
+                            mean = x if mean is None else mean * (1 - share) + x * share
                     state[name] = mean
                 for name, (c, n) in lasts.items():
                     seen, out = state[name], made[name]

@@ -125,6 +125,24 @@ def set_once(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame
     return met.select(*(F.coalesce(column, "__new").alias(column) if c == column else F.col(c) for c in old.columns))
 
 
+def proportional_sample(rows: DataFrame, key: str, k: int, seed: int, strata: str) -> DataFrame:
+    """``k`` rows, of each stratum in proportion to its size, by the least hash of key and seed: all where there are fewer.
+
+    Shares are whole by the largest remainder: a stratum gets its share rounded down, and what is left goes to the
+    strata of the largest remainders, ties to the least name; small strata may get none. Strata fold to one row each
+    before they are ranked; null is a stratum.
+    """
+    sizes = rows.groupBy(F.col(strata).alias("__stratum")).agg(F.count("*").alias("__n"))
+    total = sizes.agg(F.sum("__n").alias("__total"), F.least(F.sum("__n"), F.lit(k)).alias("__k"))
+    parts = sizes.join(F.broadcast(total)).withColumns({"__base": F.expr("__n * __k div __total"), "__rest": F.expr("__n * __k % __total")})
+    given = parts.agg(F.sum("__base").alias("__given"))
+    place = F.row_number().over(Window.orderBy(F.desc("__rest"), F.col("__stratum").asc_nulls_first()))
+    takes = parts.join(F.broadcast(given)).withColumn("__take", F.col("__base") + (place <= F.col("__k") - F.col("__given")).cast("long")).select("__stratum", "__take")
+    order = [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+    own = rows.withColumn("__place", F.row_number().over(Window.partitionBy(strata).orderBy(*order)))
+    return own.join(takes, F.col(strata).eqNullSafe(F.col("__stratum"))).filter(F.col("__place") <= F.col("__take")).select(rows.columns)
+
+
 def sample_by_hash(rows: DataFrame, key: str, k: int, seed: int, strata: str | None = None) -> DataFrame:
     """The ``k`` rows (of each stratum) of the least hash of key and seed: the same ones at every run."""
     order = [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]

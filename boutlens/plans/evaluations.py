@@ -195,6 +195,15 @@ def stratified_sample(spark, sf_dir) -> DataFrame:
     return matching.sample_by_hash(c, "id", 12, 42, "stratum")
 
 
+@query("""WITH s AS (SELECT c_nationkey AS stratum, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) // 7 AS k FROM s),
+q AS (SELECT stratum, k, (n * k) // total AS base, (n * k) % total AS rest FROM s, t), a AS (SELECT stratum, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= k - sum(base) OVER () THEN 1 ELSE 0 END AS take FROM q)
+SELECT c_nationkey AS stratum, c_custkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || ':42'), c_custkey) AS p FROM customer) JOIN a ON c_nationkey = stratum WHERE p <= take""")
+def proportional_sample(spark, sf_dir) -> DataFrame:
+    """A seventh of the customers, each nation by its share, whole by the largest remainder."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("stratum"), F.col("c_custkey").alias("id"))
+    return matching.proportional_sample(c, "id", c.count() // 7, 42, "stratum")
+
+
 @query("SELECT c_custkey AS id FROM customer ORDER BY md5(c_custkey || ':7'), c_custkey LIMIT 25")
 def seeded_sample(spark, sf_dir) -> DataFrame:
     return matching.sample_by_hash(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", 25, 7)
