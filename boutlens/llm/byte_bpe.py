@@ -1,8 +1,9 @@
 """Byte-level BPE with a segment tree over byte positions.
 
 A piece's leaf i holds the rank of merging the token that starts at byte i with its right neighbour; inner
-nodes hold the leftmost minimum. Each merge takes the root, joins two tokens and updates the leaves of the
-merged token, the swallowed one and the left neighbour: three logarithmic point updates. A piece that is a
+nodes hold the leftmost minimum of ``FAN`` children. Each merge takes the root, joins two tokens and updates the leaves
+of the merged token, the swallowed one and the left neighbour: three logarithmic point updates, each of which ends
+at the first node that it leaves as it was. A piece that is a
 token itself needs no merging. Pieces are those of the tokenizer's pattern; words that recur are remembered
 in a bounded memo of two generations, which changes no result.
 
@@ -17,6 +18,7 @@ import base64
 import functools
 import hashlib
 import re
+import sys
 from array import array
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 _NONE = 1 << 62
 #: pieces of more bytes are merged in flat arrays
 _LONG = 1 << 12
+#: children of an inner node
+FAN = 16
 #: A space after white space; elsewhere a piece always starts at a space, whatever the pattern's other parts.
 _GAP = re.compile(r"\s ")
 
@@ -37,44 +41,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    size = 1 << max(0, n - 1).bit_length()
+    n, rank = len(piece), ranks.get
     held = list if n <= _LONG else functools.partial(array, "q")
     after = held(range(1, n + 2))
     after[n] = n
     before = held(range(-1, n))
-    tree = held([_NONE]) * (2 * size)
-    for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r * size + i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a <= b else b
-
-    def pair(i: int) -> int:
+    pairs = (rank(piece[i : i + 2]) for i in range(n - 1))
+    leaves = held([_NONE if r is None else r * n + i for i, r in enumerate(pairs)])
+    leaves.append(_NONE)
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append(held([min(below[i : i + FAN]) for i in range(0, len(below), FAN)]))
+    top = levels[-1]
+    while (best := min(top)) < _NONE:
+        i = best % n
         j = after[i]
-        r = ranks.get(piece[i : after[j]]) if j < n else None
-        return _NONE if r is None else r * size + i
-
-    while tree[1] < _NONE:
-        i = tree[1] % size
-        j = after[i]
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        put(j, _NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        k = after[i] = after[j]
+        # point updates: the merged token, the swallowed one, the left neighbour
+        leaves[i] = leaves[j] = _NONE
+        if k < n:
+            before[k] = i
+            r = rank(piece[i : after[k]])
+            if r is not None:
+                leaves[i] = r * n + i
+        h = before[i]
+        if h >= 0:
+            r = rank(piece[h:k])
+            leaves[h] = _NONE if r is None else r * n + h
+        if top is not leaves:
+            touched = {i // FAN, j // FAN, max(h, 0) // FAN}
+            for below, level in zip(levels, levels[1:]):
+                changed = set()
+                for t in touched:
+                    least = min(below[t * FAN : (t + 1) * FAN])
+                    if level[t] != least:
+                        level[t] = least
+                        changed.add(t // FAN)
+                touched = changed
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -101,6 +105,14 @@ class _Memo(dict):
         return got
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -111,7 +123,7 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pieces = _Memo(lambda p: np.array(merge(p.encode(), self.ranks), "<u4").tobytes(), 100_000)
+        self.pieces = _Memo(lambda p: _packed(merge(p.encode(), self.ranks)), 200_000)
         self.words = _Memo(lambda w: self._pieces(" " + w))
 
     def _pieces(self, text: str) -> bytes:
