@@ -121,6 +121,33 @@ def test_op4_planted(spark):
     assert got[4].text == "" and got[6].text is None and got[7].text == "" and got[None].text == "a b"
 
 
+def test_op4_recall(spark):
+    """Planted passages: exact ones from LEAST_WORDS words on all go, longer ones with a few words changed nearly all."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs, plan = {}, {}
+    for size, edits in ((40, 0), (41, 0), (60, 0), (60, 1), (60, 3), (80, 3)):
+        for _ in range(25):
+            k = len(docs)
+            passage = [word() for _ in range(size)]
+            changed = list(passage)
+            for i in rng.sample(range(size), edits):
+                changed[i] = word()
+            for d, part in ((k, passage), (k + 1, changed)):
+                own = [word() for _ in range(rng.randrange(60, 200))]
+                at = rng.randrange(len(own))
+                docs[d] = own[:at] + part + own[at:]
+            plan[k + 1] = (size, edits)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    left = {r.doc_id: len(r.text.split()) for r in substring_dedup.dedup_passages(df).collect()}
+    found = {}
+    for d, case in plan.items():
+        found.setdefault(case, []).append(min(1, (len(docs[d]) - left[d]) / case[0]))
+    for (size, edits), shares in found.items():
+        assert sum(s >= 0.8 for s in shares) >= (len(shares) if not edits else 0.9 * len(shares)), (size, edits)
+    assert all(left[d] == len(docs[d]) for d in docs if d not in plan)
+
+
 def test_alignment_against_brute():
     rng = random.Random(1)
     for _ in range(200):
