@@ -76,7 +76,7 @@ def promotion_gate(spark, sf_dir) -> DataFrame:
 
 
 _TESTS = """WITH c AS (SELECT c_custkey AS candidate_id, t, i, 0.20 + ((c_custkey * 7 + i) % 20) / 1000.0::DOUBLE AS baseline, 0.20 + ((c_custkey * 11 + i * 3 + t) % 20) / 1000.0::DOUBLE + CASE WHEN c_custkey % 9 = 4 THEN 0.1 ELSE 0 END AS refit,
-0.195 + ((c_custkey * 13 + i * 5 + t * 2) % 20) / 1000.0::DOUBLE AS candidate, 0.212 AS brier_max, CASE WHEN c_custkey % 17 = 3 AND t = 2 THEN 15 ELSE 13 END AS width FROM customer, unnest([1, 2]) AS a(t), unnest([0, 1, 2]) AS b(i) WHERE c_custkey < 500),
+0.195 + ((c_custkey * 13 + i * 5 + t * 2) % 20) / 1000.0::DOUBLE AS candidate, 0.212 AS brier_max, CASE WHEN c_custkey % 17 = 3 AND t = 2 THEN 15 ELSE 13 END AS width FROM customer, unnest([1, 2]) AS a(t), unnest([0, 1, 2]) AS b(i)),
 v AS (SELECT candidate_id, t, max(abs((baseline - candidate) - (refit - candidate))) AS drift, bool_and(candidate <= brier_max) AS floors, sum(refit - candidate) AS margin, bool_or(width <> 13) AS wide FROM c GROUP BY ALL),
 w AS (SELECT *, CASE WHEN wide OR drift > 0.05 THEN 'confound_block' WHEN floors AND margin >= 0.003 THEN 'path_a_promote' ELSE 'path_b_reject' END AS verdict FROM v)
 """
@@ -88,7 +88,7 @@ FROM w a JOIN w b ON a.candidate_id = b.candidate_id AND a.t = 1 AND b.t = 2""")
 def gate_verdict_dual(spark, sf_dir) -> DataFrame:
     """Verdicts of candidates on two data sets, and the two put together."""
     k = F.col("candidate_id")
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 500").select(F.col("c_custkey").alias("candidate_id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"))
     c = c.withColumn("t", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     t, i = F.col("t"), F.col("i")
     rows = c.withColumns({
@@ -238,3 +238,32 @@ def snapshot_delta(spark, sf_dir) -> DataFrame:
     b = bouts(spark, sf_dir).groupBy("division").agg(F.count_if(F.col("event_date") < F.lit("2000-01-01").cast("date")).alias("before"), F.count("*").alias("after"))
     delta = F.col("after") - F.col("before")
     return b.withColumns({"delta": delta, "pct": F.round(100 * delta / F.col("after"), 2)})
+
+
+@query("""SELECT c_custkey AS candidate, CASE WHEN count(*) FILTER (abs(remeasured) < 0.05 AND reported > 0.2) >= 2 THEN 'artifact' WHEN bool_and(clears) AND count(*) FILTER (remeasured >= 0.003) >= 2 THEN 'real' ELSE 'real_but_floor_misses' END AS verdict
+FROM (SELECT c_custkey, ((c_custkey * 7 + i * 31) % 100) / 1000.0::DOUBLE - 0.02 AS remeasured, ((c_custkey * 5 + i) % 10) / 20.0::DOUBLE AS reported, (c_custkey + i) % 7 <> 0 AS clears FROM customer, unnest([0, 1, 2]) t(i)) GROUP BY ALL""")
+def divergence_verdicts(spark, sf_dir) -> DataFrame:
+    """Whether each candidate's reported gain is real after remeasuring on three slices."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate")).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    k, i = F.col("candidate"), F.col("i")
+    slices = c.select("candidate", ((k * 7 + i * 31) % 100 / 1000.0 - 0.02).alias("remeasured"), ((k * 5 + i) % 10 / 20.0).alias("reported"), ((k + i) % 7 != 0).alias("clears"))
+    return evaluation.divergence(slices)
+
+
+@query(BOUTS + _SLICED + """, full_ AS (SELECT unnest(['most_recent_12mo', 'most_recent_24mo', 'random_15pct', 'women']) AS slice, (SELECT count(*) // 8 FROM scored) AS expected), own AS (SELECT slice, count(*) AS n FROM sliced GROUP BY ALL)
+SELECT slice, coalesce(n, 0) AS rows, expected, coalesce(n, 0) / expected::DOUBLE AS share, coalesce(n, 0) > 0 AND coalesce(n, 0) / expected::DOUBLE >= 0.5 AS passes FROM full_ LEFT JOIN own USING (slice)""")
+def slice_coverage(spark, sf_dir) -> DataFrame:
+    """Rows of each slice against an eighth of the decided bouts; a slice without rows appears and fails."""
+    names = spark.createDataFrame([(s,) for s in ("most_recent_12mo", "most_recent_24mo", "random_15pct", "women")], "slice string")
+    full = names.crossJoin(scored(spark, sf_dir).agg(F.floor(F.count("*") / 8).alias("expected")))
+    return evaluation.slice_coverage(sliced(spark, sf_dir), full)
+
+
+_NAMES = ["Strawweight", "Flyweight", "Bantamweight", "Featherweight", "Lightweight", "Welterweight", "Middleweight", "Light Heavyweight", "Heavyweight", "Women's Strawweight", "Women's Flyweight", "Women's Bantamweight", "Women's Featherweight", "Catch Weight"]
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 15 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 7 WHEN 7 THEN 8 WHEN 8 THEN 9 WHEN 9 THEN 1 WHEN 10 THEN 2 WHEN 11 THEN 3 WHEN 12 THEN 4 ELSE 5 END::DOUBLE AS ordinal FROM customer""")
+def division_ordinals(spark, sf_dir) -> DataFrame:
+    """Every division's place in the order of weights, 5 for unknown ones and null."""
+    named = F.get(F.array(*(F.lit(n) for n in _NAMES)), (F.col("c_custkey") % 15).cast("int"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), fn.division_ordinal(named).alias("ordinal"))

@@ -16,9 +16,9 @@ from boutlens.streaming import records
 
 @query()
 def pca_embeddings(spark, sf_dir) -> DataFrame:
-    """Eight principal components of the first sixteen entries of each vector."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)))
-    return models.embeddings(e, [f"x{i}" for i in range(16)]).select("vec_id", "embedding")
+    """Eight principal components of each vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    return models.embeddings(e, [f"x{i}" for i in range(64)]).select("vec_id", "embedding")
 
 
 @query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
