@@ -51,15 +51,17 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, columns:
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, day: str, within: int) -> DataFrame:
     """``left`` ids with the id of the row of ``right`` nearest in days, at most ``within`` away; ties by day, then id.
 
-    Days fall into buckets of ``within``; a row asks its own and the two beside it.
+    Rows of both sides meet once in the order of days, forwards and backwards: each carries the last seen row of ``right``
+    on. Days that are dense cost no more than others. Null keys and days meet nothing.
     """
-    number = lambda c: F.unix_date(c)
-    asked = left.select(left_id, *keys, F.col(day).alias("__day"), F.explode(F.transform(F.array(*(F.lit(i) for i in (-1, 0, 1))), lambda i: F.floor(number(day) / (within + 1)) + i)).alias("__bucket"))
-    held = right.select(*keys, F.col(day).alias("__other"), F.col(right_id).alias("match_id"), F.floor(number(day) / (within + 1)).alias("__bucket"))
-    gap = F.abs(F.datediff("__day", "__other"))
-    met = asked.join(held, [*keys, "__bucket"]).withColumn("gap", gap).filter(F.col("gap") <= within)
-    best = met.groupBy(left_id).agg(F.min(F.struct("gap", F.col("__other"), "match_id")).alias("best"))
-    return best.select(left_id, "best.match_id", F.col("best.gap").alias("days_apart"))
+    left, right = (df.dropna(subset=[*keys, day]) for df in (left, right))
+    held = right.groupBy(*keys, F.col(day).alias("__day")).agg(F.min(right_id).alias("__id")).select(*keys, "__day", F.lit(0).alias("__side"), F.struct("__day", "__id").alias("__row"), F.lit(None).cast(left.schema[left_id].dataType).alias(left_id))
+    asked = left.select(*keys, F.col(day).alias("__day"), F.lit(1).alias("__side"), F.lit(None).cast(held.schema["__row"].dataType).alias("__row"), left_id)
+    seen = lambda order: F.last("__row", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, 0))
+    met = held.unionByName(asked).withColumns({"__before": seen(F.asc("__day")), "__after": seen(F.desc("__day"))}).filter("__side = 1")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff("__day", F.col(f"{c}.__day"))).alias("gap"), F.col(f"{c}.__day").alias("day"), F.col(f"{c}.__id").alias("id")))
+    best = met.select(left_id, F.least(near("__before"), near("__after")).alias("best")).filter(F.col("best.gap") <= within)
+    return best.groupBy(left_id).agg(F.min("best").alias("best")).select(left_id, F.col("best.id").alias("match_id"), F.col("best.gap").alias("days_apart"))
 
 
 def priority(source: Column) -> Column:
