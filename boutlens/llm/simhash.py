@@ -16,10 +16,11 @@ Null text counts as empty; a text without words has fingerprint zero and links l
 however long; null doc_ids are dropped (they can't be members of a result keyed by id); repeated rows share their
 component and give a row each; extra columns are ignored whatever their names; an empty table gives no rows.
 
-The near-dedup stage (``drop_near``) looks for shingle similarity, of which 3 bits say little: at 0.8 the
-fingerprints differ by about 4 to 14 bits. Its candidates share a key of ``ROWS`` out of 64 shingle minima (at 0.8
-all 16 keys miss with a chance of 0.0002), differ by at most ``WIDE`` bits, which the pivot coordinates decide for
-most, and agree in at least ``LEAST_EQUAL`` minima; then the shingles themselves are compared.
+The near-dedup stage (``drop_near``) looks for shingle similarity, of which 3 bits say little: at 0.8 a bit differs with
+a chance of 0.15. It takes ``PRINTS`` independent fingerprints of a document. Candidates agree in two of their slices of
+8 bits that make a key (at 0.8 all keys miss with a chance of about 0.0003) and differ by at most ``WIDE`` bits in the
+first two fingerprints. Under a key documents are sorted along a pivot, pairs further apart on it than ``WIDE`` aren't
+formed, and the rest are held bit by bit; then the shingles themselves are compared.
 """
 
 from __future__ import annotations
@@ -42,18 +43,22 @@ BLOCKS = 6
 PIVOTS = 32
 #: fingerprints under a key that are compared in one go; above it a key is divided
 CROWD = 1024
-#: the near-dedup stage: minima in BANDS keys of ROWS each; a candidate agrees in LEAST_EQUAL minima, within WIDE bits
-BANDS, ROWS, LEAST_EQUAL, WIDE = 16, 4, 36, 24
-#: minima in which candidates may differ
-DIFFER = BANDS * ROWS - LEAST_EQUAL
-#: documents of a group, and of a key, that one task compares; larger ones are dealt out, or thinned and divided. Minima in
-#: which a document may differ from a key's leader and be represented by it
-CHUNK, KEY_CHUNK, CLOSE = 1000, 5000, 8
+#: the near-dedup stage: independent fingerprints of a document, and the bits by which candidates may differ in the first two
+PRINTS, WIDE = 16, 36
+#: documents of a group, and of a key, that one task compares; larger ones are dealt out, or thinned and dealt out by
+#: pairs of parts. Bits in which a document may differ from a key's leader and be represented by it
+CHUNK, KEY_CHUNK, CLOSE = 1000, 5000, 12
+#: keys of as many documents are compared together, larger ones one by one; up to MATRIX by all pairs at once
+SMALL, MATRIX = 64, 512
 #: the first documents of a group are found to within one in so many of its documents
 HEAD_ACCURACY = 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 _TRIPLES = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
+_SLICES = 8 * PRINTS
+#: the pairs of slices that make a key, in rounds that are shuffled one after another
+_KEYS = [(i, (i + 1) % _SLICES) for i in range(_SLICES)] + [(i, i + _SLICES // 2) for i in range(0, _SLICES // 2, 2)]
+_ROUNDS = [range(i, min(i + 40, len(_KEYS))) for i in range(0, len(_KEYS), 40)]
 
 
 def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -247,7 +252,7 @@ def similarity(a: str | None, b: str | None, width: int = 5) -> float:
 @functools.cache
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(65)
-    return rng.integers(0, 2**64, BANDS * ROWS, np.uint64), rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(0, 2**64, PRINTS, np.uint64), rng.integers(0, 2**63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
@@ -257,172 +262,178 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(w[i : i + width])) for i in range(max(1, len(w) - width + 1))), np.uint64))
 
 
-def sketch(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """Fingerprint of the distinct shingle hashes ``h``, and their minima under ``BANDS * ROWS`` orders."""
+def prints(h: np.ndarray) -> np.ndarray:
+    """``PRINTS`` independent fingerprints of the distinct shingle hashes ``h``, as bytes: each mixes them in its own way."""
     flip, factor = _factors()
-    total, least = np.zeros(64, np.int64), np.full(len(flip), 2**64 - 1, np.uint64)
-    for i in range(0, len(h), 1 << 12):
-        part = h[i : i + (1 << 12)]
-        total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        least = np.minimum(least, ((part[:, None] ^ flip) * factor).min(axis=0))
-    return int.from_bytes(np.packbits(total * 2 > len(h)).tobytes(), "big"), least
+    total = np.zeros(64 * PRINTS, np.int64)
+    for i in range(0, len(h), 255):
+        x = (h[i : i + 255, None] ^ flip) * factor
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+        total += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(h))
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp, minima, keys): 16 bits of each minimum, and the keys of the bands."""
+    """(doc_id, a, b, keys): the first two fingerprints, and the slices of all, each a number with its place."""
+    places = np.arange(_SLICES, dtype=np.int32) << 8
 
     def run(batches):
         for b in batches:
-            got = [sketch(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
-            fp = np.array([f for f, _ in got], np.uint64).view(np.int64)
-            minima = [(m >> np.uint64(40)).astype("<u2").tobytes() for _, m in got]
-            keys = [[xxhash.xxh64_intdigest(m[i : i + ROWS].tobytes(), i) for i in range(0, len(m), ROWS)] for _, m in got]
-            keys = pa.array([np.array(k, np.uint64).view(np.int64) for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(minima, pa.binary()), keys], ["doc_id", "fp", "minima", "keys"])
-
-    return texts.mapInArrow(run, "doc_id long, fp long, minima binary, keys array<long>")
-
-
-def _alike(doc: np.ndarray, fp: np.ndarray, minima: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the candidate pairs among the members of a key: each is held once against those left."""
-    far, out = coordinates(fp).astype(np.int8), []
+            if not b.num_rows:
+                continue
+            got = np.stack([prints(shingle_hashes(t, width)) for t in b.column("text").to_pylist()])
+            first = np.ascontiguousarray(got[:, :16]).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * _SLICES), pa.array((got + places).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(first[:, 0]), pa.array(first[:, 1]), keys], ["doc_id", "a", "b", "keys"])
+
+    return texts.mapInArrow(run, "doc_id long, a long, b long, keys array<int>")
+
+
+def _apart(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits by which the fingerprint pairs (a, b) and (x, y) differ."""
+    return np.bitwise_count(a ^ x) + np.bitwise_count(b ^ y)
+
+
+def _alike(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the candidate pairs among the members of a key: two lists of documents."""
+    if len(doc) <= MATRIX:
+        near = _apart(a[:, None], b[:, None], a, b) <= WIDE
+        if near.sum() == len(doc):
+            return [], []
+        least, before = np.arange(len(doc)), None
+        while before is None or (least != before).any():
+            before, least = least, np.where(near, least, len(doc)).min(axis=1)
+        below = np.flatnonzero(least < np.arange(len(doc)))
+        return doc[least[below]].tolist(), doc[below].tolist()
+    far, u, v = (coordinates(a) + coordinates(b)).astype(np.int16), [], []
     left, queue = np.arange(len(doc)), []
-    while len(left):
+    while len(left):  # each is held once against those left
         if not queue:
             queue, left = [int(left[0])], left[1:]
         x = queue.pop()
-        near = np.abs(far[left] - far[x]).max(axis=1, initial=0) <= WIDE
-        near[near] = np.bitwise_count(fp[left[near]] ^ fp[x]) <= WIDE
-        near[near] = (minima[left[near]] == minima[x]).sum(axis=1) >= LEAST_EQUAL
+        near = _apart(a[left], b[left], a[x], b[x]) <= WIDE
+        near[near] = np.abs(far[left[near]] - far[x]).max(axis=1, initial=0) <= WIDE
         met = left[near].tolist()
-        out += [(int(doc[x]), int(doc[y])) for y in met]
+        u += [int(doc[x])] * len(met)
+        v += doc[met].tolist()
         queue += met
         left = left[~near]
-    return out
+    return u, v
+
+
+def _together(key: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The candidate pairs of many small keys at once: every member is held against the next along a pivot, the one after, ..."""
+    axis = int((coordinates(a[::64]).astype(np.int16) + coordinates(b[::64])).var(axis=0).argmax())
+    along = _apart(a, b, pivots()[axis], pivots()[axis]).astype(np.int16)
+    order = np.lexsort((along, key))
+    key, doc, a, b, along = (x[order] for x in (key, doc, a, b, along))
+    i, step, u, v = np.arange(len(key)), 1, [], []
+    while True:
+        i = i[: np.searchsorted(i, len(key) - step)]
+        i = i[(key[i] == key[i + step]) & (along[i + step] - along[i] <= WIDE)]
+        if not len(i):
+            return u, v
+        near = i[_apart(a[i], b[i], a[i + step], b[i + step]) <= WIDE]
+        u.append(doc[near])
+        v.append(doc[near + step])
+        step += 1
 
 
-def _agree(minima: pa.Array, other: pa.Array) -> np.ndarray:
-    """Which minima of two sketches agree, row by row, as bits of a long."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in (minima, other))
-    return np.packbits(x == y, axis=1, bitorder="little").view("<i8").ravel()
+def _compared(members: DataFrame, most: int | None) -> DataFrame:
+    """(u, v, crowded) of ``members`` (key, doc_id, a, b): edges that connect the candidates under each key.
 
+    A key of over ``most`` documents is named in ``crowded`` instead, and isn't held.
+    """
 
-def _met(members: DataFrame, leaders: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(key, free, doc_id, leader, agree) of the ``members`` of the keys in ``leaders`` (key, leader)."""
-    own = sketches.select("doc_id", "minima")
-    crowd = members.join(leaders, "key").join(own, "doc_id").join(own.withColumnsRenamed({"doc_id": "leader", "minima": "first"}), "leader")
+    def emit(rows):
+        cuts = np.append(np.flatnonzero(np.diff(rows[0], prepend=rows[0][0] - 1)), len(rows[0]))
+        size = np.diff(cuts)
+        big = size > (most or len(rows[0]))
+        few = np.repeat((size > 1) & (size <= SMALL) & ~big, size)
+        u, v = _together(*(x[few] for x in rows)) if few.any() else ([], [])
+        for lo, hi in zip(cuts[:-1][(size > SMALL) & ~big].tolist(), cuts[1:][(size > SMALL) & ~big].tolist()):
+            for out, found in zip((u, v), _alike(*(x[lo:hi] for x in rows[1:]))):
+                out.append(np.array(found, np.int64))
+        return edges(np.concatenate([rows[1][:0], *u]), np.concatenate([rows[1][:0], *v]), rows[0][cuts[:-1][big]])
+
+    def edges(u, v, crowded):
+        columns = [pa.concat_arrays([pa.array(x), pa.nulls(len(crowded), pa.int64())]) for x in (u, v)]
+        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(crowded)])], ["u", "v", "crowded"])
 
     def run(batches):
+        rest = over = None
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "free", "doc_id", "leader")), pa.array(_agree(b.column("minima"), b.column("first")))], ["key", "free", "doc_id", "leader", "agree"])
+            k, doc, x, y = (b.column(c).to_numpy() for c in ("key", "doc_id", "a", "b"))
+            part = [k, doc, x.view(np.uint64), y.view(np.uint64)]
+            if over is not None:
+                part = [x[np.searchsorted(k, over, side="right") :] for x in part]
+            rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
+            if not len(rest[0]):
+                continue
+            cut = int(np.searchsorted(rest[0], rest[0][-1]))
+            if cut:
+                yield emit([x[:cut] for x in rest])
+                rest = [x[cut:] for x in rest]
+            if most and len(rest[0]) > most:
+                over = int(rest[0][0])
+                yield edges(rest[1][:0], rest[1][:0], rest[0][:1])
+                rest = [x[:0] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield emit(rest)
 
-    return crowd.select("key", "free", "doc_id", "leader", "minima", "first").mapInArrow(run, "key long, free long, doc_id long, leader long, agree long")
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, crowded long")
 
 
-def _led(members: DataFrame, sketches: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame | None]:
+def _led(members: DataFrame, chunk: int) -> tuple[DataFrame, list[DataFrame]]:
     """(members, edges): keys of more than ``chunk`` documents thinned by leaders, which lose no candidate.
 
-    A key's least document leads: what differs from it in at most ``CLOSE`` minima leaves the key, and what differs by
+    A key's least document leads: what differs from it in at most ``CLOSE`` bits leaves the key, and what differs by
     at most ``CLOSE`` more than a candidate may is linked to it, and so to whatever left. Rounds go on while they thin
-    a key by a tenth.
+    the keys by a tenth.
     """
-    edges = None
+    edges = []
     while True:
-        sizes = spool(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")))
-        big = sizes.filter(F.col("n") > chunk)
+        big = spool(members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "b")).alias("leader")).filter(F.col("n") > chunk))
         before = big.agg(F.sum("n")).first()[0]
         if not before:
+            unspool(big)
             return members, edges
-        met = spool(_met(members, big.select("key", "leader"), sketches))
-        equal = F.bit_count("agree")
-        linked = met.filter((equal >= LEAST_EQUAL - CLOSE) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
-        edges = linked if edges is None else edges.union(linked)
-        stay = met.filter((equal < BANDS * ROWS - CLOSE) & (F.col("doc_id") != F.col("leader"))).select("key", "free", "doc_id")
-        members = spool(members.join(big.select("key"), "key", "left_anti").unionByName(stay), sizes)
-        if stay.count() > 0.9 * before:
+        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("leader.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("leader.b")))
+        met = members.join(big, "key").withColumn("apart", apart)
+        linked = met.filter((F.col("apart") <= WIDE + CLOSE) & (F.col("doc_id") != F.col("leader.doc_id")))
+        edges.append(spool(linked.select(F.col("leader.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()))
+        stay = spool(met.filter(F.col("apart") > CLOSE).select("key", "doc_id", "a", "b"))
+        left = stay.count()
+        members = spool(members.join(big.select("key"), "key", "left_anti").unionByName(stay), members, big, stay)
+        if left > 0.9 * before:
             return members, edges
 
 
-def _divided(members: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): crowded keys divided, none of whose candidate pairs are parted.
-
-    Candidates differ in at most ``DIFFER`` minima, so that of any ``DIFFER`` + 1 minima that a key leaves free they
-    share one: those in which most members differ from the key's least document become keys of their own. Where fewer
-    are left free all members are candidates of each other, and are linked to the least.
-    """
-    leaders = members.groupBy("key").agg(F.min("doc_id").alias("leader"))
-    met = spool(_met(members, leaders, sketches))
-    alike = F.bit_count("free") <= DIFFER
-    edges = met.filter(alike & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))
-    shared = met.filter(~alike).groupBy("key").agg(F.array(*(F.sum(F.getbit("agree", F.lit(i))) for i in range(BANDS * ROWS))).alias("shared"))
-    rows = met.filter(~alike).join(shared, "key").join(sketches.select("doc_id", "minima"), "doc_id").select("key", "free", "doc_id", "shared", "minima")
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for key, free, doc, shared, minima in zip(*(b.column(c).to_pylist() for c in ("key", "free", "doc_id", "shared", "minima"))):
-                least = np.frombuffer(minima, "<u2")
-                for i in sorted((i for i in range(BANDS * ROWS) if free >> i & 1), key=lambda i: (shared[i], i))[: DIFFER + 1]:
-                    left = (free & (1 << 64) - 1) & ~(1 << i)
-                    out.append((_signed(xxhash.xxh64_intdigest(least[i].tobytes() + i.to_bytes(1, "big"), key & (1 << 64) - 1)), _signed(left), doc))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], ["key", "free", "doc_id"])
-
-    return rows.mapInArrow(run, "key long, free long, doc_id long"), edges
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _compared(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect the candidates under each key."""
-    met = members.join(sketches.select("doc_id", "fp", "minima"), "doc_id").select("key", "doc_id", "fp", "minima")
-
-    def emit(rows):
-        cuts = np.append(np.nonzero(np.diff(rows[0], prepend=rows[0][0] - 1))[0], len(rows[0]))
-        found = [e for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo > 1 for e in _alike(rows[1][lo:hi], rows[2][lo:hi], rows[3][lo:hi])]
-        u, v = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    def run(batches):
-        rest = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            minima = np.frombuffer(b"".join(b.column("minima").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
-            part = [b.column("key").to_numpy(), b.column("doc_id").to_numpy(), b.column("fp").to_numpy().view(np.uint64), minima]
-            rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
-            cut = int(np.searchsorted(rest[0], rest[0][-1]))
-            if cut:
-                yield emit([x[:cut] for x in rest])
-                rest = [x[cut:] for x in rest]
-        if rest is not None:
-            yield emit(rest)
-
-    return met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "u long, v long")
+def _dealt(members: DataFrame, chunk: int) -> DataFrame:
+    """``members`` of crowded keys by pairs of parts of about half of ``chunk``: all pairs of a key's members meet."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / max(1, chunk // 2)).cast("int").alias("parts"))
+    own = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    pair = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    return own.select("key", "doc_id", "a", "b", "part", other).select(pair.alias("key"), "doc_id", "a", "b")
 
 
 def candidates(texts: DataFrame, width: int = 5, chunk: int = KEY_CHUNK) -> DataFrame:
     """Edges (u, v) that connect the doc_ids of all candidate pairs of ``texts`` (doc_id, text)."""
     own = spool(_sketches(texts, width))
-    keyed = own.select(F.posexplode("keys").alias("band", "key"), "doc_id")
-    free = F.bitwise_not(F.expr(f"shiftleft({(1 << ROWS) - 1}L, band * {ROWS})"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = spool(keyed.join(shared, "key", "left_semi").select("key", free.alias("free"), "doc_id").distinct())
     found = []
-    while True:
-        members, edges = _led(members, own, chunk)
-        sizes = spool(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-        some = members.join(sizes.filter(F.col("n") <= chunk).select("key"), "key", "left_semi")
-        found += [spool(_compared(some, own)), *([] if edges is None else [edges])]
-        crowded = sizes.filter(F.col("n") > chunk).select("key")
-        if crowded.isEmpty():
-            unspool(own, sizes)
-            return reduce(DataFrame.unionByName, found)
-        members, edges = _divided(members.join(crowded, "key", "left_semi"), own)
-        members = spool(members.distinct())
-        found.append(edges)
+    for numbers in _ROUNDS:
+        keys = [(F.lit(n << 16) + F.get("keys", F.lit(i)) % 256 * 256 + F.get("keys", F.lit(j)) % 256).cast("long") for n in numbers for i, j in [_KEYS[n]]]
+        keyed = own.select(F.explode(F.array(*keys)).alias("key"), "doc_id", "a", "b")
+        met = spool(_compared(keyed, chunk))
+        found.append(met.filter("crowded is null").select("u", "v"))
+        crowded = met.filter("crowded is not null").select(F.col("crowded").alias("key"))
+        if not crowded.isEmpty():
+            members, edges = _led(spool(keyed.join(crowded, "key", "left_semi").distinct()), chunk)
+            found += [*edges, spool(_compared(_dealt(members, chunk), None), members).select("u", "v")]
+    unspool(own)
+    return reduce(DataFrame.unionByName, found)
 
 
 class Kept:

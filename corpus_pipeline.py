@@ -39,7 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose shingles are similar the first stays: candidates by sketches and fingerprints, see simhash."""
+    """Of documents whose shingles are similar the first stays: candidates by independent fingerprints, see simhash."""
     return simhash.drop_near(docs)
 
 

@@ -163,3 +163,27 @@ def test_the_tables_by_the_sequential_rule(spark):
     for chunk in (5, 1000):
         kept = {r.doc_id for r in simhash.drop_near(rows, chunk=chunk).collect()}
         assert kept == held.keys() - gone
+
+
+def test_fingerprints_choose_the_candidates(spark):
+    """Brute force over the fingerprints: who shares two slices of a key within WIDE bits is one component, whatever the keys' size."""
+    rng = random.Random(12)
+    words = [word(rng) for _ in range(150)]
+    texts = [edited(words, rng.sample(range(150), rng.randrange(1, 4)), rng) for _ in range(30)]
+    texts += [t for links in (4, 9) for t in chained(rng, links)] + [words[:75] + [word(rng) for _ in range(75)] for _ in range(20)]
+    bits = [simhash.prints(simhash.shingle_hashes(" ".join(t))) for t in texts]
+    pairs = []
+    for y, b in enumerate(bits):
+        for x, a in enumerate(bits[:y]):
+            apart = sum(int(p ^ q).bit_count() for p, q in zip(a[:16], b[:16]))
+            if apart <= simhash.WIDE and any(a[i] == b[i] and a[j] == b[j] for i, j in simhash._KEYS):
+                pairs.append((x, y))
+    comp = list(range(len(texts)))
+    for x, y in pairs:
+        comp = [min(comp[x], comp[y]) if c in (comp[x], comp[y]) else c for c in comp]
+    assert len(set(comp)) > 5 and len(pairs) > 50
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.node: r.component for r in components(simhash.candidates(df)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == comp
+    got = {r.node: r.component for r in components(simhash.candidates(df, chunk=8)).collect()}
+    assert all(got[x] == got[y] for x, y in pairs)
