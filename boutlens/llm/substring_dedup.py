@@ -80,17 +80,21 @@ def seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(text):
         return none, none, none
     # windows that lie within a text; a text of fewer k-mers has one window of those
-    whole = np.maximum(count - WINDOW + 1, 1)
-    begin = np.repeat(start, whole) + np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
-    width = np.repeat(np.minimum(count, WINDOW), whole)
-    least = np.full(len(begin), 2**64 - 1, np.uint64)
-    pick = np.zeros(len(begin), np.int64)
-    for i in range(WINDOW):
-        value = np.where(width > i, kmer[np.minimum(begin + i, len(kmer) - 1)], np.uint64(2**64 - 1))
-        less = value < least
-        least[less], pick[less] = value[less], i
+    windows = max(len(kmer) - WINDOW + 1, 0)
+    least, pick = kmer[:windows].copy(), np.zeros(windows, np.uint8)
+    for i in range(1, WINDOW):
+        value = kmer[i : i + windows]
+        pick[value < least] = i
+        np.minimum(least, value, out=least)
+    within = np.zeros(len(kmer) + 1, np.int8)
+    long = count >= WINDOW
+    within[start[long]] = 1
+    within[start[long] + count[long] - WINDOW + 1] -= 1
+    begin = np.flatnonzero(np.cumsum(within[:-1], dtype=np.int8))
     chosen = np.zeros(len(kmer), bool)
-    chosen[begin + pick] = True
+    chosen[begin + pick[begin]] = True
+    for lo, n in zip(start[~long].tolist(), count[~long].tolist()):
+        chosen[lo + int(kmer[lo : lo + n].argmin())] = True
     at = np.flatnonzero(chosen)
     of = np.searchsorted(start, at, side="right") - 1
     return text[of], kmer[at].view(np.int64), at - start[of]
@@ -115,7 +119,7 @@ def all_seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.append(text, text[more]), np.append(h, _mixed(h[more], number[again])), np.append(at, at[more]), plain
 
 
-def _portions(batch: pa.RecordBatch, most: int = 1 << 20):
+def _portions(batch: pa.RecordBatch, most: int = 1 << 18):
     """(doc_ids, texts) of a batch, about ``most`` characters at a time."""
     docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
     lo = size = 0
@@ -320,7 +324,7 @@ def _chains(anchors: DataFrame) -> DataFrame:
 
 
 def differences(a: list, b: list) -> int:
-    """Edit distance of two word lists, in rows of the shorter's length."""
+    """Edit distance of two word lists: a column of differences of one by one is held in the bits of two numbers."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -330,16 +334,21 @@ def differences(a: list, b: list) -> int:
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if not a or not b:
         return len(a) + len(b)
-    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([code[w] for w in a]), np.array([code[w] for w in b])
-    if len(x) < len(y):
-        x, y = y, x
-    slope = np.arange(len(y) + 1)
-    row = slope.copy()
-    for i, w in enumerate(x.tolist()):
-        best = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        row = np.minimum.accumulate(np.concatenate([[i + 1], best]) - slope) + slope
-    return int(row[-1])
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last, total = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
+    up, down = every, 0
+    for w in a:
+        equal = places.get(w, 0)
+        flat = ((equal & up) + up ^ up | equal | down) & every
+        more, less = down | every & ~(flat | up), flat & up
+        total += 1 if more & last else -1 if less & last else 0
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(flat | more)) & every, flat & more
+    return total
 
 
 def _judged(words: list[str], there: list[str], shift: int, path: list[tuple[int, int, int]]) -> list[tuple[int, int]]:

@@ -50,3 +50,28 @@ def test_repeats_line_up(spark):
     docs = {1: pad(30) + line + pad(30) + one, 2: pad(10) + line + pad(120) + one + pad(7)}
     got = cleaned(spark, docs)
     assert got[1] == [] and got[2] == [(10, 130, 1), (250, 330, 1)]
+
+
+def test_alignment_takes_less_than_half_of_the_rows_time():
+    """The edit distance equals the row by row one, on words that share little, in less than half of its CPU time."""
+    import time
+
+    import numpy as np
+
+    from boutlens.llm.substring_dedup import differences
+
+    def by_rows(a, b):
+        y, slope = np.array(b), np.arange(len(b) + 1)
+        row = slope.copy()
+        for i, w in enumerate(a):
+            best = np.minimum(row[1:] + 1, row[:-1] + (y != w))
+            row = np.minimum.accumulate(np.concatenate([[i + 1], best]) - slope) + slope
+        return int(row[-1])
+
+    rng = np.random.default_rng(3)
+    pairs = [[rng.integers(0, 300, rng.integers(1, 700)).tolist() for _ in range(2)] for _ in range(30)]
+    begin = time.process_time()
+    want = [by_rows(a, b) for a, b in pairs]
+    middle = time.process_time()
+    assert [differences(a, b) for a, b in pairs] == want
+    assert time.process_time() - middle < 0.5 * (middle - begin)
