@@ -18,7 +18,7 @@ component and give a row each; extra columns are ignored whatever their names; a
 
 The near-dedup stage (``drop_near``) looks for shingle similarity, of which 3 bits say little: at 0.8 a bit differs with
 a chance of 0.15. It takes ``PRINTS`` independent fingerprints of a document. Candidates agree in two of their slices of
-8 bits that make a key (at 0.8 all keys miss with a chance of about 0.0003) and differ by at most ``WIDE`` bits in the
+8 bits that make a key (at 0.8 all keys miss with a chance of about 0.0001) and differ by at most ``WIDE`` bits in the
 first two fingerprints. Under a key documents are sorted along a pivot, pairs further apart on it than ``WIDE`` aren't
 formed, and the rest are held bit by bit; then the shingles themselves are compared.
 """
