@@ -20,7 +20,8 @@ The near-dedup stage (``drop_near``) looks for shingle similarity, of which 3 bi
 a chance of 0.15. It takes ``PRINTS`` independent fingerprints of a document. Candidates agree in two of their slices of
 8 bits that make a key (at 0.8 all keys miss with a chance of about 0.0001) and differ by at most ``WIDE`` bits in the
 first two fingerprints. Under a key documents are sorted along a pivot, pairs further apart on it than ``WIDE`` aren't
-formed, and the rest are held bit by bit; then the shingles themselves are compared.
+formed, and the rest are held bit by bit; then the shingles themselves are compared. Keys are compared in rounds: in
+each a document goes by the least of those it is linked to so far, so that no link is made twice.
 """
 
 from __future__ import annotations
@@ -56,9 +57,9 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 _TRIPLES = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
 _SLICES = 8 * PRINTS
-#: the pairs of slices that make a key, in rounds that are shuffled one after another
+#: the pairs of slices that make a key, in rounds that are shuffled one after another: few keys first, which link most of a large group
 _KEYS = [(i, (i + 1) % _SLICES) for i in range(_SLICES)] + [(i, i + _SLICES // 2) for i in range(0, _SLICES // 2, 2)]
-_ROUNDS = [range(i, min(i + 40, len(_KEYS))) for i in range(0, len(_KEYS), 40)]
+_ROUNDS = [[n for n in range(len(_KEYS)) if lo <= n % 40 < hi] for lo, hi in ((0, 1), (1, 4), (4, 16), (16, 28), (28, 40))]
 
 
 def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -334,28 +335,48 @@ def _together(key: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) ->
         i = i[(key[i] == key[i + step]) & (along[i + step] - along[i] <= WIDE)]
         if not len(i):
             return u, v
-        near = i[_apart(a[i], b[i], a[i + step], b[i + step]) <= WIDE]
+        near = i[doc[i] != doc[i + step]]
+        near = near[_apart(a[near], b[near], a[near + step], b[near + step]) <= WIDE]
         u.append(doc[near])
         v.append(doc[near + step])
         step += 1
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least of each component of the pairs (u, v) to its others: fewer than documents, however many pairs."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, least = at[: len(u)], at[len(u) :], np.arange(len(names))
+    while True:
+        p, q = least[x], least[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(least, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (least[least] != least).any():
+            least = least[least]
+    below = least < np.arange(len(names))
+    return names[least[below]], names[below]
+
+
 def _compared(members: DataFrame, most: int | None) -> DataFrame:
     """(u, v, crowded) of ``members`` (key, doc_id, a, b): edges that connect the candidates under each key.
 
-    A key of over ``most`` documents is named in ``crowded`` instead, and isn't held.
+    Keys that are compared together give one forest. Members of the same doc_id are linked as it is. A key of over
+    ``most`` documents is named in ``crowded`` instead, and isn't held.
     """
 
     def emit(rows):
         cuts = np.append(np.flatnonzero(np.diff(rows[0], prepend=rows[0][0] - 1)), len(rows[0]))
         size = np.diff(cuts)
-        big = size > (most or len(rows[0]))
-        few = np.repeat((size > 1) & (size <= SMALL) & ~big, size)
+        open_ = np.minimum.reduceat(rows[1], cuts[:-1]) < np.maximum.reduceat(rows[1], cuts[:-1])
+        big = open_ & (size > (most or len(rows[0])))
+        few = np.repeat(open_ & (size <= SMALL) & ~big, size)
         u, v = _together(*(x[few] for x in rows)) if few.any() else ([], [])
-        for lo, hi in zip(cuts[:-1][(size > SMALL) & ~big].tolist(), cuts[1:][(size > SMALL) & ~big].tolist()):
+        for lo, hi in zip(cuts[:-1][open_ & (size > SMALL) & ~big].tolist(), cuts[1:][open_ & (size > SMALL) & ~big].tolist()):
             for out, found in zip((u, v), _alike(*(x[lo:hi] for x in rows[1:]))):
                 out.append(np.array(found, np.int64))
-        return edges(np.concatenate([rows[1][:0], *u]), np.concatenate([rows[1][:0], *v]), rows[0][cuts[:-1][big]])
+        return edges(*_forest(np.concatenate([rows[1][:0], *u]), np.concatenate([rows[1][:0], *v])), rows[0][cuts[:-1][big]])
 
     def edges(u, v, crowded):
         columns = [pa.concat_arrays([pa.array(x), pa.nulls(len(crowded), pa.int64())]) for x in (u, v)]
@@ -413,27 +434,41 @@ def _led(members: DataFrame, chunk: int) -> tuple[DataFrame, list[DataFrame]]:
 def _dealt(members: DataFrame, chunk: int) -> DataFrame:
     """``members`` of crowded keys by pairs of parts of about half of ``chunk``: all pairs of a key's members meet."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / max(1, chunk // 2)).cast("int").alias("parts"))
-    own = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    own = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", "a", "b"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     pair = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
     return own.select("key", "doc_id", "a", "b", "part", other).select(pair.alias("key"), "doc_id", "a", "b")
 
 
 def candidates(texts: DataFrame, width: int = 5, chunk: int = KEY_CHUNK) -> DataFrame:
-    """Edges (u, v) that connect the doc_ids of all candidate pairs of ``texts`` (doc_id, text)."""
-    own = spool(_sketches(texts, width))
-    found = []
+    """(u, v): every document v of ``texts`` (doc_id, text) that has a candidate, and the least, u, that candidates connect it to.
+
+    After each round of keys documents go by the least of their component. A round's edges link components that were
+    apart before it: fewer than its keys times those components (a divided key counts by its parts), whatever the pairs of a group.
+    """
+    own, found = spool(_sketches(texts, width)), None
     for numbers in _ROUNDS:
         keys = [(F.lit(n << 16) + F.get("keys", F.lit(i)) % 256 * 256 + F.get("keys", F.lit(j)) % 256).cast("long") for n in numbers for i, j in [_KEYS[n]]]
-        keyed = own.select(F.explode(F.array(*keys)).alias("key"), "doc_id", "a", "b")
+        named = own
+        if found is not None:
+            named = own.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("doc_id", F.coalesce("component", "doc_id"))
+        keyed = named.select(F.explode(F.array(*keys)).alias("key"), "doc_id", "a", "b")
         met = spool(_compared(keyed, chunk))
-        found.append(met.filter("crowded is null").select("u", "v"))
+        edges, spent = [met.filter("crowded is null").select("u", "v")], [met]
         crowded = met.filter("crowded is not null").select(F.col("crowded").alias("key"))
         if not crowded.isEmpty():
-            members, edges = _led(spool(keyed.join(crowded, "key", "left_semi").distinct()), chunk)
-            found += [*edges, spool(_compared(_dealt(members, chunk), None), members).select("u", "v")]
+            members = spool(keyed.join(crowded, "key", "left_semi").distinct())
+            apart = members.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("apart")).filter("apart").select("key")
+            members, led = _led(spool(members.join(apart, "key", "left_semi"), members), chunk)
+            spent += [*led, spool(_compared(_dealt(members, chunk), None), members)]
+            edges += [x.select("u", "v") for x in spent[1:]]
+        if found is not None:
+            edges.append(found.select(F.col("component").alias("u"), F.col("node").alias("v")))
+            spent.append(found)
+        found = components(reduce(DataFrame.unionByName, edges))
+        unspool(*spent)
     unspool(own)
-    return reduce(DataFrame.unionByName, found)
+    return found.select(F.col("component").alias("u"), F.col("node").alias("v"))
 
 
 class Kept:
@@ -537,7 +572,7 @@ def drop_near(docs: DataFrame, width: int = 5, similar: float = 0.8, chunk: int
     pass through whatever their names. The constants of the candidates are meant for a ``similar`` of 0.8 or more.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    groups = spool(components(candidates(texts, width, key_chunk)).select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
+    groups = spool(candidates(texts, width, key_chunk).select(F.col("v").alias("doc_id"), F.col("u").alias("group")))
     bits = bitmap(groups.select(F.xxhash64("doc_id").alias("key")))
     alive = spool(with_mark(texts, F.xxhash64("doc_id"), bits, "__hit").filter("__hit").join(groups, "doc_id").select("group", "doc_id", "text"), groups)
     gone = spool(reduce(DataFrame.union, _gone(alive, width, similar, chunk)).distinct())

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from boutlens.llm import simhash
 from boutlens.llm.common import components
 
@@ -187,3 +189,39 @@ def test_fingerprints_choose_the_candidates(spark):
     assert [got.get(i, i) for i in range(len(texts))] == comp
     got = {r.node: r.component for r in components(simhash.candidates(df, chunk=8)).collect()}
     assert all(got[x] == got[y] for x, y in pairs)
+
+
+def test_links_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Near copies of one text: what is linked between rounds grows with the copies; their pairs would be 36 times as many."""
+    rng = random.Random(13)
+    words = [word(rng) for _ in range(200)]
+    linked, whole = [], simhash.components
+
+    def counted(edges):
+        linked.append(edges.count())
+        return whole(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    most = {}
+    for n in (50, 300):
+        df = spark.createDataFrame([(i, " ".join(edited(words, rng.sample(range(200), 2), rng))) for i in range(n)], SCHEMA)
+        linked.clear()
+        got = {r.v: r.u for r in simhash.candidates(df).collect()}
+        assert got == dict.fromkeys(range(n), 0)
+        most[n] = max(linked)
+    assert most[300] <= 4 * 300 and most[300] <= 10 * most[50]
+
+
+def test_forest_against_brute():
+    rng = np.random.default_rng(14)
+    for n, pairs in ((1, 0), (2, 1), (40, 25), (40, 60), (300, 5000)):
+        ids = rng.permutation(10 * n)[:n]
+        u, v = (ids[rng.integers(0, n, pairs)] for _ in range(2))
+        comp = {int(i): int(i) for i in np.concatenate([u, v])}
+        for p, q in zip(u.tolist(), v.tolist()):
+            a, b = comp[p], comp[q]
+            comp = {i: min(a, b) if c in (a, b) else c for i, c in comp.items()}
+        least, below = simhash._forest(u, v)
+        assert dict(zip(below.tolist(), least.tolist())) == {i: c for i, c in comp.items() if i != c}
+    u, v = np.arange(3000)[:-1], np.arange(3000)[1:]
+    assert (simhash._forest(u, v)[0] == 0).all()
