@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructType
 
-from boutlens.llm.common import MARK_BITS, bitmap, free_name, spool, with_mark
+from boutlens.llm.common import MARK_BITS, bitmap, conf_held, free_name, spool, with_mark
 
 K, WINDOW = 5, 6
 LEAST_WORDS, SIMILAR = 40, 0.8
@@ -140,7 +140,8 @@ def shared_seeds(own: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs[text])], ["key", "doc_id"])
 
     held = own.mapInArrow(run, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    rows = bitmap(held.filter("first < last").select("key")).toArrow()
+    with conf_held(own.sparkSession, {}):
+        rows = bitmap(held.filter("first < last").select("key")).toArrow()
     bits = np.zeros(MARK_BITS // 64, np.int64)
     bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return bits

@@ -1,9 +1,11 @@
 """Every query over rows without ids, repeated rows, very long texts and columns of clashing names."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from boutlens.llm import common
 from boutlens.llm import queries as registry
 from boutlens.llm import rule_quality
 from tests.conftest import SF
@@ -102,3 +104,16 @@ def test_quality_held_out(spark):
     model = rule_quality.fit(docs, labels, rule_quality.learnable())
     flipped = labels.withColumn("quality", F.when(~rule_quality.learnable(), 1 - labels.quality).otherwise(labels.quality))
     assert rule_quality.fit(docs, flipped, rule_quality.learnable()) == model
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """Long texts reach a worker few at a time while a spool is written; the session keeps its own settings."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    before = spark.conf.get(common._BATCH, None)
+    long = spark.range(200, numPartitions=1).selectExpr("repeat('x', 1048576) text").mapInArrow(run, "n long")
+    assert sum(r.n for r in common.spool(long).collect()) == 200 and max(r.n for r in common.spool(long).collect()) <= 8
+    assert spark.conf.get(common._BATCH, None) == before
