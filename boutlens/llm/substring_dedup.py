@@ -22,8 +22,8 @@ pass through unchanged whatever their names, but for one of the name that the re
 
 from __future__ import annotations
 
+import bisect
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,36 +40,68 @@ GAP_COST, BLOCK_WORDS, MARGIN = 0.3, 800, 24
 UNIT = 6
 #: words to a page of a document that chains point to
 PAGE = 1024
-_WORD = re.compile(r"\S+")
+
+
+#: white space beyond ASCII, in UTF-8
+_WIDE = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random number for each byte, and the powers of another: a word's hash is the sum of their products."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, the powers of another and of its inverse; bytes that are white space (1), or the first of it (2)."""
     values = np.random.default_rng(17).integers(0, 2**64, 257, np.uint64) | np.uint64(1)
-    return values[:256], np.cumprod(np.full(4096, values[256]), dtype=np.uint64)
+    kinds = np.array([chr(i).isspace() if i < 128 else 0 for i in range(256)], np.uint8)
+    kinds[[w[0] for w in _WIDE]] = 2
+    return values[:256], *_powers(1 << 20), kinds
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = np.random.default_rng(17).integers(0, 2**64, 257, np.uint64)[256] | np.uint64(1)
+    ones = np.full(n, base), np.full(n, pow(int(base), -1, 1 << 64), np.uint64)
+    return np.cumprod(ones[0], dtype=np.uint64), np.cumprod(ones[1], dtype=np.uint64)
 
 
-def word_hashes(words: bytes) -> np.ndarray:
-    """Hashes of words that end with one space each."""
-    values, powers = _tables()
-    data = np.frombuffer(words, np.uint8)
-    ends = np.flatnonzero(data == 32)
-    starts = np.append(0, ends[:-1] + 1)
-    place = np.arange(len(data)) - np.repeat(starts, ends + 1 - starts)
-    h = np.add.reduceat(values[data] * powers[place & 4095], starts)
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of texts, those of str.split(), in order; number of words of each text).
+
+    A word's hash is the sum of its bytes' numbers, each times a power by its place: a difference of running sums
+    over all the bytes, brought to the word's start by a power of the inverse.
+    """
+    values, powers, inverse, kinds = _tables()
+    coded = [t.encode() for t in texts]
+    data = np.frombuffer(b" ".join([*coded, b"  "]), np.uint8)
+    kind = kinds[data]
+    space = kind == 1
+    wide = np.flatnonzero(kind == 2)
+    if len(wide):
+        three = data[wide].astype(np.int32) << 16 | data[wide + 1].astype(np.int32) << 8 | data[wide + 2]
+        for size in (2, 3):
+            codes = [int.from_bytes(w) << 24 - 8 * size for w in _WIDE if len(w) == size]
+            at = wide[np.isin(three if size == 3 else three & 0xFFFF00, codes)]
+            for i in range(size):
+                space[at + i] = True
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = edges if space[0] else np.append(0, edges)
+    start, stop = edges[0::2], edges[1::2]
+    if len(data) > len(powers):
+        powers, inverse = _powers(len(data))
+    sums = values[data]
+    sums *= powers[: len(data)]
+    np.cumsum(sums, out=sums)
+    h = sums[stop - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
+    h[start > 0] *= inverse[start[start > 0] - 1]
+    h += values[32] * powers[stop - start]
     h ^= h >> np.uint64(32)
-    return h * np.uint64(0x9E3779B97F4A7C15)
+    n = np.diff(np.searchsorted(start, np.cumsum([0, *(len(c) + 1 for c in coded)])))
+    return h * np.uint64(0x9E3779B97F4A7C15), n
 
 
 def seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the text, hash, place) of the minimisers of texts, in order."""
-    split = [t.split() for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
     none = np.zeros(0, np.int64)
-    if n.sum() < K:
+    h, n = word_hashes(texts)
+    if len(h) < K:
         return none, none, none
-    h = word_hashes("".join(" ".join(w) + " " for w in split if w).encode())
     kmer = np.zeros(len(h) - K + 1, np.uint64)
     for i in range(K):
         kmer = (kmer ^ h[i : i + len(kmer)]) * np.uint64(0x9E3779B97F4A7C15)
@@ -109,7 +141,12 @@ def all_seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """(index of the text, hash, place, plain): seeds, then their second and later occurrences in a text, not plain,
     under hashes made with their number."""
     text, h, at = seeds(texts)
-    order = np.lexsort((at, h, text))
+    # few occur again: those whose hash with the text's number does are put in order
+    mixed = _mixed(h, text)
+    ordered = np.sort(mixed)
+    several = np.append(ordered[1:][ordered[1:] == ordered[:-1]], ordered[-1:])
+    order = np.flatnonzero(several[np.searchsorted(several[:-1], mixed)] == mixed)
+    order = order[np.lexsort((at[order], h[order], text[order]))]
     t, k = text[order], h[order]
     new = np.append(True, (np.diff(t) != 0) | (np.diff(k) != 0))[: len(t)]
     number = np.arange(len(t)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(t) else t
@@ -163,14 +200,14 @@ def _seed_rows(own: DataFrame, bits: np.ndarray) -> DataFrame:
     return own.mapInArrow(run, "seed long, doc_id long, at int, plain boolean")
 
 
-def units(at: np.ndarray, other: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the first seed) of ``UNIT`` neighbouring seeds whose first holders or diagonals differ."""
+def units(doc: np.ndarray, at: np.ndarray, other: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first seed) of ``UNIT`` neighbouring seeds of a document whose first holders or diagonals differ."""
     n = len(at) - UNIT + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     step = np.diff(at)
     seam = np.append(0, np.cumsum((np.diff(other) != 0) | (np.diff(to) != step)))
-    far = np.append(0, np.cumsum(step > WINDOW))
+    far = np.append(0, np.cumsum((step > WINDOW) | (np.diff(doc) != 0)))
     i = np.flatnonzero((seam[UNIT - 1 :] > seam[:n]) & (far[UNIT - 1 :] == far[:n]))
     h = np.zeros(len(i), np.int64)
     for k in range(UNIT):
@@ -183,10 +220,8 @@ def _unit_rows(held: DataFrame) -> DataFrame:
     names = ["unit", "doc_id", "at", "last"]
 
     def emit(rows):
-        doc, at, other, to = rows
-        cuts = np.append(np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)), len(doc))
-        got = [(h, i + lo) for lo, hi in zip(cuts[:-1], cuts[1:]) for h, i in [units(at[lo:hi], other[lo:hi], to[lo:hi])]]
-        h, i = (np.concatenate(x) for x in zip(*got))
+        doc, at, _, _ = rows
+        h, i = units(*rows)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i]), *(pa.array(at[x].astype(np.int32)) for x in (i, i + UNIT - 1))], names)
 
     def run(batches):
@@ -220,34 +255,38 @@ def runs(at: np.ndarray, to: np.ndarray) -> list[tuple[int, int, int]]:
 
 def chain(pieces: list[tuple[int, int, int]]) -> list[tuple[float, list[tuple[int, int, int]]]]:
     """Disjoint collinear chains of the runs, the best first."""
+    if len(pieces) == 1:
+        return [(float(pieces[0][1]), pieces)]
     ends = sorted({to + n for _, n, to in pieces})
     rank = {v: i + 1 for i, v in enumerate(ends)}
-    tree = [(-1e18, -1)] * (len(ends) + 1)
-    starts = np.array(ends)
+    size = len(ends)
+    low = (-1e18, -1)
+    tree = [low] * (size + 1)
     score, before = [0.0] * len(pieces), [-1] * len(pieces)
     pending = sorted(range(len(pieces)), key=lambda i: pieces[i][0] + pieces[i][1])
     done = 0
-    for i, (at, n, to) in sorted(enumerate(pieces), key=lambda x: x[1]):
+    for i in sorted(range(len(pieces)), key=pieces.__getitem__):
+        at, n, to = pieces[i]
         while done < len(pending):  # what ends at or before this start may come before it, up to an overlap of K words
             j = pending[done]
             a, m, t = pieces[j]
             if a + m > at + K or a >= at:
                 break
             value, x = (score[j] + GAP_COST / 2 * (a + m + t + m), j), rank[t + m]
-            while x < len(tree):
+            while x <= size:
                 if value > tree[x]:
                     tree[x] = value
                 x += x & -x
             done += 1
-        best, x = (-1e18, -1), int(np.searchsorted(starts, to + K, side="right"))
+        best, x = low, bisect.bisect_right(ends, to + K)
         while x > 0:
             if tree[x] > best:
                 best = tree[x]
-            x -= x & -x
+            x &= x - 1
         gain = best[0] - GAP_COST / 2 * (at + to)
-        score[i] = n + max(0.0, gain)
-        before[i] = best[1] if gain > 0 and pieces[best[1]][2] < to else -1
-        if before[i] < 0:
+        if gain > 0 and pieces[best[1]][2] < to:
+            score[i], before[i] = n + gain, best[1]
+        else:
             score[i] = n
     used, out = set(), []
     for i in sorted(range(len(pieces)), key=lambda i: (-score[i], pieces[i])):
@@ -326,13 +365,12 @@ def _chains(anchors: DataFrame) -> DataFrame:
 
 def differences(a: list, b: list) -> int:
     """Edit distance of two word lists: a column of differences of one by one is held in the bits of two numbers."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
-        hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if a == b:
+        return 0
+    lo = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[lo:], b[lo:]
+    hi = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - hi], b[: len(b) - hi]
     if not a or not b:
         return len(a) + len(b)
     if len(a) < len(b):
@@ -340,16 +378,13 @@ def differences(a: list, b: list) -> int:
     places: dict = {}
     for i, w in enumerate(b):
         places[w] = places.get(w, 0) | 1 << i
-    every, last, total = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
+    every = (1 << len(b)) - 1
     up, down = every, 0
-    for w in a:
-        equal = places.get(w, 0)
+    for equal in [places.get(w, 0) for w in a]:
         flat = ((equal & up) + up ^ up | equal | down) & every
-        more, less = down | every & ~(flat | up), flat & up
-        total += 1 if more & last else -1 if less & last else 0
-        more = more << 1 | 1
-        up, down = (less << 1 | ~(flat | more)) & every, flat & more
-    return total
+        more = (down | every ^ (flat | up)) << 1 | 1
+        up, down = ((flat & up) << 1 | every ^ (flat | more)) & every, flat & more
+    return len(a) + up.bit_count() - down.bit_count()
 
 
 def _judged(words: list[str], there: list[str], shift: int, path: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -429,6 +464,19 @@ def _slices(chains: DataFrame, texts: DataFrame) -> DataFrame:
     return asked.join(_pages(texts), ["other", "page"]).mapInArrow(run, "doc_id long, chain long, page long, other long, start long, runs array<long>, words string")
 
 
+def places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of str.split() start and stop, in code points."""
+    code = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
+    space = _spaces()[np.minimum(code, 0x3001)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[0::2], edges[1::2]
+
+
+@functools.cache
+def _spaces() -> np.ndarray:
+    return np.array([chr(i).isspace() for i in range(0x3002)])
+
+
 class Passages:
     """The fuzzy copies in one document: chains are judged best first; words that a copy has taken count for no other."""
 
@@ -448,8 +496,8 @@ class Passages:
 
     def spans(self) -> list[tuple[int, int, int, int, int]]:
         """(start, stop, other document) in words, and start and stop in code points, in order."""
-        where = [m.span() for m in _WORD.finditer(self.text)]
-        return [(x, y, other, where[x][0], where[y - 1][1]) for x, y, other in sorted(self.found)]
+        start, stop = places(self.text)
+        return [(x, y, other, int(start[x]), int(stop[y - 1])) for x, y, other in sorted(self.found)]
 
 
 _REMOVED = "array<struct<start:long,stop:long,source:long>>"
@@ -499,13 +547,25 @@ def _spans(texts: DataFrame, slices: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"doc_id long, mark long, spans {_SPANS}")
 
 
+def _first_holders(rows: DataFrame, key: str, ids: tuple[int | None, int | None]) -> DataFrame:
+    """(key, first): the least (doc_id, at) of each key of several documents. Within 2^32 of doc_id both fit one number, which hashing aggregates."""
+    low, high = ids
+    most = F.max("doc_id").alias("most")
+    if low is None or high - low >= 1 << 32:
+        return rows.groupBy(key).agg(F.min(F.struct("doc_id", "at")).alias("first"), most).filter("first.doc_id < most").select(key, "first")
+    both = (F.col("doc_id") - F.lit(low)) * F.lit(1 << 31) + F.col("at")
+    first = F.struct((F.shiftright("both", 31) + F.lit(low)).alias("doc_id"), F.col("both").bitwiseAND((1 << 31) - 1).cast("int").alias("at"))
+    return rows.groupBy(key).agg(F.min(both).alias("both"), most).select(key, first.alias("first"), "most").filter("first.doc_id < most").select(key, "first")
+
+
 def find_passages(own: DataFrame) -> DataFrame:
     """(doc_id, mark, spans) of the documents ``own`` (doc_id, text; neither null) that hold copies of earlier ones."""
     found = spool(_seed_rows(own, shared_seeds(own)))
-    first = spool(found.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("seed", "first"))
+    ids = tuple(own.agg(F.min("doc_id"), F.max("doc_id")).first())
+    first = spool(_first_holders(found, "seed", ids))
     held = spool(found.join(first, "seed").select("doc_id", "at", F.col("first.doc_id").alias("other"), F.col("first.at").alias("to"), "plain"), found, first)
     own_units = spool(_unit_rows(held.filter("plain")))
-    first = spool(own_units.groupBy("unit").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("most")).filter("first.doc_id < most").select("unit", "first"))
+    first = spool(_first_holders(own_units, "unit", ids))
     ends = F.array(F.struct(F.col("at"), F.col("first.at").alias("to")), F.struct(F.col("last").alias("at"), (F.col("first.at") + F.col("last") - F.col("at")).alias("to")))
     by_units = own_units.join(first, "unit").filter("first.doc_id < doc_id").select("doc_id", F.col("first.doc_id").alias("other"), F.explode(ends).alias("x"))
     anchors = held.filter("other < doc_id").select("doc_id", "at", "other", "to").union(by_units.select("doc_id", "x.at", "other", "x.to"))

@@ -75,3 +75,84 @@ def test_alignment_takes_less_than_half_of_the_rows_time():
     middle = time.process_time()
     assert [differences(a, b) for a, b in pairs] == want
     assert time.process_time() - middle < 0.5 * (middle - begin)
+
+
+def test_hashes_of_words_take_less_time_than_by_place():
+    """Hashes of words equal those that give each byte its place in its word, in less than 0.8 of their CPU time."""
+    import time
+
+    import numpy as np
+
+    from boutlens.llm.substring_dedup import word_hashes
+
+    numbers = np.random.default_rng(17).integers(0, 2**64, 257, np.uint64) | np.uint64(1)
+    powers = np.cumprod(np.full(4096, numbers[256]), dtype=np.uint64)
+
+    def by_place(texts):
+        data = np.frombuffer("".join(" ".join(t.split()) + " " for t in texts).encode(), np.uint8)
+        ends = np.flatnonzero(data == 32)
+        starts = np.append(0, ends[:-1] + 1)
+        place = np.arange(len(data)) - np.repeat(starts, ends + 1 - starts)
+        h = np.add.reduceat(numbers[data] * powers[place & 4095], starts)
+        return (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+
+    pad = made(9)
+    portions = [[" ".join(pad(700)) for _ in range(50)] for _ in range(8)]
+
+    def took(f):
+        begin = time.process_time()
+        for texts in portions:
+            f(texts)
+        return time.process_time() - begin
+
+    for texts in portions:
+        h, n = word_hashes(texts)
+        assert np.array_equal(h, by_place(texts)) and n.tolist() == [700] * 50
+    rounds = [(took(word_hashes), took(by_place)) for _ in range(15)]
+    ratio = min(x for x, _ in rounds) / min(x for _, x in rounds)
+    assert ratio < 0.8
+
+
+def test_words_end_at_any_white_space():
+    """Words are those of str.split(), whatever the white space and the letters beside it; so are their places."""
+    import re
+
+    import numpy as np
+
+    from boutlens.llm.substring_dedup import places, seeds
+
+    rng = random.Random(10)
+    space = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    words = ["".join(rng.choice("ab\x00é¡​‐⁠、﻿中😀") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    odd = "".join(rng.choice(["", *space]) + rng.choice(space) + w for w in words) + rng.choice(["", *space])
+    for a, b in (([odd, "", "　", odd + "\xa0x"], [" ".join(words), "", "", " ".join([*words, "x"])]), (["x " * 9], ["x " * 9])):
+        for x, y in zip(seeds(a), seeds(b)):
+            assert len(x) and np.array_equal(x, y)
+    start, stop = places(odd)
+    assert list(zip(start.tolist(), stop.tolist())) == [m.span() for m in re.finditer(r"\S+", odd)]
+    assert [len(x) for x in places("")] == [0, 0]
+
+
+def test_units_lie_in_one_document():
+    """Units of documents laid end to end are those of each."""
+    import numpy as np
+
+    from boutlens.llm.substring_dedup import UNIT, units
+
+    rng = np.random.default_rng(11)
+    sizes = [0, 1, UNIT - 1, UNIT, 40, 3, 25]
+    parts = [(np.full(n, d), np.cumsum(rng.integers(0, 9, n)), rng.integers(0, 3, n), rng.integers(0, 50, n)) for d, n in enumerate(sizes)]
+    each = [(h, i + sum(sizes[:d])) for d, p in enumerate(parts) for h, i in [units(*p)]]
+    for got, want in zip(units(*map(np.concatenate, zip(*parts))), map(np.concatenate, zip(*each))):
+        assert len(want) and np.array_equal(got, want)
+
+
+def test_ids_far_apart(spark):
+    """First holders are the same whether ids and places fit one number or not."""
+    pad = made(12)
+    one, two = pad(60), pad(50)
+    docs = {0: one + pad(30), 1: pad(20) + one + two, 2: two + pad(10) + one}
+    for low, step in ((-3, 2**31 - 1), (-(2**63), 2**62)):
+        got = cleaned(spark, {low + step * i: w for i, w in docs.items()})
+        first, second = low, low + step
+        assert got == {first: [], second: [(20, 80, first)], low + 2 * step: [(0, 50, second), (60, 120, first)]}
