@@ -22,11 +22,11 @@ from boutlens.operators.graph import checkpointed
 TOP = 3
 
 
-def best_of_sweeps(bouts: DataFrame, sweeps: dict[str, list[dict]], split: datetime.date, top: int = TOP) -> dict[str, list[dict]]:
-    """The ``top`` changes of each sweep by Brier score, ties to the one that comes first."""
+def best_of_sweeps(bouts: DataFrame, sweeps: dict[str, list[dict]], split: datetime.date, top: int = TOP, held: tuple[DataFrame, int] | None = None) -> dict[str, list[dict]]:
+    """The ``top`` changes of each sweep by Brier score, ties to the one that comes first; ``held`` as in rating.backtest()."""
     tried = [(name, change) for name, changes in sweeps.items() for change in changes]
     names = bouts.sparkSession.createDataFrame([(i, name) for i, (name, _) in enumerate(tried)], "config long, sweep string")
-    scored = rating.backtest(bouts, [RATING | change for _, change in tried], split).join(names, "config")
+    scored = rating.backtest(bouts, [RATING | change for _, change in tried], split, held).join(names, "config")
     place = F.row_number().over(Window.partitionBy("sweep").orderBy("brier", "config"))
     rows = scored.withColumn("place", place).filter(F.col("place") <= top).select("sweep", "config", "place").collect()
     return {name: [tried[r["config"]][1] for r in sorted(rows, key=lambda r: r["place"]) if r["sweep"] == name] for name in sweeps}
@@ -34,10 +34,11 @@ def best_of_sweeps(bouts: DataFrame, sweeps: dict[str, list[dict]], split: datet
 
 def joint(bouts: DataFrame, sweeps: dict[str, list[dict]], split: datetime.date, top: int = TOP) -> DataFrame:
     """(place, changed, n, brier, accuracy) of the cross product of the ``top`` changes of each sweep, the best first."""
-    best = best_of_sweeps(bouts, sweeps, split, top)
+    held = rating.held_for_backtests(bouts)
+    best = best_of_sweeps(bouts, sweeps, split, top, held)
     combined = [dict(x for change in changes for x in change.items()) for changes in product(*best.values())]
     names = bouts.sparkSession.createDataFrame([(i, str(sorted(c.items()))) for i, c in enumerate(combined)], "config long, changed string")
-    out = rating.backtest(bouts, [RATING | c for c in combined], split).join(names, "config")
+    out = rating.backtest(bouts, [RATING | c for c in combined], split, held).join(names, "config")
     place = F.row_number().over(Window.orderBy("brier", "config"))  # a row for each of top ** len(sweeps) configurations
     return out.select(place.alias("place"), "changed", "n", "brier", "accuracy")
 
