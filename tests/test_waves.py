@@ -73,3 +73,18 @@ def test_forest_keeps_components(spark):
     thin = graph.forest(df)
     labels = lambda e: {r.node: r.component for r in graph.components(e).collect()}
     assert labels(thin) == labels(df) and thin.count() <= 200 + 1 + 4
+
+
+def test_before_equals_overall(spark):
+    bouts = ratings._detailed(spark, SF)
+    want = {(r.fight_id, r.fighter): r.before for r in rating.overall(bouts).collect()}
+    rows = rating.before(bouts).collect()
+    assert {(r.fight_id, x): v for r in rows for x, v in ((r.fighter_a, r.a), (r.fighter_b, r.b))} == want and len(want) == 2 * len(rows)
+
+
+def test_calibration_folds_once_and_joins_no_ratings(spark, monkeypatch):
+    """The gaps come out of the fold; joins are those that derive the bouts and label their components."""
+    seen = []
+    monkeypatch.setattr(rating, "components", lambda edges: seen.append(1) or graph.components(edges))
+    plan = ratings.elo_calibration(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and plan.count("MapInArrow") == 1 and plan.count("Join ") == 1
