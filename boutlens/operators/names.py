@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from boutlens.functions import text
+from boutlens.operators.graph import stored
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -115,24 +116,44 @@ def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: f
     return scored.unionByName(empty.withColumn("score", F.lit(100.0)))
 
 
+def one_apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r, score): all pairs of names ``l`` of ``left`` and ``r`` of ``right`` of which one is the other without one letter.
+
+    Found by equality with the names that a letter was taken from, so that there are no other candidates.
+    """
+    less = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+    own, held = left.select("l").distinct().filter("l <> ''"), right.select("r").distinct().filter("r <> ''")
+    longer = own.join(held.withColumn("v", less(F.col("r"))), F.col("l") == F.col("v")).select("l", "r")
+    shorter = own.withColumn("v", less(F.col("l"))).join(held, F.col("r") == F.col("v")).select("l", "r")
+    both = F.length("l") + F.length("r")
+    return longer.union(shorter).withColumn("score", 200.0 * ((both - 1) / 2) / both)
+
+
 def best_match(left: DataFrame, right: DataFrame, on: list[str], threshold: float, normal=text.normal_name, by_tokens: bool = False) -> DataFrame:
     """(left_id, right_id, score): the best of the rows of ``right`` (right_id, right_name) in the same block as a row of
     ``left`` (left_id, left_name), at ``threshold`` or more; ties go to the least right_id.
 
     Names are normalised; either may be written last name first. Names that agree letter by letter are joined as they
-    are; only the others are looked up by similar_pairs().
+    are, then those that differ by one letter, if no other difference can score as much; only what is left is looked up
+    by similar_pairs().
     """
     form = lambda c: sorted_tokens(normal(c)) if by_tokens else normal(c)
     turned = lambda c: F.lit(None).cast("string") if by_tokens else normal(reversed_name(c))
     ways = lambda c: F.explode(F.filter(F.array(F.struct(form(c).alias("n"), F.lit(False).alias("t")), F.struct(turned(c).alias("n"), F.lit(True).alias("t"))), lambda x: x["n"].isNotNull()))
     own = left.filter(F.col("left_name").isNotNull()).select(*on, F.col("left_name").alias("name")).distinct().select(*on, "name", ways(F.col("name")).alias("w")).select(*on, "name", F.col("w.n").alias("l"), F.col("w.t").alias("lt"))
-    held = right.filter(F.col("right_name").isNotNull()).select(*on, "right_id", ways(F.col("right_name")).alias("w")).groupBy(*on, F.col("w.n").alias("r"), F.col("w.t").alias("rt")).agg(F.min("right_id").alias("right_id"))
+    held = stored(right.filter(F.col("right_name").isNotNull()).select(*on, "right_id", ways(F.col("right_name")).alias("w")).groupBy(*on, F.col("w.n").alias("r"), F.col("w.t").alias("rt")).agg(F.min("right_id").alias("right_id")))
     both = ~(F.col("lt") & F.col("rt"))
     equal = own.join(held.withColumnRenamed("r", "l"), [*on, "l"]).filter(both).groupBy(*on, "name").agg(F.min("right_id").alias("right_id")).withColumn("score", F.lit(100.0))
-    rest = own.join(equal.select(*on, "name"), [*on, "name"], "left_anti")
-    met = rest.join(similar_pairs(rest, held, on, threshold), [*on, "l"]).join(held, [*on, "r"]).filter(both)
-    best = met.groupBy(*on, "name").agg(F.max(F.struct("score", (-F.col("right_id")).alias("n"))).alias("__best"))
-    found = equal.unionByName(best.select(*on, "name", (-F.col("__best.n")).alias("right_id"), F.col("__best.score").alias("score")))
+    rest = stored(own.join(equal.select(*on, "name"), [*on, "name"], "left_anti"))
+    top = lambda met: met.groupBy(*on, "name").agg(F.max(F.struct("score", (-F.col("right_id")).alias("n"))).alias("__best")).select(*on, "name", (-F.col("__best.n")).alias("right_id"), F.col("__best.score").alias("score"))
+    near = rest.join(one_apart(rest, held), "l").filter(F.col("score") >= threshold).join(held, [*on, "r"]).filter(both)
+    # two letters and more cost at least 2 of 2 n + 2, n being the length of the name's longest form
+    longest = rest.groupBy(*on, "name").agg(F.max(F.length("l")).alias("__longest"))
+    close = stored(top(near).join(longest, [*on, "name"]).filter(F.col("score") > 100.0 - 100.0 / (F.col("__longest") + 1) + 1e-9).drop("__longest"))
+    found = equal.unionByName(close)
+    rest = stored(rest.join(close.select(*on, "name"), [*on, "name"], "left_anti"))
+    if not rest.isEmpty():
+        found = found.unionByName(top(rest.join(similar_pairs(rest, held, on, threshold), [*on, "l"]).join(held, [*on, "r"]).filter(both)))
     return left.join(found.withColumnRenamed("name", "left_name"), [*on, "left_name"]).select("left_id", "right_id", "score")
 
 

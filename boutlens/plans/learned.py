@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlens.operators import evaluation, models, names, neighbours, resampling, seeds
+from boutlens.operators import evaluation, graph, models, names, neighbours, resampling, seeds
 from boutlens.plans import evaluations
 from boutlens.plans.base import BOUTS, physicals
 from boutlens.plans.bouts import sides, table
@@ -97,7 +97,7 @@ def _mistyped(name):
 @query()
 def fuzzy_match_names(spark, sf_dir) -> DataFrame:
     """Mistyped names of a day's fighters found again among that day's names."""
-    s = sides(spark, sf_dir).select(F.col("event_date").alias("day"), "fighter", "fight_id").join(physicals(spark, sf_dir).select("fighter", "name"), "fighter")
+    s = graph.stored(sides(spark, sf_dir).select(F.col("event_date").alias("day"), "fighter", "fight_id").join(physicals(spark, sf_dir).select("fighter", "name"), "fighter"))
     left = s.select("day", (F.col("fight_id") * 1000 + F.col("fighter")).alias("left_id"), _mistyped(F.col("name")).alias("left_name"))
     return names.best_match(left, s.select("day", F.col("fighter").alias("right_id"), F.col("name").alias("right_name")), ["day"], 80.0)
 
