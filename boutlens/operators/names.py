@@ -179,28 +179,36 @@ def alias_tiers(asked: DataFrame, card: DataFrame, registry: DataFrame) -> DataF
     only fighter of that last name on the card; 3 to 5 the ``registry`` (alias, canonical, tier), on the card or, with
     less confidence, anywhere; 6 the same set of tokens. An initial alone doesn't choose among several of one last name.
     """
-    own = asked.withColumn("t", _tokens("name")).withColumns({"last": F.try_element_at("t", F.lit(-1)), "firsts": F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))})
-    held = card.dropDuplicates(["day", "fighter"]).withColumn("ct", _tokens("fighter_name"))
-    held = held.withColumns({"clast": F.try_element_at("ct", F.lit(-1)), "cfirsts": F.slice("ct", 1, F.greatest(F.size("ct") - 1, F.lit(0)))})
-    met = own.join(held.withColumnRenamed("day", "cday"), (F.col("day") == F.col("cday")) & (F.col("last") == F.col("clast")), "left")
-    initial = F.exists("firsts", lambda k: (F.length(k) == 1) & F.exists("cfirsts", lambda c: F.startswith(c, k)))
-    hit = F.arrays_overlap("firsts", "cfirsts") | initial
-    by = met.groupBy("id", "name", "day", "firsts").agg(
-        F.count("fighter").alias("same_last"), F.min("fighter").alias("only"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("fighter"))).alias("hit"),
-    )
+    # names repeat: each is taken apart once, and each name of a day is answered once
+    last, firsts = F.try_element_at("t", F.lit(-1)), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))
+    whole = F.array_join(F.array_sort(F.array_distinct("t")), " ")
+    lexicon = asked.select("name").union(card.select("fighter_name")).distinct().filter("name is not null").withColumn("t", _tokens("name"))
+    lexicon = stored(lexicon.select("name", last.alias("last"), firsts.alias("firsts"), F.array_join("t", " ").alias("n"), whole.alias("set")))
+    own = asked.select("name", "day").distinct().join(lexicon, "name", "left")
+    card = stored(card.select("day", "fighter", F.col("fighter_name").alias("name")).join(lexicon, "name", "left"))
+    held = card.dropDuplicates(["day", "fighter"]).select(F.col("day").alias("cday"), F.struct("fighter").alias("who"), F.col("last").alias("clast"), F.col("firsts").alias("cfirsts"))
+    same = held.groupBy("cday", "clast").agg(F.count("who.fighter").alias("same_last"), F.min("who.fighter").alias("only"))
+    met = own.join(same, (F.col("day") == F.col("cday")) & (F.col("last") == F.col("clast")), "left").drop("cday", "clast").withColumn("same_last", F.coalesce("same_last", F.lit(0)))
+    # a key is a first token, or the first letter of one; of those whom a key hits, the least and the last tell whether it is one
+    letters = F.transform(F.filter("cfirsts", lambda c: c != ""), lambda c: F.concat(F.lit("i:"), F.substring(c, 1, 1)))
+    keys = F.explode(F.array_distinct(F.concat(F.transform("cfirsts", lambda c: F.concat(F.lit("t:"), c)), letters)))
+    hit = held.select("cday", "clast", "who", keys.alias("key")).groupBy("cday", "clast", "key").agg(F.min("who").alias("least"), F.max("who").alias("most"))
+    wanted = F.explode(F.array_distinct(F.concat(F.transform("firsts", lambda k: F.concat(F.lit("t:"), k)), F.transform(F.filter("firsts", lambda k: F.length(k) == 1), lambda k: F.concat(F.lit("i:"), k)))))
+    looked = own.select("name", "day", "last", wanted.alias("key")).distinct()
+    found = looked.join(hit.withColumnRenamed("key", "ckey"), (F.col("day") == F.col("cday")) & (F.col("last") == F.col("clast")) & (F.col("key") == F.col("ckey"))).groupBy("name", "day").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    by = met.join(found, ["name", "day"], "left")
     short = F.exists("firsts", lambda k: F.length(k) <= 1)
-    first = F.when((F.col("hits") == 1) & ~((F.col("same_last") > 1) & short), F.col("hit"))
+    first = F.when((F.col("least") == F.col("most")) & ~((F.col("same_last") > 1) & short), F.col("least.fighter"))
     second = F.when(F.col("same_last") == 1, F.col("only"))
 
     norm = lambda c: F.array_join(_tokens(c), " ")
-    people = card.groupBy(norm("fighter_name").alias("n")).agg(F.max("fighter").alias("anywhere"))
-    here = card.groupBy("day", norm("fighter_name").alias("n")).agg(F.max("fighter").alias("here"))
-    reg = registry.select(norm("alias").alias("alias"), norm("canonical").alias("n"), F.col("tier").alias("rtier")).groupBy("alias").agg(F.min(F.struct("rtier", "n")).alias("r")).select("alias", "r.*")
-    named = by.join(reg, norm("name") == F.col("alias"), "left").join(here, ["day", "n"], "left").join(people, "n", "left")
-
-    whole = lambda c: F.array_join(F.array_sort(F.array_distinct(_tokens(c))), " ")
-    sets = card.groupBy(F.col("day").alias("sday"), whole("fighter_name").alias("set")).agg(F.min("fighter").alias("sixth"))
-    full = named.join(sets, (F.col("day") == F.col("sday")) & (whole("name") == F.col("set")), "left")
+    people = card.groupBy(F.col("n").alias("cn")).agg(F.max("fighter").alias("anywhere"))
+    here = card.groupBy(F.col("day").alias("hday"), F.col("n").alias("hn")).agg(F.max("fighter").alias("here"))
+    reg = registry.select(norm("alias").alias("alias"), norm("canonical").alias("rn"), F.col("tier").alias("rtier")).groupBy("alias").agg(F.min(F.struct("rtier", "rn")).alias("r")).select("alias", "r.*")
+    named = by.join(reg, F.col("n") == F.col("alias"), "left").join(here, (F.col("day") == F.col("hday")) & (F.col("rn") == F.col("hn")), "left").join(people, F.col("rn") == F.col("cn"), "left")
+
+    sets = card.groupBy(F.col("day").alias("sday"), F.col("set").alias("cset")).agg(F.min("fighter").alias("sixth"))
+    full = named.join(sets, (F.col("day") == F.col("sday")) & (F.col("set") == F.col("cset")), "left")
     listed = F.col("rtier").isNotNull()
     tier = (
         F.when(first.isNotNull(), "1").when(second.isNotNull(), "2").when(listed, F.col("rtier").cast("string")).when(F.col("sixth").isNotNull(), "6")
@@ -211,4 +219,6 @@ def alias_tiers(asked: DataFrame, card: DataFrame, registry: DataFrame) -> DataF
         F.when(tier == "1", "high").when(tier == "2", "med").when(listed & tier.isin("3", "4", "5"), F.when(F.col("here").isNotNull(), "med").otherwise("low")).when(tier == "6", "med")
         .otherwise("requires-manual-review")
     )
-    return full.select("id", match.alias("match"), tier.alias("tier"), confidence.alias("confidence"))
+    answers = full.select(F.col("name").alias("__name"), F.col("day").alias("__day"), match.alias("match"), tier.alias("tier"), confidence.alias("confidence"))
+    rows = asked.select("id", "name", "day").distinct().join(answers, F.col("name").eqNullSafe(F.col("__name")) & F.col("day").eqNullSafe(F.col("__day")))
+    return rows.select("id", "match", "tier", "confidence")

@@ -118,7 +118,7 @@ def alias_tiers(spark, sf_dir) -> DataFrame:
     """Names of another source told apart on a day's card by tiers of rules."""
     first = F.element_at(F.array(*(F.lit(x) for x in ("Anna", "Bo", "Cy", "Dee", "Eve"))), (F.col("fighter") % 5 + 1).cast("int"))
     last = F.concat(F.lit("N"), (F.col("fighter") % 37).cast("string"))
-    s = sides(spark, sf_dir).select("fight_id", F.col("event_date").alias("day"), "fighter", first.alias("f"), last.alias("l"))
+    s = graph.stored(sides(spark, sf_dir).select("fight_id", F.col("event_date").alias("day"), "fighter", first.alias("f"), last.alias("l")))
     card = s.select("day", "fighter", F.concat_ws(" ", "f", "l").alias("fighter_name"))
     k = F.col("fight_id") % 6
     other = F.when(k == 0, F.concat_ws(" ", "f", "l")).when(k == 1, F.concat(F.substring("f", 1, 1), F.lit(". "), F.col("l"))).when(k == 2, F.concat_ws(" ", F.lit("Zed"), "l")).when(k == 3, F.concat_ws(" ", F.lit("The"), F.lit("Hammer"))).when(k == 4, F.concat_ws(" ", "l", "f")).otherwise("Nobody Known")
