@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutlens.operators import evaluation, resampling
+from boutlens.operators.graph import stored
 
 #: what is tried for boosted trees
 SEARCH = [{"maxDepth": d, "stepSize": s, "maxIter": n} for d, s, n in ((2, 0.1, 20), (3, 0.1, 20), (3, 0.3, 10))]
@@ -60,9 +61,10 @@ def brier(df: DataFrame, p: str = "p", y: str = "y") -> float:
 def out_of_fold(df: DataFrame, k: int, order: list[str], fit: Callable[[DataFrame], object], guard: bool = True) -> DataFrame:
     """``df``'s rows of the test folds with ``p`` of a model of all rows before their fold.
 
-    An accuracy of ``LEAKY`` or more raises: no honest model of these outcomes reaches it.
+    An accuracy of ``LEAKY`` or more raises: no honest model of these outcomes reaches it. The rows are derived and
+    numbered once, for all fits.
     """
-    marked = evaluation.folds(df, k, order)
+    marked = stored(evaluation.folds(stored(df), k, order))
     out = None
     for i in range(1, k + 1):
         one = probability(fit(marked.filter(F.col("fold") < i)), marked.filter(F.col("fold") == i))

@@ -39,7 +39,7 @@ def _level_one(spark, sf_dir) -> DataFrame:
 @query()
 def stacker_oof(spark, sf_dir) -> DataFrame:
     """Held-out probabilities of a stacker of three scores and their products, five folds in the order of time."""
-    rows = _level_one(spark, sf_dir)
+    rows = graph.stored(_level_one(spark, sf_dir))
     stack = models.stacker(["xgb", "elo", "close"], rows=rows.count())
     return models.out_of_fold(rows, 5, ["event_date", "fight_id"], stack.fit).select("fight_id", "fold", "y", "p")
 

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from boutlens.operators import graph
-from boutlens.plans import selections
+from boutlens.plans import learned, selections
 from tests.conftest import SF
 
 
@@ -26,3 +26,8 @@ def test_shuffle_files_go(spark):
 def test_same_date_events_derives_bouts_once(spark):
     plan = selections.same_date_events(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and plan.count("Join ") == 1
+
+
+def test_stacker_derives_bouts_once(spark):
+    """Neither fits nor predictions go back to the lines of orders."""
+    assert "l_orderkey" not in learned.stacker_oof(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
