@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from boutlens.operators import graph
-from boutlens.plans import learned, selections
+from boutlens.plans import assembled, learned, selections
 from tests.conftest import SF
 
 
@@ -31,3 +31,9 @@ def test_same_date_events_derives_bouts_once(spark):
 def test_stacker_derives_bouts_once(spark):
     """Neither fits nor predictions go back to the lines of orders."""
     assert "l_orderkey" not in learned.stacker_oof(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matrix_is_folded_from_written_blocks(spark):
+    """The last step reads no base table and ranks nothing: each block's shuffles went when it was written."""
+    plan = assembled.feature_matrix_92(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "Window" not in plan
